@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import SPACE
+from unitgraph.llm.common import SPACE, WORD
 from unitgraph.plans.durable import durable
 
 # Frequent words of four languages, the bins of the word histogram.
@@ -20,37 +20,45 @@ WINDOW = 8
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts and the two histograms, all by expressions on the row itself.
 
     Columns are built step by step: each step reads the ones before, so Catalyst keeps the word array
-    and the window hashes as values and does not compute them again.
+    and the window hashes as values and does not compute them again. Windows are hashed by doubling:
+    pairs of words, pairs of pairs, pairs of those; an array is read by position only once per step.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.withColumn("_t", t).withColumn("_w", F.filter(F.split("_t", f"{SPACE}+"), lambda w: w != ""))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    step = docs.withColumn("_t", t).withColumn("_b", F.btrim("_t", F.lit(" \t\n\x0b\f\r")))
+    step = step.withColumn("_w", F.when(F.col("_b") == "", F.array().cast("array<string>")).otherwise(F.split("_b", f"{SPACE}+")))
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
     step = step.withColumn("n_words", F.size("_w").cast("long")).withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long")).withColumn("_lines", lines)
     step = step.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).withColumn("n_symbols", _count(F.col("_t"), r"[#*$%&|<>]"))
-    starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int")))
-    step = step.withColumn("_h", F.coalesce(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, WINDOW))), F.array().cast("array<bigint>")))
+    step = step.withColumn("_h", F.col("_w"))
+    for k in (1, 2, 4):
+        step = step.withColumn("_h", F.zip_with(F.slice("_h", 1, F.greatest(F.size("_h") - k, F.lit(0))), F.slice("_h", 1 + k, F.greatest(F.size("_h") - k, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
     # Sorting is for texts that repeat a window; most do not, and a hash set tells.
     twice = F.size(F.array_distinct("_h")) < F.size("_h")
-    step = step.withColumn("_s", F.when(twice, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    step = step.withColumn("_s", F.when(twice, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, k: F.coalesce(F.get("_s", k)["h"] == x["h"], F.lit(False))
     again = F.filter("_s", lambda x, i: same(x, i + 1) | ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))))
-    step = step.withColumn("_p", F.array_sort(F.transform(again, lambda x: x["i"])))
+    step = step.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1), p + WINDOW) - p)), F.lit(0), lambda a, x: a + x)
     step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    # \p{Punct} without the counted symbols.
-    step = step.withColumn("_chars", F.length("_t").cast("long")).withColumn("_upper", _count(F.col("_t"), "[A-Z]")).withColumn("_digit", _count(F.col("_t"), "[0-9]")).withColumn("_punct", _count(F.col("_t"), r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]")).withColumn("_other", _count(F.col("_t"), r"[^\x00-\x7F]"))
+    # ASCII punctuation without the counted symbols.
+    step = step.withColumn("_chars", F.length("_t").cast("long")).withColumn("_upper", _count(F.col("_t"), "[A-Z]")).withColumn("_digit", _count(F.col("_t"), "[0-9]")).withColumn("_punct", _count(F.col("_t"), r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]")).withColumn("_other", (F.octet_length("_t") - F.length("_t")).cast("long"))
     space = F.col("_chars") - F.col("word_chars")
-    lower = F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("n_symbols") - F.col("_punct") - F.col("_other")
+    # Code points beyond ASCII count once for each byte after their first.
+    lower = F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("n_symbols") - F.col("_punct") - F.col("_other"))
     step = step.withColumn("classes", F.array(lower, F.col("_upper"), F.col("_digit"), space, F.col("n_symbols"), F.col("_punct"), F.col("_other")))
-    step = step.withColumn("_c", F.filter(F.split(F.lower("_t"), r"[\x20\x09-\x0D,.]+"), lambda w: w.isin(*COMMON_WORDS)))
-    step = step.withColumn("common", F.transform(F.array(*map(F.lit, COMMON_WORDS)), lambda c: F.size(F.filter("_c", lambda w: w == c)).cast("long")))
+    # Each common word becomes one letter, so counting them is a matter of string lengths.
+    letters = [chr(0x100 + i) for i in range(len(COMMON_WORDS))]
+    letter_of = F.create_map(*[F.lit(x) for pair in zip(COMMON_WORDS, letters, strict=True) for x in pair])
+    known = F.filter("_w", lambda w: w.isin(*COMMON_WORDS))
+    step = step.withColumn("_c", F.array_join(F.transform(known, lambda w: F.element_at(letter_of, w)), ""))
+    step = step.withColumn("common", F.array(*[(F.length("_c") - F.length(F.replace("_c", F.lit(x), F.lit("")))).cast("long") for x in letters]))
     return step.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
 
 
@@ -80,7 +88,7 @@ def language_references(counted: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 def judge_quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = 0.3, max_word_distance: float = 0.75,
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = 0.28, max_word_distance: float = 0.9,
     min_words: int = 50, min_common: int = 30, min_reference_words: int = 10_000,
 ) -> DataFrame:
     """Base counts, distances to the language's references, and the verdict ``kept``.
