@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import quality, secrets
+from unitgraph.llm import fingerprints, quality, secrets
 from unitgraph.llm.common import table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, "doc_id", F.concat_ws("/", "source", "lang"), F.col("source"))
@@ -24,6 +28,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprints": op2_fingerprints,
         "op3_secrets": op3_secrets,
         "op8_quality": op8_quality,
     }
