@@ -126,7 +126,7 @@ def layout(sizes: DataFrame, sequence: int, window_tokens: int, seed: int) -> Da
     return split.select("_id", (F.col("start") + lo - F.col("_at")).alias("start"), (hi - lo).alias("length"), "sequence_id", (lo - F.col("sequence_id") * n).alias("offset"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", source: str = "source", text: str = "text", sequence: int = 1024, window_tokens: int = 131_072, seed: int = 42) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", source: str = "source", text: str = "text", sequence: int = 1024, window_tokens: int = 131_072, seed: int = 42, with_ids: bool = True) -> DataFrame:
     """All documents' tokens in sequences of ``sequence`` ids; one row per piece, with the piece's ids.
 
     Each window of about ``window_tokens`` tokens holds every source in the share it has of all tokens,
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", source: s
 
     Null texts are a single 0; a null source is a queue of its own. Repeated rows are separate
     documents. Long texts are cut over many sequences. An empty table gives an empty result.
-    Returns id, start, length, ids (binary, unsigned 32 bit little-endian), ids_crc32, doc_tokens,
+    Returns id, start, length, ids (binary, unsigned 32 bit little-endian; null without ``with_ids``), ids_crc32, doc_tokens,
     sequence_id, offset.
     """
     tokens = durable(tokenize(docs, id_col, source, text, tokenizer_path))
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", source: s
                     part = full[c["start"] : c["start"] + c["length"]].astype("<u4").tobytes()
                     take.append(i)
                     rows.append((c["start"], c["length"], n, c["sequence_id"], c["offset"]))
-                    ids.append(part)
+                    ids.append(part if with_ids else None)
                     crc.append(zlib.crc32(part))
             if rows:
                 start, length, n, seq, off = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import fingerprints, mixing, packing, quality, secrets
+from unitgraph.llm import fingerprints, mixing, packing, quality, secrets, toxicity
 from unitgraph.llm.common import table
 
 
@@ -28,7 +28,7 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False).drop("ids")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs).drop("lang")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.to_json("spans").alias("offending"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_mixing": op6_mixing,
         "op8_quality": op8_quality,
+        "op10_toxicity": op10_toxicity,
     }
 
 
