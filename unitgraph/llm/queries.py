@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import fingerprints, minhash, mixing, packing, quality, secrets, toxicity
+from unitgraph.llm import fingerprints, minhash, mixing, packing, quality, secrets, substring, toxicity
 from unitgraph.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.judge_quality(docs).drop("lang")
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op5_packing": op5_packing,
         "op6_mixing": op6_mixing,
+        "op7_substring": op7_substring,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
     }
