@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import fingerprints, minhash, mixing, packing, quality, secrets, substring, toxicity
+from unitgraph.llm import fingerprints, minhash, mixing, packing, quality, secrets, substring, toxicity, warc
 from unitgraph.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), F.col("spans_text").alias("spans"), "n_live", "n_example")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))[1]
+
+
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash": op1_minhash,
         "op2_fingerprints": op2_fingerprints,
         "op3_secrets": op3_secrets,
+        "op4_warc": op4_warc,
         "op5_packing": op5_packing,
         "op6_mixing": op6_mixing,
         "op7_substring": op7_substring,
