@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import fingerprints, minhash, mixing, packing, quality, secrets, substring, toxicity, warc
+from unitgraph.llm import fingerprints, licenses, minhash, mixing, packing, quality, secrets, substring, toxicity, warc
 from unitgraph.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs).drop("lang")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -68,9 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": op6_mixing,
         "op7_substring": op7_substring,
         "op8_quality": op8_quality,
+        "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from unitgraph.llm.sql import ORACLES
+
+    return ORACLES
