@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_text
+from unitgraph.llm.common import as_bytes, as_text
+from unitgraph.plans.durable import durable
 
 WORD_AT = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\`~"
@@ -86,31 +87,41 @@ class Crf:
         return float(1 / (1 + np.exp(-np.clip(self.summary(marginal, n) @ self.document, -30, 30))))
 
 
-class Tagger:
-    """Marginals of texts; remembers which tokens bear features."""
+class TokenScores(dict):
+    """Scores of tokens, as UTF-8; a bounded memory of those met before."""
 
-    def __init__(self, model: Crf, cache: int = 400_000) -> None:
-        self.model, self.cache, self.known = model, cache, {}
+    def __init__(self, model: Crf, cache: int = 300_000) -> None:
+        super().__init__()
+        self.model, self.cache = model, cache
 
-    def token_score(self, token: str) -> float:
-        s = self.known.get(token)
-        if s is None:
-            s = float(sum(self.model.weights[i] for i in self.model.slots(token)))
-            if len(self.known) < self.cache:
-                self.known[token] = s
+    def __missing__(self, token: bytes) -> float:
+        s = float(sum(self.model.weights[i] for i in self.model.slots(token.decode())))
+        if len(self) < self.cache:
+            self[token] = s
         return s
 
+
+class Tagger:
+    """Marginals of texts."""
+
+    def __init__(self, model: Crf) -> None:
+        self.model, self.scores = model, TokenScores(model)
+
+    def marginals(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Tokens that bear features, their marginals, and the number of all tokens."""
+        tokens = text.encode().split()
+        scores = np.fromiter(map(self.scores.__getitem__, tokens), float, len(tokens))
+        at = np.flatnonzero(scores)
+        return at, self.model.marginals(at, scores[at], len(tokens)), len(tokens)
+
     def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The score, and (start, end, marginal) in code points of each token that bears features."""
-        tokens = WORD_AT.findall(text)
-        scores = list(map(self.token_score, tokens))
-        at = np.flatnonzero(scores)
-        marginal = self.model.marginals(at, np.array(scores)[at] if len(at) else np.zeros(0), len(tokens))
+        at, marginal, n = self.marginals(text)
         spans = []
         if len(at):
-            places = {k: m for k, m in zip(at.tolist(), marginal.tolist(), strict=True)}
+            places = dict(zip(at.tolist(), marginal.tolist(), strict=True))
             spans = [(m.start(), m.end(), places[k]) for k, m in enumerate(WORD_AT.finditer(text)) if k in places]
-        return self.model.score(marginal, len(tokens)), spans
+        return self.model.score(marginal, n), spans
 
 
 def held_out(id_col: Column) -> Column:
@@ -125,18 +136,18 @@ def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[bytes, tuple[str, ...]] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "clean"])
 
         for b in batches:
-            for t, y in zip(as_text(b.column("_text")), b.column("_label").to_pylist(), strict=True):
+            for t, y in zip(as_bytes(b.column("_text")), b.column("_label").to_pylist(), strict=True):
                 found: set[str] = set()
-                for w in set(WORD_AT.findall(t)):
+                for w in set(t.split()):
                     f = known.get(w)
                     if f is None:
-                        f = features(w)
+                        f = features(w.decode())
                         if len(known) < flush:
                             known[w] = f
                     found.update(f)
@@ -232,10 +243,8 @@ def fit_document(model: Crf, texts: list[tuple[str, int]], weight: tuple[float,
     tagger = Tagger(model)
     x, y = [], []
     for t, label in texts:
-        tokens = WORD_AT.findall(t)
-        s = np.array(list(map(tagger.token_score, tokens)) or [0.0])
-        at = np.flatnonzero(s)
-        x.append(model.summary(model.marginals(at, s[at], len(tokens)), len(tokens)))
+        _, marginal, n = tagger.marginals(t)
+        x.append(model.summary(marginal, n))
         y.append(label)
     x, y = np.array(x), np.array(y, float)
     w, c = np.zeros(x.shape[1]), np.where(y > 0, weight[1], weight[0])
@@ -255,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     of ``least`` or more. The chain and the document score are then fitted on at most ``max_documents``
     documents of each label, picked by a hash. Without documents of both labels the model scores 0.
     """
-    truth = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label"))
+    truth = durable(labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label")))
     labelled = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body")).join(truth, F.col("_doc") == F.col("_id")).select("_doc", "_body", "_label")
     n = {r["_label"]: r["count"] for r in truth.groupBy("_label").count().collect()}
     model = Crf()
@@ -270,7 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     model.weights = np.zeros(len(model.index) + 1)
     picked = []
     for y in (0, 1):
-        rows = labelled.where(F.col("_label") == y).select(F.xxhash64("_doc").alias("_o"), "_body").orderBy("_o").limit(max_documents).collect()
+        # The bounded sample is picked among ids; its texts are then read by id, without a shuffle.
+        ids = [r["_id"] for r in truth.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_documents).collect()]
+        rows = docs.where(F.col(id_col).isin(ids)).select(F.coalesce(F.col(text), F.lit("")).alias("_body")).limit(2 * max_documents).collect()
         picked += [(r["_body"], y) for r in rows]
     if not model.index or len({y for _, y in picked}) < 2:
         return model
