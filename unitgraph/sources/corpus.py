@@ -19,7 +19,7 @@ def read_corpus(spark: SparkSession, paths: str | list[str], pattern: str | None
     name = F.regexp_extract("path", r"[^/]*$", 0)
     return df.select(
         "path", F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), name.alias("file_name"), F.lower(name).alias("file_name_lower"),
-        F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)).alias("ext"), F.decode("content", F.lit("UTF-8")).alias("content"))
+        F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)).alias("ext"), F.decode("content", "UTF-8").alias("content"))
 
 
 def listing(corpus: DataFrame) -> DataFrame:
