@@ -93,7 +93,7 @@ def find_secrets(docs: DataFrame, id_col: str, repository: Column, owner: Column
         "_id", "kind", "start", "end", "value_start",
         (F.col("owners") >= example_owners).alias("example"),
         ((F.col("owners") < example_owners) & F.col("varied")).alias("live"),
-        F.when(F.col("kind") == "assign", F.col("end")).otherwise(F.col("end")).alias("value_end"),
+        F.col("end").alias("value_end"),
     )
     span = lambda start, rank, kind, end: F.struct(start.alias("start"), rank.alias("rank"), kind.alias("kind"), end.alias("end"))
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
