@@ -49,7 +49,7 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality.judge_quality(docs).drop("lang")
+    return quality.judge_quality(docs).drop("lang").withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
