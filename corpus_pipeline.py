@@ -26,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id; of repeated rows one."""
-    judged = minhash.near_duplicates(docs, shingle=5).where("kept").select(F.col("doc_id").alias("_doc"), "_text_hash").distinct()
-    kept = docs.join(judged, docs["doc_id"].eqNullSafe(judged["_doc"]) & (F.xxhash64(docs["text"]) == judged["_text_hash"])).select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"])
+    judged = minhash.near_duplicates(docs, shingle=5).where("kept").groupBy(F.col("doc_id").alias("_doc"), "component_id").agg(F.min("_text_hash").alias("_hash"))
+    kept = docs.withColumn("_hash", F.xxhash64("text")).join(judged.withColumnRenamed("_hash", "_kept"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_kept")))
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole time; empty documents once."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_doc"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_times")).where("_times > 0")
-    joined = docs.join(taken.dropDuplicates(["_doc"]), docs["doc_id"].eqNullSafe(F.col("_doc")))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash"), times.alias("_times")).where("_times > 0").dropDuplicates(["_doc", "_hash"])
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc"]) & (F.xxhash64(docs["text"]) == taken["_hash"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

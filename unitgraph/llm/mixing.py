@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     rows are separate documents. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sized = durable(docs.select(F.monotonically_increasing_id().alias("_id"), F.col(id_col).alias("_doc"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    sized = durable(docs.select(F.monotonically_increasing_id().alias("_id"), F.col(id_col).alias("_doc"), F.col(source).alias("source"), F.xxhash64(text).alias("_text_hash"), n_words(F.col(text)).alias("size")))
     targets = source_targets(sized, weights, share, most, max_sources)
     table = F.broadcast(spark.createDataFrame([(r.source, int(r.at), int(r.size), float(r.target), int(round(r.target))) for r in targets.itertuples()], "source string, at int, source_size long, target double, words long"))
     known = sized.join(table, sized["source"].eqNullSafe(table["source"])).drop(table["source"])
@@ -114,4 +114,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     block = block.select("_id", "at", "rank", (F.least("b", (F.col("rank") + 1) * b) - F.greatest("a", F.col("rank") * b)).alias("words"))
     slots = schedule(spark, [int(-(-round(t) // block_words)) for t in targets["target"]])
     taken = block.join(slots, ["at", "rank"]).groupBy("_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return known.join(taken, "_id", "left").select(F.col("_doc").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", F.col("_id").alias("_row"))
+    return known.join(taken, "_id", "left").select(F.col("_doc").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "_text_hash", F.col("_id").alias("_row"))

@@ -277,12 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     lexicon = {r["feature"]: r["odds"] for r in top}
     model.index = {f: i + 1 for i, f in enumerate(sorted(lexicon))}
     model.weights = np.zeros(len(model.index) + 1)
-    picked = []
-    for y in (0, 1):
-        # The bounded sample is picked among ids; its texts are then read by id, without a shuffle.
-        ids = [r["_id"] for r in truth.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_documents).collect()]
-        rows = docs.where(F.col(id_col).isin(ids)).select(F.coalesce(F.col(text), F.lit("")).alias("_body")).limit(2 * max_documents).collect()
-        picked += [(r["_body"], y) for r in rows]
+    # The bounded sample is picked among ids; its texts are then read by id, without a shuffle.
+    chosen = {r["_id"]: y for y in (0, 1) for r in truth.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_documents).collect()}
+    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body")).limit(4 * max_documents).collect()
+    picked = sorted(((r["_body"], chosen[r["_doc"]]) for r in rows), key=lambda x: (x[1], x[0]))
     if not model.index or len({y for _, y in picked}) < 2:
         return model
     feats, tags, lengths = learn_labels(picked, lexicon, model, least)
