@@ -105,6 +105,9 @@ ORACLES: dict[str, str] = {
     "round_trip": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component from mutual group by key having count(*) > 1),
       trip(component, key, n) as (select distinct component, component, 1 from g union select t.component, p.to_key, t.n + 1 from trip t join pairs p on p.from_key = t.key join g on g.key = p.to_key and g.component = t.component where t.n < 200 and (t.n = 1 or t.key <> t.component))
       select component, min(n) as units, component as first, component as last from trip where key = component and n > 1 group by component""",
+    "cycle_report": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component, count(*) as size from mutual group by key having count(*) > 1),
+      trip(component, key, n) as (select distinct component, component, 0 from g union select t.component, p.to_key, t.n + 1 from trip t join pairs p on p.from_key = t.key join g on g.key = p.to_key and g.component = t.component where t.n < 200 and (t.n = 0 or t.key <> t.component))
+      select t.component, any_value(g.size) as size, cast(min(t.n) as bigint) as hops from trip t join g on g.key = t.component where t.key = t.component and t.n > 0 group by t.component""",
     "unresolved": f"""{BASE} select n.key, n.name, e.from_unit, e.certainty, e.line, row_number() over (partition by n.key order by {CERTAINTY_ORD}, e.from_key nulls first, e.line, e.seq) as rank from nodes n left join edges e on e.to_key = n.key where n.kind = 'unresolved'""",
     "unresolved_report": f"""{BASE}, r as (select n.key, n.name, e.from_unit, e.certainty, e.cond, e.file, e.line, row_number() over (partition by n.key order by {CERTAINTY_ORD}, e.from_key, e.line, e.seq) as i, count(e.from_key) over (partition by n.key) as c from nodes n left join edges e on e.to_key = n.key where n.kind = 'unresolved'),
       k as (select *, row_number() over (order by key) as rank, count(*) over () as n from r where i = 1)
