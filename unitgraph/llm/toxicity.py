@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,33 @@ def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic"
     return parts.where("feature != ''").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def held_features(docs: DataFrame, names: list[str], cache: int = 200_000) -> DataFrame:
+    """(_doc, features): places in ``names`` of the features each text holds; texts that hold none are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: i for i, f in enumerate(names)}
+        known: dict[bytes, tuple[int, ...]] = {}
+        for b in batches:
+            rows, found = [], []
+            for i, t in enumerate(as_bytes(b.column("_body"))):
+                held: set[int] = set()
+                for w in set(t.split()):
+                    f = known.get(w)
+                    if f is None:
+                        f = tuple(place[x] for x in features(w.decode()) if x in place)
+                        if len(known) < cache:
+                            known[w] = f
+                    if f:
+                        held.update(f)
+                if held:
+                    rows.append(i)
+                    found.append(sorted(held))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column("_doc").take(pa.array(rows)), pa.array(found, pa.list_(pa.int32()))], names=["_doc", "features"])
+
+    return docs.mapInArrow(run, f"_doc {docs.schema['_doc'].dataType.simpleString()}, features array<int>")
+
+
 def learn_labels(texts: list[tuple[str, int]], lexicon: dict[str, float], model: Crf, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token features, token labels and lengths of chunks of at most CHUNK tokens.
 
@@ -256,31 +284,47 @@ def fit_document(model: Crf, texts: list[tuple[str, int]], weight: tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_features: int = 5000,
-          max_documents: int = 1000, min_share: float = 0.004, min_support: int = 4, least: float = 3.0) -> Crf:
+          max_documents: int = 1000, max_sample: int = 5000, min_share: float = 0.004, min_support: int = 4, least: float = 3.0) -> Crf:
     """A model learnt from the labelled documents that are not held out.
 
-    Features are counted over all of them; the ``max_features`` that mark toxic documents best make the
+    Features that mark toxic documents are looked for in at most ``max_sample`` documents of each label,
+    picked by a hash; half the support and log odds of ``least - 1`` suffice there. Those found, at most
+    4 * ``max_features``, are then counted over all labelled documents. The ``max_features`` best make the
     model's vocabulary: held by ``min_support`` toxic documents and ``min_share`` of them, with log odds
-    of ``least`` or more. The chain and the document score are then fitted on at most ``max_documents``
-    documents of each label, picked by a hash. Without documents of both labels the model scores 0.
+    of ``least`` or more. Texts are never shuffled, only ids with the features found in them. The chain and
+    the document score are fitted on at most ``max_documents`` documents of each label, the first of the
+    same order. Without documents of both labels the model scores 0.
     """
-    truth = durable(labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label")))
-    labelled = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body")).join(truth, F.col("_doc") == F.col("_id")).select("_doc", "_body", "_label")
+    truth = durable(labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label")))
+    texts = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
     n = {r["_label"]: r["count"] for r in truth.groupBy("_label").count().collect()}
     model = Crf()
     if not n.get(0) or not n.get(1):
         return model
-    odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
-    marks = feature_counts(labelled, "_body", "_label").withColumn("odds", odds)
-    marks = marks.where((F.col("toxic") >= max(min_support, min_share * n[1])) & (F.col("odds") >= least))
-    top = marks.orderBy(F.desc(F.col("odds") * F.log(F.col("toxic") + 1.0)), "feature").limit(max_features).collect()
-    lexicon = {r["feature"]: r["odds"] for r in top}
+
+    def first(most: int) -> DataFrame:
+        """At most ``most`` ids of either label, so of bounded size."""
+        return durable(reduce(DataFrame.unionByName, [truth.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]))
+
+    def odds(held: dict[int, int]) -> Column:
+        return F.log((F.col("toxic") + 0.5) / (held[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (held[0] + 1.0))
+
+    def best(counts: DataFrame, held: dict[int, int], support: float, share: float, least: float, most: int) -> dict[str, float]:
+        marks = counts.withColumn("odds", odds(held)).where((F.col("toxic") >= max(support, share * held[1])) & (F.col("odds") >= least))
+        return {r["feature"]: r["odds"] for r in marks.orderBy(F.desc(F.col("odds") * F.log(F.col("toxic") + 1.0)), "feature").limit(most).collect()}
+
+    sample = texts.join(F.broadcast(first(max_sample)), F.col("_doc") == F.col("_id"))
+    found = sorted(best(feature_counts(sample, "_body", "_label"), {y: min(c, max_sample) for y, c in n.items()}, min_support / 2, min_share / 2, least - 1, 4 * max_features))
+    if not found:
+        return model
+    held = held_features(texts, found).join(truth, F.col("_doc") == F.col("_id")).select(F.explode("features").alias("place"), "_label")
+    counts = held.groupBy("place").agg(F.sum("_label").alias("toxic"), F.sum(1 - F.col("_label")).alias("clean"))
+    named = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(found)), "place int, feature string"))
+    lexicon = best(counts.join(named, "place"), n, min_support, min_share, least, max_features)
     model.index = {f: i + 1 for i, f in enumerate(sorted(lexicon))}
     model.weights = np.zeros(len(model.index) + 1)
-    # The bounded sample is picked among ids; its texts are then read by id, without a shuffle.
-    chosen = {r["_id"]: y for y in (0, 1) for r in truth.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_documents).collect()}
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body")).limit(4 * max_documents).collect()
-    picked = sorted(((r["_body"], chosen[r["_doc"]]) for r in rows), key=lambda x: (x[1], x[0]))
+    rows = texts.join(F.broadcast(first(max_documents)), F.col("_doc") == F.col("_id")).limit(4 * max_documents).collect()
+    picked = sorted(((r["_body"], r["_label"]) for r in rows), key=lambda x: (x[1], x[0]))
     if not model.index or len({y for _, y in picked}) < 2:
         return model
     feats, tags, lengths = learn_labels(picked, lexicon, model, least)
