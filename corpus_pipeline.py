@@ -25,10 +25,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id; of repeated rows one."""
-    judged = minhash.near_duplicates(docs, shingle=5).where("kept").groupBy(F.col("doc_id").alias("_doc"), "component_id").agg(F.min("_text_hash").alias("_hash"))
-    kept = docs.withColumn("_hash", F.xxhash64("text")).join(judged.withColumnRenamed("_hash", "_kept"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_kept")))
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """One document of each group: the one with the least id, nulls last; documents without words all stay."""
+    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    # A group's first id is its component's, so among the rows that have it the least text decides.
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)
+    judged = minhash.near_duplicates(docs, shingle=5).where(first).groupBy("_class").agg(F.min("doc_id").alias("_doc"), F.min("_text_hash").alias("_kept")).drop("_class")
+    kept = docs.where(~bare).withColumn("_hash", F.xxhash64("text")).join(judged, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_kept")))
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns).unionByName(docs.where(bare))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,3 +245,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept == {*range(12), 20, 22}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_one_of_each_group_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(400 + i, 60) for i in range(4))
+    rows = [(None, a), (None, b), (None, b + " end"), (7, c), (7, d), (None, c + " end"), (8, d + " end"), (9, a + " end"), (9, a + " end"), (None, None), (None, None), (None, " "), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    bare = [x for x in rows if not (x[1] or "").strip()]
+    assert sorted(map(str, got)) in [sorted(map(str, [(9, a + " end"), x, (7, c), (7, d), *bare])) for x in rows[1:3]]
+    judged = minhash.near_duplicates(docs).collect()
+    assert sorted((r["component_id"], r["kept"]) for r in judged if r["doc_id"] is None and r["component_id"]) == [(7, False), (9, False)]

@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are copies. A null
     id is never a component's id unless all ids in it are null. An empty table gives an empty result;
-    other columns play no part. Returns id, n_shingles, component_id, kept, _text_hash.
+    other columns play no part. Returns id, n_shingles, component_id, kept, _text_hash and _class, which
+    is one for linked rows whatever their ids, and a row's own without shingles.
     """
     source = docs.select(F.monotonically_increasing_id().alias("_id"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     sketched = durable(sketches(source, shingle, k))
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sure = durable(verify(near, full))
     part = components(link_long_lists(full.join(met, "_id", "left_semi"), sure))
     mapped = classes.join(part, classes["rep"] == part["node"], "left").withColumn("component", F.coalesce("component", "rep"))
-    named = mapped.join(mapped.groupBy("component").agg(F.min("least_doc").alias("component_id")), "component").select("h1", "h2", "component_id")
-    out = sketched.select("_doc", "_text_hash", "size", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = mapped.join(mapped.groupBy("component").agg(F.min("least_doc").alias("component_id")), "component").select("h1", "h2", "component", "component_id")
+    out = sketched.select("_id", "_doc", "_text_hash", "size", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "_doc")
-    return out.select(F.col("_doc").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_doc") == component, F.lit(True)).alias("kept"), "_text_hash")
+    return out.select(F.col("_doc").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("_doc").eqNullSafe(component).alias("kept"), "_text_hash", F.coalesce("component", "_id").alias("_class"))

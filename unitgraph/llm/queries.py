@@ -12,7 +12,7 @@ from unitgraph.llm.common import table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("_text_hash")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("_text_hash", "_class")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
