@@ -112,6 +112,19 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty, "doc_id", F.col("source"), F.col("lang")).collect() == []
 
 
+def test_redact_overlapping_spans(spark):
+    hex_, key = "0123456789abcdef01234567", "AKIA" + "B2C4D6E8" * 2
+    cases = {
+        f"a token={hex_}.TailPart9 b": "a token=[secret] b",
+        f"a secret={key}/Tail9x b": "a secret=[secret] b",
+        f"a AKIA{'0123456789' * 2}{'abcdef' * 2} b": "a [secret] b",
+        f"a token=Head9.{hex_}.Tail b {key} c": "a token=[secret] b [secret] c",
+    }
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(cases)], "doc_id long, text string, source string")
+    fixed = by_id(secrets.redact(df, secrets.find_secrets(df, "doc_id", F.col("source"), F.col("source")), "doc_id"))
+    assert [fixed[i]["text"] for i in range(len(cases))] == list(cases.values())
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "same é"), (2, None, "same é"), (5, "http://c\r\nX: y", "same é"), (3, "u", None), (4, "u", ""), (6, "u", "z" * 3_000_000), (7, "u", "\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string").withColumn("path", F.lit("clash"))
     index, read = warc.archive(pages, str(tmp_path / "w"))

@@ -122,13 +122,13 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str, text: str = "text", m
         F.transform(F.filter("spans", lambda s: s["kind"] == "live"), lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("_cuts"),
     ).dropDuplicates(["_doc", "_hash"])
     joined = docs.join(live, (F.col(id_col).eqNullSafe(live["_doc"])) & (F.xxhash64(docs[text]) == live["_hash"]), "left")
-    # Pieces between the cuts; spans of one text are sorted, and live spans of one text do not overlap
-    # unless one holds the other, in which case the later one adds nothing.
+    # Pieces between the cuts, which are sorted by start; a cut that begins within the one before moves its
+    # end, if it reaches further.
     body = docs[text]
     state = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
     walked = F.aggregate(
         "_cuts", state,
-        lambda acc, c: F.when(c["s"] + 1 < acc["at"], acc).otherwise(F.struct((c["e"] + 1).alias("at"), F.concat(acc["out"], F.substring(body, acc["at"].cast("int"), (c["s"] + 1 - acc["at"]).cast("int")), F.lit(mark)).alias("out"))),
+        lambda acc, c: F.when(c["s"] + 1 < acc["at"], F.struct(F.greatest(acc["at"], c["e"] + 1).alias("at"), acc["out"].alias("out"))).otherwise(F.struct((c["e"] + 1).alias("at"), F.concat(acc["out"], F.substring(body, acc["at"].cast("int"), (c["s"] + 1 - acc["at"]).cast("int")), F.lit(mark)).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"].cast("int"), F.length(body))),
     )
     fixed = F.when(F.col("_cuts").isNotNull(), walked).otherwise(body)
