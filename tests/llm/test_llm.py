@@ -212,6 +212,39 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def test_licenses_with_inserted_words(spark):
+    """Words put into or changed in a notice, against every passage of the allowed length."""
+    rng, bank, texts = np.random.default_rng(11), licenses.Templates(licenses.LICENSES), []
+    for name, notice in licenses.LICENSES.items():
+        for inserted in range(8):
+            w = notice.split()
+            at = int(rng.integers(1, len(w)))
+            w[at:at] = prose(500 + inserted, inserted).split() if inserted else []
+            if inserted % 3 == 2:
+                w[int(rng.integers(len(w)))] = "changed"
+            texts.append((name, " ".join([prose(600, 40), *w, prose(601, 9), *w[:3], prose(602, 30)])))
+    expected = set()
+    for i, (_, t) in enumerate(texts):
+        _, h = licenses._words(t)
+        for name, notice in licenses.LICENSES.items():
+            _, n = licenses._words(notice)
+            k = min(5, len(n))
+            gram = lambda x: [tuple(x[a : a + k]) for a in range(len(x) - k + 1)]
+            mine, g, width = set(gram(n)), gram(h), -(-len(n) * 5 // 4) - k + 1
+            best = max(len(mine.intersection(g[a : a + width])) for a in range(len(g)))
+            if 5 * best >= 4 * len(mine):
+                expected.add((i, name, round(best / len(mine), 9)))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = [(r["doc_id"], r["license"], round(r["containment"], 9)) for r in licenses.scan_licenses(df).collect()]
+    assert set(got) == expected
+    # By hand: three words in the middle of 30 leave 22 of 26 shingles.
+    w = licenses.LICENSES["Apache-2.0-notice"].split()
+    (hit,) = [x for x in bank.find(" ".join(["x y", *w[:15], "one two three", *w[15:], "z"])) if x[0] == "Apache-2.0-notice"]
+    assert (hit[1], round(26 * hit[3])) == (4, 22)
+    twice = " ".join([*w, *w])
+    assert [(x[1], x[3]) for x in bank.find(twice) if x[0] == "Apache-2.0-notice"] == [(0, 1.0), (len(" ".join(w)) + 1, 1.0)]
+
+
 def test_marginals_match_enumeration():
     m = toxicity.Crf(trans=np.array([[0.4, -0.3], [-0.5, 0.9]]), bias=-0.7)
     score, n = {1: 1.3, 4: 2.0, 5: -0.4}, 8

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ LICENSES = {
     "all-rights-reserved": "All rights reserved",
 }
 SHINGLE = 5
-BANDS = 16
+#: The chance that no band retrieves a window that holds enough of a template.
+MISS = 3e-8
 TOKEN = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -45,23 +48,32 @@ def _permuted(g: np.ndarray, band: int) -> np.ndarray:
 class Templates:
     """Shingles, window length and one-row bands of every template.
 
-    A window as long as the template that holds 0.8 of its shingles has a Jaccard similarity of 2/3 or
-    more with it. With 16 bands of one row it is missed with a chance of (1/3)**16, or 3e-8.
+    A window is as many words as the template divided by ``least``, so that words may be put in. One with
+    ``need`` or more of the template's shingles, that share of them, has a Jaccard similarity of
+    need / (window + shingles - need) or more with it. There are as many bands of one row as miss it with
+    a chance of 3e-8 at most: 19 to 43 for the built-in templates.
     """
 
-    def __init__(self, templates: Mapping[str, str]) -> None:
+    def __init__(self, templates: Mapping[str, str], least: float = 0.8) -> None:
         self.items = []
         for name, text in templates.items():
             _, h = _words(text)
             if len(h):
                 k = min(SHINGLE, len(h))
                 g = np.unique(grams(h, k))
-                self.items.append((name, k, len(h), g, [_permuted(g, b).min() for b in range(BANDS)]))
+                need = max(1, ceil(least * len(g) - 1e-9))
+                width = max(len(h), ceil(len(h) / least - 1e-9)) - k + 1
+                alike = need / (width + len(g) - need)
+                bands = ceil(log(MISS) / log(1 - alike)) if alike < 1 else 1
+                self.items.append((name, k, width, need, g, [_permuted(g, b).min() for b in range(bands)]))
         self.sizes = sorted({i[1] for i in self.items})
-        self.known = {k: np.unique(np.concatenate([i[3] for i in self.items if i[1] == k])) for k in self.sizes}
+        self.known = {k: np.unique(np.concatenate([i[4] for i in self.items if i[1] == k])) for k in self.sizes}
 
-    def find(self, text: str, least: float) -> list[tuple[str, int, int, float]]:
-        """(name, start, end, containment), code points; the best of overlapping windows of a template."""
+    def find(self, text: str) -> list[tuple[str, int, int, float]]:
+        """(name, start, end, containment), code points; of overlapping passages of a template the best, then the shortest.
+
+        A passage goes from the first to the last of the shingles it takes from the template.
+        """
         at, h = _words(text)
         out = []
         for k in self.sizes:
@@ -72,38 +84,63 @@ class Templates:
             near = np.isin(g, self.known[k])
             if not near.any():
                 continue
-            for name, size, length, shingles, bands in self.items:
+            for name, size, longest, need, shingles, bands in self.items:
                 if size != k:
                     continue
-                width = min(length - k + 1, len(g))
+                mine = np.flatnonzero(near & np.isin(g, shingles))
+                # Too few in the whole text are too few in each window.
+                if len(np.unique(g[mine])) < need:
+                    continue
+                width = min(longest, len(g))
                 hit = np.zeros(len(g) - width + 1, bool)
-                for b in range(BANDS):
-                    hit |= sliding_min(_permuted(g, b), width) == bands[b]
-                best = [(len(np.intersect1d(g[i : i + width], shingles)) / len(shingles), -i) for i in np.flatnonzero(hit)]
-                taken: list[int] = []
-                for share, i in sorted(best, reverse=True):
-                    if share >= least and all(abs(-i - j) >= width + k - 1 for j in taken):
-                        taken.append(-i)
-                        out.append((name, at[-i][0], at[min(len(at), -i + width + k - 1) - 1][1], share))
+                for b, row in enumerate(bands):
+                    hit |= sliding_min(_permuted(g, b), width) == row
+                starts = np.flatnonzero(hit)
+                # Every passage that begins at one of the template's shingles in such a window.
+                held = zip(np.searchsorted(mine, starts).tolist(), np.searchsorted(mine, starts + width).tolist(), strict=True)
+                parts = {(a, j) for i, j in set(held) for a in range(i, j - need + 1)}
+                found = {p for a, j in parts if (p := _passage(mine[a:j], g, k, need))}
+                taken: list[tuple[int, int]] = []
+                for count, length, i in sorted(found, key=lambda p: (-p[0], p[1], p[2])):
+                    if all(i + length <= a or b <= i for a, b in taken):
+                        taken.append((i, i + length))
+                        out.append((name, at[i][0], at[i + length - 1][1], count / len(shingles)))
         out.sort(key=lambda x: (x[1], x[0]))
         return out
 
 
+def _passage(places: np.ndarray, g: np.ndarray, k: int, need: int) -> tuple[int, int, int] | None:
+    """(distinct shingles, words, first word) of the template's shingles at ``places``, without repeats at the ends."""
+    values = g[places].tolist()
+    left = Counter(values)
+    if len(left) < need:
+        return None
+    i, j = 0, len(values) - 1
+    while left[values[j]] > 1:
+        left[values[j]] -= 1
+        j -= 1
+    while left[values[i]] > 1:
+        left[values[i]] -= 1
+        i += 1
+    return len(left), int(places[j] - places[i]) + k, int(places[i])
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: Mapping[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """One row per licence notice found: id, license, start, end (code points), containment.
 
-    Words are compared without case and punctuation. Null and empty texts hold nothing; repeated rows
+    Words are compared without case and punctuation. A notice is a passage of at most the template's words
+    divided by ``least`` that holds that share of its shingles, so words may be changed or put in. Null and empty texts hold nothing; repeated rows
     give repeated results; texts are scanned whole; an empty table gives an empty result.
     """
     chosen = dict(templates if templates is not None else LICENSES)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bank = Templates(chosen)
+        bank = Templates(chosen, least)
         for b in batches:
             which, rows = [], []
             for i, t in enumerate(as_text(b.column("_text"))):
-                found = bank.find(t, least)
+                found = bank.find(t)
                 which += [i] * len(found)
                 rows += found
             if rows:
