@@ -151,3 +151,41 @@ def test_random_graphs(spark):
         for u in names:
             same = {v for v in names if v in reach(edges, u) and u in reach(edges, v)}
             assert groups.get((g, u)) == (min(same) if len(same) > 1 else None)
+
+
+def test_registered_costs_and_trips_are_whole(spark):
+    """All pairs against edge removal; each hop an edge, each trip as short as any."""
+    from unitgraph.plans import queries
+
+    run, at = queries.queries(), "/root/testdata/sf0.001"
+    edges = {(r["from_key"], r["to_key"], r["section"], r["file"], r["line"]) for r in run["where_written"](spark, at).collect()}
+    out = {}
+    for a, b, *_ in edges:
+        out.setdefault(a, set()).add(b)
+
+    def reach(start, gone=None):
+        depth, todo = {start: 0}, [start]
+        for u in todo:
+            for v in out.get(u, ()):
+                if v not in depth and (u, v) != gone:
+                    depth[v] = depth[u] + 1
+                    todo.append(v)
+        return depth
+
+    every = len(reach("APP"))
+    assert rows(run["edge_cost_all"](spark, at), "from_key", "to_key", "exclusive") == sorted((a, b, every - len(reach("APP", (a, b)))) for a, b, *_ in edges)
+    trips = {r["component"]: r["chain"].split(">") for r in run["round_trip_chain"](spark, at).collect()}
+    far = {u: reach(u) for u in out}
+    mutual = {u: [v for v in far[u] if v in far and u in far[v]] for u in out}
+    assert set(trips) == {u for u, vs in mutual.items() if len(vs) > 1 and u == min(vs)}
+    hops = {}
+    for r in run["cycle_report_hops"](spark, at).collect():
+        hops.setdefault(r["component"], {})[r["hop"]] = r
+    for c, chain in trips.items():
+        assert chain[0] == chain[-1] == c and len(chain) - 1 == 1 + min(far[c][u] for u in mutual[c] if u != c and c in out[u])
+        assert sorted(hops[c]) == list(range(len(chain) - 1))
+        for i, r in hops[c].items():
+            section = {"prog": "program", "intf": "interface", "impl": "implementation"}[r["section"]]
+            assert any((a, b, s, f"{f}({n})") == (chain[i], chain[i + 1], section, r["where"]) for a, b, s, f, n in edges)
+            assert (r["from_unit"].upper(), r["to_unit"].upper(), r["size"]) == (chain[i], chain[i + 1], len(mutual[c]))
+    assert trips

@@ -218,6 +218,12 @@ def edge_cost(g: Graph) -> DataFrame:
     return dominators.edge_cost(g.pairs, g.root).where(root_and_regions).select("from_key", "to_key", "exclusive")
 
 
+@query
+def edge_cost_all(g: Graph) -> DataFrame:
+    """Every dependency; ``edge_cost`` shows those its SQL can take away one by one."""
+    return dominators.edge_cost(g.pairs, g.root).select("from_key", "to_key", "exclusive")
+
+
 @query
 def cost_unit(g: Graph) -> DataFrame:
     return dominators.cost_unit(g.nodes, g.edges, g.pairs, g.root, match.patterns(g.spark, "Region.R1"), 50).select("from_key", "to_key", "exclusive", "total", "where")
@@ -241,6 +247,18 @@ def cycle_report(g: Graph) -> DataFrame:
     return out.groupBy("component", "size").agg(F.count(F.lit(1)).alias("hops"))
 
 
+@query
+def round_trip_chain(g: Graph) -> DataFrame:
+    """The way round itself; of several as short as it, SQL can not tell which."""
+    return cycles.round_trip(g.pairs, durable(cycles.cycles(g.pairs))).select("component", F.array_join("chain", ">").alias("chain"))
+
+
+@query
+def cycle_report_hops(g: Graph) -> DataFrame:
+    groups = durable(cycles.cycles(g.pairs))
+    return cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups)).drop("graph_id")
+
+
 @query
 def unresolved(g: Graph) -> DataFrame:
     return reports.unresolved(g.nodes, g.edges).select("key", "name", "from_unit", "certainty", "line", "rank")
