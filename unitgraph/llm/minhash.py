@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_bytes
+from unitgraph.llm.common import as_bytes, join_counted
 from unitgraph.plans.durable import durable
 
 SKETCH = 64
+#: Values of a longer sketch, for documents that meet on long lists only.
+LONG_SKETCH = 512
 #: Similarity of linked sets, in hundredths.
 PERCENT = 80
 #: The longest inverted list whose pairs are formed directly.
 SHORT = 32
+#: Members of a long list that one task compares with another such block.
+BLOCK = 1024
+#: Standard deviations below its mean at which a linked pair's estimate is still taken.
+SPREAD = 6.2
 
 
 class _Hashes(dict):
@@ -85,52 +92,73 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, "_id long, full array<long>")
 
 
-def rare_prefix(postings: DataFrame, length: Column, total: Column) -> DataFrame:
-    """Of each document's values the ``length`` rarest, by their number of documents; values of one document go unseen.
+def least_shared(k: int) -> int:
+    """Values that the bottom-k sketches of two linked sets share, but for a chance of about 1e-8.
 
-    ``postings``: (_id, size, value). Two sets that share at least s values have one in common among the
-    first (size - s + 1) of each, in any order common to both. The rarest first gives the shortest lists.
-    Returns (_id, size, value, place), place counting from 0 in that order, without values held by one.
+    Of the k least values of the union each is in both sets with a probability of 0.8 or more, and all of
+    those are in both sketches.
     """
-    df = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = postings.join(df, "value").groupBy("_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
-    lone = total - F.size("vs")
-    kept = held.withColumn("vs", F.slice("vs", 1, F.greatest(F.lit(0), (length - lone)).cast("int"))).withColumn("lone", lone)
-    return kept.select("_id", "size", "lone", F.posexplode("vs").alias("p", "v")).select("_id", "size", F.col("v.value").alias("value"), (F.col("p") + F.col("lone")).cast("long").alias("place"))
+    return floor(PERCENT / 100 * k - SPREAD * sqrt(k * PERCENT * (100 - PERCENT) / 10_000))
+
+
+def rare_prefix(sketched: DataFrame, k: int) -> DataFrame:
+    """Of each document's sketch the rarest values, as many as a linked document can not avoid altogether.
+
+    ``sketched``: (_id, size, sketch), durable. Two sketches that share at least s values have one in
+    common among the first (held - s + 1) of each, in any order common to both; the rarest first gives
+    the shortest lists. A set whose partners are all whole in their sketches needs the exact overlap.
+    Returns (_id, size, value, place), place counting from 0 in that order. Values that one document holds
+    alone come first in it and are not returned.
+    """
+    size, held = F.col("size"), F.least(F.col("size"), F.lit(k).cast("long"))
+    exact = F.ceil(size * PERCENT / F.lit(100))
+    need = F.when(100 * size < PERCENT * (k + 1), exact).otherwise(F.least(exact, F.lit(least_shared(k)).cast("long")))
+    postings = sketched.select("_id", "size", F.explode("sketch").alias("value"))
+    df = durable(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    known = join_counted(postings, df, ["value"], "df").groupBy("_id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))
+    # Counted before the list is cut: what is left out of it later is not a document's own.
+    known = known.select("_id", "size", "vs", (held - F.size("vs")).alias("lone"), (held - need + 1).alias("length"))
+    cut = known.withColumn("vs", F.slice("vs", 1, F.greatest(F.lit(0), F.col("length") - F.col("lone")).cast("int")))
+    return cut.select("_id", "size", "lone", F.posexplode("vs").alias("p", "v")).select("_id", "size", F.col("v.value").alias("value"), (F.col("p") + F.col("lone")).alias("place"))
 
 
 def with_list_size(lists: DataFrame) -> DataFrame:
-    n = lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return lists.join(n, "value")
+    """``lists``, durable, with the length ``n`` of each value's list, where that is 2 or more."""
+    n = durable(lists.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_counted(lists, n, ["value"], "n")
 
 
-def pairs_within(lists: DataFrame, condition: Column | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of documents on one list, similar enough in size; lists are short."""
+def pairs_within(lists: DataFrame, k: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of documents on one list that can be linked; lists are short."""
     x, y = lists.alias("x"), lists.alias("y")
-    same = (F.col("x.value") == F.col("y.value")) & (F.col("x._id") < F.col("y._id")) & sizes_fit(F.col("x.size"), F.col("y.size"))
-    if condition is not None:
-        same = same & condition
+    same = (F.col("x.value") == F.col("y.value")) & (F.col("x._id") < F.col("y._id")) & can_link(k)
     return x.join(y, same).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
 
 
-def sizes_fit(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def can_link(k: int) -> Column:
+    """Whether x and y, met on a value, are similar enough in size and can still share enough from there on."""
+    a, b = F.col("x.size"), F.col("y.size")
+    fit = 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    left = F.least(F.least(a, F.lit(k)) - F.col("x.place"), F.least(b, F.lit(k)) - F.col("y.place"))
+    whole = F.greatest(a, b) <= k
+    return fit & F.when(whole, (100 + PERCENT) * left >= PERCENT * (a + b)).otherwise(left >= least_shared(k))
 
 
-def can_overlap(x: str, y: str) -> Column:
-    """What two sets can still share from a common value on, by its places in them, against what they must."""
-    left = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
-    return (100 + PERCENT) * left >= PERCENT * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+def estimate(pairs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
+    """Pairs that may be linked by the share of the union's k least values that both hold.
 
-
-def estimate(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs whose similarity, estimated on the k least values of the union, is ``least`` or more."""
-    s = reps.select("_id", "sketch")
-    both = pairs.join(s.select(F.col("_id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    both = both.withColumn("u", union)
-    common = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    return both.where(common >= least * F.size("u")).select("a", "b")
+    Two sets that are whole in their sketches are judged exactly. For others the bar is SPREAD standard
+    deviations below the similarity of a link; the k values are drawn from a union of at most
+    (a + b) / 1.8, so the deviation shrinks as the sketch nears the whole.
+    """
+    s = sketched.select("_id", "size", "sketch")
+    both = pairs.join(s.select(F.col("_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb")), "b")
+    whole, least = F.greatest("na", "nb") <= k, F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
+    both = both.withColumn("shared", F.when(whole, F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(F.array_intersect("sa", "sb"), least))))
+    exact = 100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared"))
+    part = F.greatest(F.lit(0.0), 1 - k / ((F.col("na") + F.col("nb")) * 100 / (100 + PERCENT)))
+    bar = PERCENT / 100 * k - SPREAD * F.sqrt(F.lit(k * PERCENT * (100 - PERCENT) / 10_000) * part) - 1
+    return both.where(F.when(whole, exact).otherwise(F.col("shared") >= bar)).select("a", "b")
 
 
 def verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -160,33 +188,42 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def link_long_lists(full: DataFrame, known: DataFrame) -> DataFrame:
-    """Links that join components of ``known`` among documents that met on lists too long for all pairs.
+def link_long_lists(full: DataFrame, known: DataFrame, k: int = LONG_SKETCH) -> DataFrame:
+    """(node, component) of ``known`` and of the documents of ``full``, which met on lists too long for all pairs.
+
+    The same method with a longer sketch: whole for most documents, and its estimate is sharp enough to
+    leave few pairs for the full sets. Values are ordered by their number among these documents only,
+    which pushes what a group of copies shares to the end. A list still long is first linked to one hub,
+    the member that holds least of its own, which makes one component of a group of near copies. Then
+    only members outside the list's largest component are tried against those of other components, in
+    blocks, so a hot value is many tasks' work. Components come out the same as from all pairs.
 
-    An exact search on full sets. Values are ordered by their number among these documents only, which
-    pushes what a group of copies shares to the end, and a pair is formed only if the places of a common
-    value in both leave room for the overlap it needs. A list still long is first linked to one hub, the
-    member that holds least of its own; then only members outside the list's largest component are tried
-    against the others. Components come out the same as from all pairs.
+    Documents of one template that are not linked have to be told apart pair by pair: this is the one
+    step whose work is not linear in the input, and the estimate does it on sketches.
     """
-    sized = full.select("_id", F.size("full").cast("long").alias("size"), "full")
-    postings = sized.select("_id", "size", F.explode("full").alias("value"))
-    size = F.col("size")
-    need = F.ceil(size * PERCENT / F.lit(100))
-    lists = durable(with_list_size(rare_prefix(postings, size - need + 1, size)))
+    sketched = durable(full.select("_id", F.size("full").cast("long").alias("size"), F.slice("full", 1, k).alias("sketch")))
+    lists = durable(with_list_size(durable(rare_prefix(sketched, k))))
     short, long_ = lists.where(F.col("n") <= SHORT), lists.where(F.col("n") > SHORT)
-    met = pairs_within(short, can_overlap("x", "y"))
-    hub = long_.groupBy("value").agg(F.max_by("_id", F.struct((F.lit(0) - F.col("place") / F.col("size")).alias("own"), (-F.col("_id")).alias("id"))).alias("hub"))
-    to_hub = long_.join(hub, "value").where("_id != hub").select(F.least("_id", "hub").alias("a"), F.greatest("_id", "hub").alias("b")).distinct()
-    links = durable(verify(met.unionByName(to_hub).distinct(), full).unionByName(known))
-    part = components(links)
-    placed = long_.join(part, long_["_id"] == part["node"], "left").withColumn("component", F.coalesce("component", "_id")).drop("node")
-    largest = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = placed.join(largest, "value")
-    x, y = open_.where("component != largest").alias("x"), open_.alias("y")
-    left = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component")) & sizes_fit(F.col("x.size"), F.col("y.size")) & can_overlap("x", "y")
-    rest = x.join(y, left).select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
-    return links.unionByName(verify(rest, full))
+    own = (F.lit(0) - F.col("place") / F.col("size")).alias("own")
+    hub = durable(long_.groupBy("value").agg(F.max_by("_id", F.struct(own, (-F.col("_id")).alias("id"))).alias("hub"), F.first("n").alias("members")))
+    to_hub = join_counted(long_, hub, ["value"], "members").where("_id != hub").select(F.least("_id", "hub").alias("a"), F.greatest("_id", "hub").alias("b"))
+    met = pairs_within(short, k).unionByName(to_hub).distinct()
+    part = components(verify(durable(estimate(met, sketched, k)), full).unionByName(known))
+    placed = durable(long_.join(part, long_["_id"] == part["node"], "left").withColumn("component", F.coalesce("component", "_id")).drop("node"))
+    largest = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("members")).where("parts > 1")
+    open_ = join_counted(placed, durable(largest), ["value"], "members").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    y = open_.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")).alias("y")
+    x = open_.where("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & can_link(k)
+    rest = x.join(y, apart).select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
+    more = durable(verify(durable(estimate(rest, sketched, k)), full))
+    # Components found later join those found before.
+    name = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    over = components(between)
+    every = part.unionByName(over.join(part, "node", "left_anti"))
+    late = over.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    return every.join(late, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, k: int = SKETCH) -> DataFrame:
@@ -194,36 +231,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Documents are linked at a Jaccard similarity of 0.8 or more of their shingle sets; a component is
     what links reach. Equal sets are one class first, so copies cost nothing. Each class keeps a
-    bottom-k sketch from one hash function. Two sets at 0.8 share at least half a sketch (but for a
-    chance of 2e-8 at k = 64), so an inverted list over each sketch's rarest values finds every pair:
-    short lists give pairs, which the estimate on the union's sketch filters and full sets confirm;
-    what meets on longer lists goes to ``link_long_lists``. Sets of few shingles are whole in their
+    bottom-k sketch from one hash function. Two sets at 0.8 share 31 values of 64 (but for a chance of
+    1e-8), so an inverted list over each sketch's rarest values finds every pair: short lists give pairs,
+    which the estimate on the union's sketch filters and full sets confirm; what meets on longer lists
+    goes to ``link_long_lists``, the same with a longer sketch. Sets of few shingles are whole in their
     sketch, and exact throughout.
 
-    Null and empty texts have no shingles and are linked with nothing. Repeated rows are copies. A null
-    id is never a component's id unless all ids in it are null. An empty table gives an empty result;
-    other columns play no part. Returns id, n_shingles, component_id, kept, _text_hash and _class, which
+    Null and empty texts have no shingles and are linked with nothing. Repeated rows are copies; of
+    copies with one id all have the same verdict. Long texts are taken whole. A null id is never a
+    component's id unless all ids in it are null. An empty table gives an empty result; other columns play
+    no part, whatever their names. Returns id, n_shingles, component_id, kept, _text_hash and _class, which
     is one for linked rows whatever their ids, and a row's own without shingles.
     """
     source = docs.select(F.monotonically_increasing_id().alias("_id"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     sketched = durable(sketches(source, shingle, k))
-    classes = durable(sketched.where("size > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.min("_doc").alias("least_doc")))
+    classes = durable(sketched.where("size > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.min("_doc").alias("least_doc"), F.count(F.lit(1)).alias("members")))
     reps = durable(sketched.join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi"))
-    held, size = F.least(F.col("size"), F.lit(k).cast("long")), F.col("size")
-    # A set whose partners may all be whole in their sketches needs the exact overlap, others half a sketch.
-    need = F.when(100 * size < PERCENT * (k + 1), F.ceil(size * PERCENT / F.lit(100))).otherwise(F.lit(k // 2))
-    postings = reps.select("_id", "size", F.explode("sketch").alias("value"))
-    lists = durable(with_list_size(rare_prefix(postings, held - need + 1, held)))
-    near = durable(estimate(pairs_within(lists.where(F.col("n") <= SHORT)), reps, k, 0.5))
+    lists = durable(with_list_size(durable(rare_prefix(reps.select("_id", "size", "sketch"), k))))
+    near = durable(estimate(pairs_within(lists.where(F.col("n") <= SHORT), k), reps, k))
     met = lists.where(F.col("n") > SHORT).select("_id").distinct()
     wanted = near.select(F.col("a").alias("_id")).unionByName(near.select(F.col("b").alias("_id"))).unionByName(met).distinct()
     keys = reps.join(wanted, "_id", "left_semi").select("_id", "_doc", "_text_hash")
     texts = source.drop("_id").join(keys, source["_doc"].eqNullSafe(keys["_doc"]) & (source["_text_hash"] == keys["_text_hash"])).select("_id", "_text").dropDuplicates(["_id"])
     full = durable(full_sets(texts, shingle))
-    sure = durable(verify(near, full))
-    part = components(link_long_lists(full.join(met, "_id", "left_semi"), sure))
-    mapped = classes.join(part, classes["rep"] == part["node"], "left").withColumn("component", F.coalesce("component", "rep"))
-    named = mapped.join(mapped.groupBy("component").agg(F.min("least_doc").alias("component_id")), "component").select("h1", "h2", "component", "component_id")
-    out = sketched.select("_id", "_doc", "_text_hash", "size", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "_doc")
-    return out.select(F.col("_doc").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"), F.col("_doc").eqNullSafe(component).alias("kept"), "_text_hash", F.coalesce("component", "_id").alias("_class"))
+    part = link_long_lists(full.join(met, "_id", "left_semi"), durable(verify(near, full)))
+    mapped = durable(classes.join(part, classes["rep"] == part["node"], "left").withColumn("component", F.coalesce("component", "rep")).select("h1", "h2", "component", "least_doc", "members"))
+    ids = durable(mapped.groupBy("component").agg(F.min("least_doc").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    named = durable(join_counted(mapped.drop("least_doc"), ids, ["component"], "classes").drop("classes"))
+    slim = sketched.select("_id", "_doc", "_text_hash", "size", "h1", "h2")
+    linked = join_counted(slim.where("size > 0"), named, ["h1", "h2"], "members").select("_id", "_doc", "_text_hash", "size", "component", "component_id")
+    bare = slim.where("size = 0").select("_id", "_doc", "_text_hash", "size", F.col("_id").alias("component"), F.col("_doc").alias("component_id"))
+    out = linked.unionByName(bare)
+    return out.select(F.col("_doc").alias(id_col), F.col("size").alias("n_shingles"), "component_id", F.col("_doc").eqNullSafe(F.col("component_id")).alias("kept"), "_text_hash", F.col("component").alias("_class"))
