@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from unitgraph.plans.durable import durable
+
 #: A word is a run of code points other than space, tab, line feed, vertical tab, form feed and return.
 #: ``bytes.split()`` cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,3 +69,13 @@ def join_counted(rows: DataFrame, counts: DataFrame, key: Sequence[str], n: str,
     hot, cold = counts.where(F.col(n) > bar), counts.where(F.col(n) <= bar)
     rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def ranked(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df``, durable and in order, with ``_rank`` from 0: places within ranges, after the rows of the ranges before."""
+    cut = durable(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    base = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return cut.join(F.broadcast(base), "_part").withColumn("_rank", F.col("_base") + within - 1).select(*df.columns, "_rank")

@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from unitgraph.llm.common import SPACE, running_total
+from unitgraph.llm.common import SPACE, join_counted, ranked, running_total
 from unitgraph.plans.durable import durable
 
 #: 2**64 divided by the golden ratio: multiples of it, modulo 2**64, are the golden-ratio points.
@@ -22,96 +23,115 @@ def n_words(text: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, f"{SPACE}+"))).cast("long")
 
 
-def fill_targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: float) -> list[float]:
-    """Shares of ``budget`` by weight, none above ``most`` times its size.
+def water_level(sources: DataFrame, budget: float, most: float) -> float:
+    """The level at which sources, each taking the least of ``most * size`` and level * weight, take ``budget`` together.
 
-    What is cut off is shared again by weight among the rest, until none is above. At the end every
-    source has the least of its cap and one common level times its weight.
+    What is cut off at a source's cap is shared again by weight among the rest, until none is above. The
+    level only rises, so each round is one aggregate over ``sources`` (size, weight), however many there are.
     """
-    target, open_, left = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}, float(budget)
-    while open_:
-        level = left / sum(weights[i] for i in open_)
-        full = {i for i in open_ if level * weights[i] > most * sizes[i]}
-        if not full:
-            for i in open_:
-                target[i] = level * weights[i]
-            break
-        for i in full:
-            target[i] = most * float(sizes[i])
-            left -= target[i]
-        open_ -= full
-    return target
-
-
-def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: float, max_sources: int) -> pd.DataFrame:
-    """One row per source, in code point order with null last: size, weight and target."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; group them first")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in rows]
-    w = [float(weights[i % len(weights)]) for i in range(len(rows))]
-    return pd.DataFrame({"source": [r["source"] for r in rows], "at": range(len(rows)), "size": sizes, "target": fill_targets(sizes, w, share * sum(sizes), most)})
-
-
-def schedule(spark, blocks: Sequence[int]) -> DataFrame:
-    """The order in which blocks are taken: (slot, at, rank), with ``blocks[at]`` ranks for each source.
+    cap, level, full = F.col("size") * F.lit(float(most)), 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > cap
+        r = sources.agg(F.sum(F.when(over, cap)).alias("caps"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count(F.when(over, True)).alias("full")).first()
+        if r["full"] == full or not r["open"]:
+            return level
+        full, level = r["full"], (float(budget) - (r["caps"] or 0.0)) / r["open"]
+
+
+def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """Durable: each source (_key, _null), numbered ``at`` in code point order with null last: documents, source_size, target, words, blocks."""
+    found = durable(sized.groupBy("_key", "_null").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("documents")))
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    named = durable(ranked(found, "_null", "_key").withColumn("weight", F.get(cycle, (F.col("_rank") % len(weights)).cast("int"))))
+    level = water_level(named, share * (named.agg(F.sum("size")).first()[0] or 0), most)
+    target = F.least(F.col("size") * F.lit(float(most)), F.lit(level) * F.col("weight"))
+    return durable(named.select("_key", "_null", "documents", F.col("_rank").alias("at"), F.col("size").alias("source_size"), target.alias("target"), F.round(target).cast("long").alias("words")))
+
+
+@F.pandas_udf(T.DoubleType())
+def golden_point(slot: pd.Series) -> pd.Series:
+    """Point number ``slot`` of the golden-ratio sequence, in [0, 1)."""
+    with np.errstate(over="ignore"):
+        u = (slot.to_numpy(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
+    return pd.Series(np.minimum(u.astype(float) / 2.0**64, np.nextafter(1.0, 0.0)))
+
+
+def schedule(sources: DataFrame, few: int = 100_000) -> DataFrame:
+    """The order in which blocks are taken: (slot, at, rank), with ``blocks`` ranks for each source ``at``.
 
     Slot i looks up point i of the golden-ratio sequence in the cumulative shares; the k-th slot that
     falls to a source takes its k-th block. Any run of slots holds each source in its share to within
-    a few blocks. A source that the points give too few slots has its last blocks at the end.
+    a few blocks. A source that the points give too few slots has its last blocks at the end. Shares are
+    looked up by equal cuts of [0, 1), of which a large source has many: a join that no source makes hot.
     """
-    total = int(sum(blocks))
+    spark = sources.sparkSession
+    size = sources.agg(F.sum("blocks").alias("blocks"), F.count(F.lit(1)).alias("n")).first()
+    total, many = int(size["blocks"] or 0), int(size["n"])
     if total == 0:
-        return spark.createDataFrame([], "slot long, at int, rank long")
-    ends = np.cumsum(np.asarray(blocks, float)) / total
-
-    @F.pandas_udf("int")
-    def source_of(slot: pd.Series) -> pd.Series:
-        with np.errstate(over="ignore"):
-            u = (slot.to_numpy(np.uint64) + np.uint64(1)) * np.uint64(GOLDEN)
-        return pd.Series(np.minimum(np.searchsorted(ends, u.astype(float) / 2.0**64, side="right"), len(ends) - 1)).astype("int32")
-
-    n = total + total // 64 + 16 * len(blocks)
-    slots = durable(spark.range(n).select(F.col("id").alias("slot"), source_of("id").alias("at"), F.lit(1).cast("long").alias("one")))
-    ranked = running_total(slots, ["at"], F.col("slot") * F.lit((2**63 - 1) // n), "one", "rank")
-    wanted = spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks)], "at int, wanted long")  # as many rows as sources, which are counted
-    kept = ranked.join(F.broadcast(wanted), "at").where("rank < wanted").select("slot", "at", "rank")
-    have = slots.groupBy("at").agg(F.sum("one").alias("have"))
-    short = F.broadcast(wanted).join(have, "at", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < wanted")
-    late = short.select("at", F.explode(F.sequence(F.col("have"), F.col("wanted") - 1)).alias("rank"))
-    late = late.select((F.lit(n) + F.col("rank") * len(blocks) + F.col("at")).alias("slot"), "at", "rank")
-    return kept.unionByName(late)
+        return spark.createDataFrame([], "slot long, at long, rank long")
+    cuts = max(1024, many)
+    ends = running_total(sources.select("at", "blocks"), [], F.col("at") * F.lit((2**63 - 1) // many), "blocks", "before").where("blocks > 0")
+    ends = ends.select(F.col("at"), (F.col("before") / F.lit(total)).alias("lo"), ((F.col("before") + F.col("blocks")) / F.lit(total)).alias("hi"))
+    ends = ends.withColumn("cut", F.explode(F.sequence(F.floor(F.col("lo") * cuts), F.least(F.floor(F.col("hi") * cuts), F.lit(cuts - 1)))))
+    n = total + total // 64 + 16 * many
+    points = spark.range(n).select(F.col("id").alias("slot"), golden_point("id").alias("u")).withColumn("cut", F.floor(F.col("u") * cuts))
+    slots = points.join(F.broadcast(ends) if many <= few else ends, "cut").where("lo <= u and u < hi").select("slot", "at", F.lit(1).cast("long").alias("one"))
+    slots = durable(slots)
+    taken = running_total(slots, ["at"], F.col("slot") * F.lit((2**63 - 1) // n), "one", "rank")
+    have = durable(slots.groupBy("at").agg(F.sum("one").alias("have")))
+    wanted = sources.select("at", "blocks").join(have, "at", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    kept = join_counted(durable(taken), wanted.where("have > 0"), ["at"], "have").where("rank < blocks").select("slot", "at", "rank")
+    late = wanted.where("have < blocks").select("at", F.explode(F.sequence(F.col("have"), F.col("blocks") - 1)).alias("rank"))
+    return kept.unionByName(late.select((F.lit(n) + F.col("rank") * many + F.col("at")).alias("slot"), "at", "rank"))
+
+
+def _mixture(docs: DataFrame, id_col: str, source: str, text: str, weights: Sequence[float], share: float, most: float, block_words: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their sources' targets, and the pieces of them that the blocks of the schedule hold."""
+    sized = durable(docs.select(
+        F.monotonically_increasing_id().alias("_id"), F.col(id_col).alias("_doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_key"), F.col(source).isNull().alias("_null"),
+        F.xxhash64(text).alias("_text_hash"), n_words(F.col(text)).alias("size")))
+    sources = source_targets(sized, weights, share, most)
+    known = join_counted(sized, sources, ["_key", "_null"], "documents").withColumn("_shuffled", F.xxhash64(F.lit(seed), "_doc"))
+    known = durable(known.select("_id", "_doc", "_key", "_null", "_text_hash", "size", "at", "source_size", "target", "words", "_shuffled"))
+    placed = running_total(known.select("_id", "at", "_shuffled", "size"), ["at"], F.col("_shuffled"), "size", "start").select("_id", "start")
+    epochs = known.join(placed, "_id").where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(int(np.ceil(most)))])))
+    at = F.col("epoch") * F.col("source_size") + F.col("start")
+    pieces = epochs.select("_id", "at", at.alias("a"), F.least(at + F.col("size"), F.col("words")).alias("b")).where("a < b")
+    b = F.lit(block_words).cast("long")
+    block = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / b), F.floor((F.col("b") - 1) / b))))
+    first = F.greatest("a", F.col("rank") * b)
+    block = block.select("_id", "at", "rank", (first - F.col("a")).alias("start"), (F.least("b", (F.col("rank") + 1) * b) - first).alias("words"))
+    slots = schedule(sources.withColumn("blocks", F.ceil(F.col("words") / b)))
+    return known, block.join(slots, ["at", "rank"]).select("_id", "slot", "rank", "start", "words")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
-        most: float = 2.0, block_words: int = 256, seed: int = 42, max_sources: int = 10_000) -> DataFrame:
+        most: float = 2.0, block_words: int = 256, seed: int = 42) -> DataFrame:
     """How many words the mix takes of each document: id, source, size, source_size, target, taken, first_slot.
 
     Each source's documents, shuffled by a hash of their ids, form one stream, which is read again from
     its start when it ends and is cut into blocks of ``block_words`` words. The schedule takes block
     after block; the last one is cut where the source's target is met, so a source's taken words are its
     target, rounded, and no document is taken more than ``most`` times. The same input gives the same
-    mix.
+    mix. ``first_slot`` is where the mix first reads of the document; ``mix_blocks`` has all of them.
 
-    Null texts have size 0 and are taken 0 times; a null source is a source of its own, last. Repeated
-    rows are separate documents. An empty table gives an empty result.
+    Null texts have size 0 and are taken 0 times; a null source is a source of its own, last. Any number of
+    sources will do. Repeated rows are separate documents; ties in the shuffle are settled by the row.
+    Long texts are cut over many blocks. An empty table gives an empty result. Other columns play no
+    part, whatever their names.
     """
-    spark = docs.sparkSession
-    sized = durable(docs.select(F.monotonically_increasing_id().alias("_id"), F.col(id_col).alias("_doc"), F.col(source).alias("source"), F.xxhash64(text).alias("_text_hash"), n_words(F.col(text)).alias("size")))
-    targets = source_targets(sized, weights, share, most, max_sources)
-    table = F.broadcast(spark.createDataFrame([(r.source, int(r.at), int(r.size), float(r.target), int(round(r.target))) for r in targets.itertuples()], "source string, at int, source_size long, target double, words long"))
-    known = sized.join(table, sized["source"].eqNullSafe(table["source"])).drop(table["source"])
-    known = known.withColumn("_shuffled", F.xxhash64(F.lit(seed), "_doc"))
-    placed = running_total(known.select("_id", "at", "_shuffled", "size"), ["at"], F.col("_shuffled"), "size", "start")
-    placed = durable(placed.select("_id", "start"))
-    full = known.join(placed, "_id")
-    epochs = full.where("size > 0").withColumn("epoch", F.explode(F.array(*[F.lit(e).cast("long") for e in range(int(np.ceil(most)))])))
-    at = F.col("epoch") * F.col("source_size") + F.col("start")
-    pieces = epochs.select("_id", "at", at.alias("a"), F.least(at + F.col("size"), F.col("words")).alias("b")).where("a < b")
-    b = F.lit(block_words).cast("long")
-    block = pieces.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / b), F.floor((F.col("b") - 1) / b))))
-    block = block.select("_id", "at", "rank", (F.least("b", (F.col("rank") + 1) * b) - F.greatest("a", F.col("rank") * b)).alias("words"))
-    slots = schedule(spark, [int(-(-round(t) // block_words)) for t in targets["target"]])
-    taken = block.join(slots, ["at", "rank"]).groupBy("_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return known.join(taken, "_id", "left").select(F.col("_doc").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "_text_hash", F.col("_id").alias("_row"))
+    known, pieces = _mixture(docs, id_col, source, text, weights, share, most, block_words, seed)
+    taken = pieces.groupBy("_id").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return known.join(taken, "_id", "left").select(F.col("_doc").alias(id_col), F.when(~F.col("_null"), F.col("_key")).alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "_text_hash", F.col("_id").alias("_row"))
+
+
+def mix_blocks(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+               most: float = 2.0, block_words: int = 256, seed: int = 42) -> DataFrame:
+    """The mix itself: (slot, source, rank, id, start, words), to be read by slot.
+
+    Block ``rank`` of a source is read at ``slot``; it holds ``words`` words from word ``start`` of each of
+    its documents on. See ``mix``.
+    """
+    known, pieces = _mixture(docs, id_col, source, text, weights, share, most, block_words, seed)
+    name = known.select("_id", F.col("_doc").alias(id_col), F.when(~F.col("_null"), F.col("_key")).alias("source"))
+    return pieces.join(name, "_id").select("slot", "source", "rank", id_col, "start", "words")
