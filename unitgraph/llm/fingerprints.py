@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from unitgraph.llm.common import as_text, partitions
 
 SAMPLES = 64
-#: Term parameters kept by one worker; each takes about 6 bytes times SAMPLES.
-CACHE = 150_000
+#: Terms whose draws one worker keeps; each takes 8 bytes times SAMPLES.
+CACHE = 112_000
 
 
 def _uniform(keys: np.ndarray, stream: int, samples: int) -> np.ndarray:
@@ -30,11 +30,13 @@ def _uniform(keys: np.ndarray, stream: int, samples: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def sample_terms(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+def sample_terms(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """Improved consistent weighted sampling (Ioffe 2010) for terms with hashes and weights.
 
     For each term and sample r and c come from Gamma(2, 1) and b from U(0, 1), drawn from the term's
-    hash alone. Returns ln a and a 16-bit tag of (term, level); the term with the least a is the sample.
+    hash alone. The term with the least a is the sample. Returns one number for each: ln a in single
+    precision, in the order of its values, and below it a 16-bit tag of (term, level), so that of equal ln a
+    the least tag decides, whatever the order of the terms.
     """
     r = -np.log(_uniform(keys, 0, samples) * _uniform(keys, 1, samples))
     c = -np.log(_uniform(keys, 2, samples) * _uniform(keys, 3, samples))
@@ -43,7 +45,9 @@ def sample_terms(keys: np.ndarray, weights: np.ndarray, samples: int = SAMPLES)
     ln_a = np.log(c) - r * (level - b) - r
     with np.errstate(over="ignore"):
         tag = (keys[:, None] ^ level.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ln_a.astype(np.float32), (tag >> np.uint64(48)).astype(np.uint16)
+    bits = ln_a.astype(np.float32).view(np.uint32)
+    rising = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+    return rising.astype(np.uint64) << np.uint64(16) | tag >> np.uint64(48)
 
 
 class Fingerprinter:
@@ -52,8 +56,7 @@ class Fingerprinter:
     def __init__(self, samples: int = SAMPLES, cache: int = CACHE) -> None:
         self.samples, self.cache = samples, cache
         self.at: dict[tuple[bytes, int], int] = {}
-        self.ln_a = np.empty((cache, samples), np.float32)
-        self.tag = np.empty((cache, samples), np.uint16)
+        self.drawn = np.empty((cache, samples), np.uint64)
 
     def signature(self, text: bytes) -> np.ndarray | None:
         """None for a text without words."""
@@ -67,31 +70,19 @@ class Fingerprinter:
                 new.append(pair)
             else:
                 known.append(k)
-        best = np.full(self.samples, np.inf, np.float32)
-        tag = np.zeros(self.samples, np.uint16)
-        cols = np.arange(self.samples)
-        parts = []
-        if known:
-            at = np.array(known)
-            i = self.ln_a[at].argmin(axis=0)
-            best, tag = self.ln_a[at[i], cols], self.tag[at[i], cols]
+        best = np.full(self.samples, ~np.uint64(0))
+        for i in range(0, len(known), 4096):
+            np.minimum(best, self.drawn[known[i : i + 4096]].min(axis=0), out=best)
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w, _ in some), np.uint64, len(some))
             part = sample_terms(keys, np.fromiter((n for _, n in some), np.float64, len(some)), self.samples)
-            parts.append(part)
-            free = self.cache - len(self.at)
-            for j, pair in enumerate(some[:free]):
-                k = len(self.at)
-                self.at[pair] = k
-                self.ln_a[k], self.tag[k] = part[0][j], part[1][j]
-        for a, t in parts:
-            i = a.argmin(axis=0)
-            value, tags = a[i, cols], t[i, cols]
-            # On a tie the larger tag, so that the order of terms in the text plays no part.
-            better = (value < best) | ((value == best) & (tags > tag))
-            best, tag = np.where(better, value, best), np.where(better, tags, tag)
-        return tag
+            np.minimum(best, part.min(axis=0), out=best)
+            k = len(self.at)
+            kept = some[: self.cache - k]
+            self.at.update((pair, k + j) for j, pair in enumerate(kept))
+            self.drawn[k : k + len(kept)] = part[: len(kept)]
+        return (best & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -148,8 +139,10 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sam
     descending id; after the last comes the first.
 
     Null and empty texts have an empty fingerprint, alike only to each other. Equal texts have equal
-    fingerprints. A single document is its own next one. Long texts are taken whole. An empty table
-    gives an empty result. Other columns of ``docs`` play no part.
+    fingerprints, whatever was read before them: of terms that tie in a sample the least tag wins. A
+    single document is its own next one. A null id comes after all others; rows with one id are ordered by
+    their text. Long texts are taken whole. An empty table gives an empty result. Other columns of ``docs``
+    play no part, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
