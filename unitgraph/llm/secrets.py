@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_text
+from unitgraph.llm.common import as_text, join_counted
 from unitgraph.plans.durable import durable
 
 KINDS = ("assign", "access", "hex", "live")
@@ -64,24 +64,27 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of each candidate hash, over the whole corpus.
+    """(value, times, repositories, owners): how often each candidate hash occurs, in how many distinct ones of both.
 
-    Candidates are made distinct first, map side, so a secret copied a million times is a few rows.
+    Candidates are counted by repository and owner first, map side, so a secret copied a million times is
+    a few rows.
     """
-    one = candidates.select("value", "repository", "owner").distinct()
-    return one.groupBy("value").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
+    one = candidates.groupBy("value", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
+    return one.groupBy("value").agg(F.sum("n").alias("times"), F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
-def find_secrets(docs: DataFrame, id_col: str, repository: Column, owner: Column, text: str = "text", example_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str, repository: Column, owner: Column, text: str = "text", example_owners: int = 3, example_repositories: int = 5) -> DataFrame:
     """Every document with its secrets: counts, base spans, and all spans with a verdict.
 
-    A candidate's value is hashed and its distinct owners are counted over all documents. A value held
-    by ``example_owners`` or more owners is a copied example. One held by fewer that mixes letters and
-    digits is a live-looking credential, and adds a span of kind ``live`` over the bare value. A null
-    repository or owner counts as one unnamed repository or owner.
+    A candidate's value is hashed and its distinct repositories and owners are counted over all documents.
+    A value held by ``example_owners`` or more owners, or in ``example_repositories`` or more
+    repositories, is a copied example. One held by fewer that mixes letters and digits is a live-looking
+    credential, and adds a span of kind ``live`` over the bare value. A null repository or owner counts as
+    one unnamed repository or owner.
 
-    Null and empty texts have no spans. Repeated rows are separate documents. Very long texts are
-    scanned whole. An empty table gives an empty result. Other columns of ``docs`` play no part.
+    Null and empty texts have no spans. Repeated rows are separate documents of one repository. Very long
+    texts are scanned whole. Spans that tie in their start are in the order of their kinds. An empty table
+    gives an empty result. Other columns of ``docs`` play no part, whatever their names.
 
     Returns id, n_assign, n_access, n_hex, base, spans (array of kind, start, end), spans_text,
     n_live, n_example.
@@ -89,12 +92,10 @@ def find_secrets(docs: DataFrame, id_col: str, repository: Column, owner: Column
     named = docs.select(F.col(id_col).alias("_doc"), F.coalesce(repository.cast("string"), F.lit("\x00")).alias("repository"), F.coalesce(owner.cast("string"), F.lit("\x00")).alias("owner"), F.xxhash64(text).alias("_text_hash"), F.col(text).alias("_body"))
     scanned = durable(scan(named, ["_doc", "repository", "owner", "_text_hash"], "_body"))
     hits = scanned.select("_id", "repository", "owner", F.explode("found").alias("f")).select("_id", "repository", "owner", "f.*")
-    judged = hits.join(ownership(hits), "value").select(
-        "_id", "kind", "start", "end", "value_start",
-        (F.col("owners") >= example_owners).alias("example"),
-        ((F.col("owners") < example_owners) & F.col("varied")).alias("live"),
-        F.col("end").alias("value_end"),
-    )
+    known = durable(ownership(hits))
+    copied = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    judged = join_counted(hits, known, ["value"], "times").select(
+        "_id", "kind", "start", "end", "value_start", copied.alias("example"), (~copied & F.col("varied")).alias("live"), F.col("end").alias("value_end"))
     span = lambda start, rank, kind, end: F.struct(start.alias("start"), rank.alias("rank"), kind.alias("kind"), end.alias("end"))
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("kind"))
     both = judged.withColumn("span", F.explode(F.when(
@@ -116,15 +117,20 @@ def find_secrets(docs: DataFrame, id_col: str, repository: Column, owner: Column
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each live credential's value replaced by ``mark``; no document is dropped."""
+    """``docs`` with each live credential's value replaced by ``mark``; no document is dropped.
+
+    Null texts stay null. Overlapping credentials make one mark. Rows with one id and text are treated
+    alike. Other columns stay as they are, whatever their names.
+    """
     live = found.where("n_live > 0").select(
         F.col(id_col).alias("_doc"), F.col("_text_hash").alias("_hash"),
         F.transform(F.filter("spans", lambda s: s["kind"] == "live"), lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("_cuts"),
     ).dropDuplicates(["_doc", "_hash"])
-    joined = docs.join(live, (F.col(id_col).eqNullSafe(live["_doc"])) & (F.xxhash64(docs[text]) == live["_hash"]), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_body"))
+    joined = rows.join(live, F.col("_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("_body") == F.col("_hash")), "left")
     # Pieces between the cuts, which are sorted by start; a cut that begins within the one before moves its
     # end, if it reaches further.
-    body = docs[text]
+    body = F.col("_body")
     state = F.struct(F.lit(1).cast("long").alias("at"), F.lit("").alias("out"))
     walked = F.aggregate(
         "_cuts", state,
@@ -132,4 +138,4 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str, text: str = "text", m
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"].cast("int"), F.length(body))),
     )
     fixed = F.when(F.col("_cuts").isNotNull(), walked).otherwise(body)
-    return joined.select(*[fixed.alias(c) if c == text else docs[c] for c in docs.columns])
+    return joined.select(*[fixed.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
