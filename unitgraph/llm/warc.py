@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitgraph.llm.common import join_counted
 from unitgraph.plans.durable import durable, shared_dir
 
 CHUNK = 1 << 20
@@ -78,20 +79,19 @@ def number(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
-def with_references(pages: DataFrame, id_col: str, payload: str, min_bytes: int) -> DataFrame:
+def with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
     """``pages`` with ``_refers``: the page whose response has the same payload, null for responses.
 
-    Payloads are compared by SHA-1 and length. Winners are found by a partial aggregate; the join back
-    is one adaptive execution can split, so a payload that a third of all pages share is no obstacle.
+    Payloads are compared by SHA-1 and length. A payload that many pages share has its winner broadcast,
+    so its pages are not dealt to one task.
     """
-    rows = pages.withColumn("_sha1", F.sha1(F.col(payload))).withColumn("_bytes", F.octet_length(payload).cast("long"))
-    best = rows.groupBy("_sha1", "_bytes").agg(F.max(id_col).alias("_best"))
-    joined = rows.join(best, ["_sha1", "_bytes"])
-    refers = F.when((F.col("_bytes") >= min_bytes) & (F.col(id_col) < F.col("_best")), F.col("_best"))
-    return joined.withColumn("_refers", refers).drop("_sha1", "_bytes", "_best")
+    rows = pages.withColumn("_sha1", F.sha1("_body")).withColumn("_bytes", F.octet_length("_body").cast("long"))
+    best = durable(rows.groupBy("_sha1", "_bytes").agg(F.max("_page").alias("_best"), F.count(F.lit(1)).alias("_pages")))
+    refers = F.when((F.col("_bytes") >= min_bytes) & (F.col("_page") < F.col("_best")), F.col("_best"))
+    return join_counted(rows, best, ["_sha1", "_bytes"], "_pages").select("_page", "_url", "_body", refers.alias("_refers"))
 
 
-def write_archives(pages: DataFrame, directory: str, id_col: str, url: str, payload: str) -> DataFrame:
+def write_archives(pages: DataFrame, directory: str) -> DataFrame:
     """Archives as crawlers often leave them: all records of a file in one gzip stream. Returns (path, records).
 
     Each attempt of a task writes files of its own; only those it reports count, so a task run twice
@@ -120,8 +120,7 @@ def write_archives(pages: DataFrame, directory: str, id_col: str, url: str, payl
         if out is not None:
             yield close()
 
-    rows = pages.select(F.col(id_col).cast("long").alias("_page"), F.col(url).alias("_url"), F.col(payload).alias("_body"), F.col("_refers").cast("long").alias("_refers"))
-    return durable(rows.mapInArrow(run, "path string, records long"))
+    return durable(pages.mapInArrow(run, "path string, records long"))
 
 
 def normalise_file(path: str, target: str) -> list[tuple[int, int, str, str]]:
@@ -218,9 +217,10 @@ def archive(pages: DataFrame, directory: str | None = None, id_col: str = "page_
     payloads of ``min_bytes`` or more, the one with the largest id is a response and the others revisit
     it; the rest are responses. A null payload is empty; a null url names the page; rows with one id and
     one payload are alike, both responses if it is the largest; a null id comes back as null and is a
-    response. Very long payloads are copied in chunks. An empty table writes nothing.
+    response. Very long payloads are copied in chunks. An empty table writes nothing. Other columns of
+    ``pages`` play no part, whatever their names.
     """
     directory = directory or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    rows = with_references(pages.withColumn(payload, F.coalesce(F.col(payload), F.lit(""))), id_col, payload, min_bytes)
-    index = normalise(write_archives(rows, directory, id_col, url, payload), directory)
+    rows = pages.select(F.col(id_col).cast("long").alias("_page"), F.col(url).alias("_url"), F.coalesce(F.col(payload), F.lit("")).alias("_body"))
+    index = normalise(write_archives(with_references(rows, min_bytes), directory), directory)
     return index, read_records(index)
