@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_bytes
-from unitgraph.llm.minhash import _Hashes, _lists
+from unitgraph.llm.common import as_bytes, join_counted, partitions
+from unitgraph.llm.minhash import _Hashes
 from unitgraph.plans.durable import durable
 
-SEGMENT = 16  # bits: counters of one row of the shuffled sketch
+#: Bits: counters in one row of one segment of the sketch, of which at most half are met by one anchor each.
+BITS = 16
+DEPTH = 3
+#: Each segment's rows are dealt over so many tasks, so that one common passage is not one task's work.
+SALTS = 8
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -66,134 +69,198 @@ class Windows:
         return Windows(grams(h, size), sliding_min(grams(h, half), size - half + 1))
 
 
+def segment_of(anchors: np.ndarray, segments: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = anchors * np.uint64(ODD[3])
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(segments)).astype(np.int64)
+
+
 def counters(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """An anchor's counter in a row of its segment."""
     with np.errstate(over="ignore"):
-        return (anchors * np.uint64(ODD[row])) >> np.uint64(64 - bits)
+        return ((anchors * np.uint64(ODD[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_min(rows: DataFrame, size: int, bits: int, depth: int, flush: int = 2_000_000) -> list[np.ndarray]:
-    """For each row of a count-min sketch of the documents' anchors, a bitmap of counters of 2 or more.
+def runs_of(rows: DataFrame, size: int) -> DataFrame:
+    """Runs of consecutive windows with one anchor: (_doc, _hash, anchor, span, start, n, once).
 
-    Every task sketches what it reads; sketches travel as their non-zero counters, cut into segments,
-    and are added up in two steps. What reaches the driver is ``depth * 2**bits / 8`` bytes, whatever
-    the input.
+    ``span`` hashes the ``n`` windows from word ``start`` on; ``once`` marks an anchor's first run in its text.
     """
 
-    def parts(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchors = np.concatenate(seen)
-        for r in range(depth):
-            at, n = np.unique(counters(anchors, r, bits), return_counts=True)
-            segment = (at >> np.uint64(SEGMENT)).astype(np.int64)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(at)]])
-            low, twice = (at & np.uint64((1 << SEGMENT) - 1)).astype("<u2"), n > 1
-            ones = [low[a:b][~twice[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            more = [low[a:b][twice[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r] * len(ones), pa.int32()), pa.array(segment[cut[:-1]]), pa.array(ones, pa.binary()), pa.array(more, pa.binary())], names=["row", "segment", "ones", "more"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, n = _Hashes(), [], 0
+        known = _Hashes()
         for b in batches:
-            for t in as_bytes(b.column("_text")):
+            which, anchor, span, start, n, once = [], [], [], [], [], []
+            for i, t in enumerate(as_bytes(b.column("_text"))):
                 w = Windows.of(t, size, known)
-                if w is not None:
-                    seen.append(np.unique(w.anchors))
-                    n += len(seen[-1])
+                if w is None:
+                    continue
+                cut = np.concatenate([[0], np.flatnonzero(w.anchors[1:] != w.anchors[:-1]) + 1])
+                length = np.diff(np.append(cut, len(w.anchors)))
+                with np.errstate(over="ignore"):
+                    span.append(_join(np.add.reduceat(_join(w.hashes, w.hashes), cut), length.astype(np.uint64)))
+                a = w.anchors[cut]
+                first = np.zeros(len(a), bool)
+                first[np.unique(a, return_index=True)[1]] = True
+                which.append(np.full(len(a), i))
+                anchor.append(a)
+                start.append(cut)
+                n.append(length)
+                once.append(first)
+            if which:
+                at = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), *[pa.array(np.concatenate(x).view(np.int64)) for x in (anchor, span)], *[pa.array(np.concatenate(x).astype(np.int32)) for x in (start, n)], pa.array(np.concatenate(once))],
+                                                 names=["_doc", "_hash", "anchor", "span", "start", "n", "once"])
+
+    return rows.select("_doc", "_hash", "_text").mapInArrow(run, "_doc long, _hash long, anchor long, span long, start int, n int, once boolean")
+
+
+def count_min(runs: DataFrame, segments: int, bits: int = BITS, depth: int = DEPTH, flush: int = 2_000_000) -> DataFrame:
+    """A count-min sketch of the documents that hold each anchor: (segment, repeated).
+
+    The sketch has as many segments as the input asks for, each of ``depth`` rows of ``2**bits`` counters,
+    and stays distributed. Every task sketches what it reads, as the counters it met once and more often;
+    a segment's parts are added up. ``repeated`` holds a bit for each counter of 2 or more.
+    """
+
+    def parts(anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        segment = segment_of(anchors, segments)
+        order = np.argsort(segment, kind="stable")
+        anchors, segment = anchors[order], segment[order]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(segment)]])
+        ones, more = [], []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            at, n = np.unique(np.concatenate([counters(anchors[a:b], r, bits) + (r << bits) for r in range(depth)]), return_counts=True)
+            ones.append(at[n == 1].astype("<u4").tobytes())
+            more.append(at[n > 1].astype("<u4").tobytes())
+        for k in range(0, len(ones), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(segment[cut[:-1]][k : k + 1000]), pa.array(ones[k : k + 1000], pa.binary()), pa.array(more[k : k + 1000], pa.binary())], names=["segment", "ones", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = [], 0
+        for b in batches:
+            seen.append(b.column("anchor").to_numpy().view(np.uint64))
+            n += len(seen[-1])
             if n > flush:
-                yield from parts(seen)
+                yield from parts(np.concatenate(seen))
                 seen, n = [], 0
-        if seen:
-            yield from parts(seen)
+        if n:
+            yield from parts(np.concatenate(seen))
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << SEGMENT, np.uint8)
+        total = np.zeros(depth << bits, np.uint8)
         for one, more in zip(g["ones"], g["more"], strict=True):
-            at = np.frombuffer(one, "<u2")
+            at = np.frombuffer(one, "<u4")
             total[at] = np.minimum(total[at] + 1, 2)
-            total[np.frombuffer(more, "<u2")] = 2
-        return pd.DataFrame({"row": [g["row"].iloc[0]], "segment": [g["segment"].iloc[0]], "ones": [np.flatnonzero(total == 1).astype("<u2").tobytes()], "more": [np.flatnonzero(total == 2).astype("<u2").tobytes()]})
+            total[np.frombuffer(more, "<u4")] = 2
+        return pd.DataFrame({"segment": [g["segment"].iloc[0]], "repeated": [np.packbits(total == 2).tobytes()]})
 
-    kind = "row int, segment long, ones binary, more binary"
-    sketch = rows.select("_text").mapInArrow(run, kind)
-    salt = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-    first = sketch.withColumn("salt", F.spark_partition_id() % salt).groupBy("row", "segment", "salt").applyInPandas(add, kind)
-    merged = first.groupBy("row", "segment").applyInPandas(add, kind).select("row", "segment", "more").collect()
-    out = [np.zeros(1 << bits, bool) for _ in range(depth)]
-    for r in merged:
-        out[r["row"]][(r["segment"] << SEGMENT) + np.frombuffer(r["more"], "<u2").astype(np.int64)] = True
-    return [np.packbits(x) for x in out]
+    sketch = runs.where("once").select("anchor").mapInArrow(run, "segment long, ones binary, more binary")
+    return sketch.groupBy("segment").applyInPandas(add, "segment long, repeated binary")
 
 
-def candidate_runs(rows: DataFrame, size: int, bits: int, repeated) -> DataFrame:
-    """Runs of consecutive windows with one anchor that is estimated to be in two documents or more.
+def estimated_repeated(runs: DataFrame, sketch: DataFrame, segments: int, bits: int = BITS, depth: int = DEPTH) -> DataFrame:
+    """The runs whose anchor is estimated to be in two documents or more.
 
-    (_doc, _hash, anchor, span, start, windows): ``span`` hashes all windows of the run.
+    Runs meet their segment of the sketch in a shuffle: within a task each segment's bits come first and
+    its runs stream past them, so what a task holds is one segment, and nothing is broadcast.
     """
+    columns = ["_doc", "_hash", "anchor", "span", "start", "n"]
+
+    @F.pandas_udf("long")
+    def segment(anchor: pd.Series) -> pd.Series:
+        return pd.Series(segment_of(anchor.to_numpy().view(np.uint64), segments))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, maps = _Hashes(), [np.unpackbits(x).astype(bool) for x in repeated.value]
+        current, held = -1, None
         for b in batches:
-            which, anchor, span, start, windows = [], [], [], [], []
-            for i, t in enumerate(as_bytes(b.column("_text"))):
-                w = Windows.of(t, size, known)
-                if w is None:
+            at, keep = b.column("segment").to_numpy(), np.zeros(b.num_rows, bool)
+            anchors = b.column("anchor").fill_null(0).to_numpy().view(np.uint64)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if lo == hi:
                     continue
-                cut = np.concatenate([[0], np.flatnonzero(w.anchors[1:] != w.anchors[:-1]) + 1])
-                a = w.anchors[cut]
-                ends = np.append(cut[1:], len(w.anchors))
-                with np.errstate(over="ignore"):
-                    total = _join(np.add.reduceat(_join(w.hashes, w.hashes), cut), (ends - cut).astype(np.uint64))
-                hit = np.ones(len(a), bool)
-                for r, m in enumerate(maps):
-                    hit &= m[counters(a, r, bits).astype(np.int64)]
-                for k in np.flatnonzero(hit):
-                    windows.append(w.hashes[cut[k] : ends[k]].view(np.int64))
-                which += [i] * int(hit.sum())
-                anchor.append(a[hit])
-                span.append(total[hit])
-                start.append(cut[hit])
+                if at[lo] != current:
+                    current, held = at[lo], np.unpackbits(np.frombuffer(b.column("repeated")[lo].as_py(), np.uint8)).astype(bool)
+                    lo += 1
+                ok = np.ones(hi - lo, bool)
+                for r in range(depth):
+                    ok &= held[counters(anchors[lo:hi], r, bits) + (r << bits)]
+                keep[lo:hi] = ok
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in columns], names=columns)
+
+    some = runs.select(segment("anchor").alias("segment"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.lit(None).cast("binary").alias("repeated"), *columns)
+    bits_ = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    bits_ = bits_.select("segment", "salt", "repeated", *[F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in columns])
+    dealt = some.unionByName(bits_).repartition(partitions(runs), "segment", "salt").sortWithinPartitions("segment", "salt", F.col("repeated").isNull())
+    # A task may hold several salts of a segment; each starts with the segment's bits again.
+    return dealt.select(F.col("segment") * SALTS + F.col("salt"), "repeated", *columns).toDF("segment", "repeated", *columns).mapInArrow(run, "_doc long, _hash long, anchor long, span long, start int, n int")
+
+
+def windows_of(rows: DataFrame, needed: DataFrame, size: int, few: int = 200_000) -> DataFrame:
+    """Every window of the runs in ``needed`` (_doc, _hash, runs): (_doc, _hash, anchor, window, start)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for b in batches:
+            which, anchor, window, start = [], [], [], []
+            for i, (t, runs) in enumerate(zip(as_bytes(b.column("_text")), b.column("runs").to_pylist(), strict=True)):
+                words = t.split()
+                h = grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), size).view(np.int64)
+                for r in runs:
+                    which.append(np.full(r["n"], i))
+                    anchor.append(np.full(r["n"], r["anchor"]))
+                    window.append(h[r["start"] : r["start"] + r["n"]])
+                    start.append(np.arange(r["start"], r["start"] + r["n"]))
             if which:
-                at = pa.array(which)
-                yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.concatenate(span).view(np.int64)), pa.array(np.concatenate(start).astype(np.int64)), _lists(windows)], names=["_doc", "_hash", "anchor", "span", "start", "windows"])
+                at = pa.array(np.concatenate(which))
+                yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), *[pa.array(np.concatenate(x)) for x in (anchor, window)], pa.array(np.concatenate(start).astype(np.int32))], names=["_doc", "_hash", "anchor", "window", "start"])
 
-    return rows.mapInArrow(run, "_doc long, _hash long, anchor long, span long, start long, windows array<long>")
+    # Runs of few texts are broadcast, so that the others are not shuffled for them.
+    total = needed.agg(F.sum(F.size("runs"))).first()[0] or 0
+    joined = rows.join(F.broadcast(needed) if total <= few else needed, ["_doc", "_hash"])
+    return joined.select("_doc", "_hash", "_text", "runs").mapInArrow(run, "_doc long, _hash long, anchor long, window long, start int")
 
 
-def repeated_windows(rows: DataFrame, size: int, bits: int, depth: int) -> DataFrame:
+def repeated_windows(rows: DataFrame, size: int, bits: int = BITS, depth: int = DEPTH) -> DataFrame:
     """(_doc, _hash, start, n): windows that also start in a document with a smaller id.
 
     Exact. A window's anchor depends on its words alone, so a window found twice has its anchor counted
-    twice, and a count-min estimate is never too low. Candidate runs are grouped by their whole span: a
-    run seen in a smaller document goes entirely. Only the first holder of each span is left to be
-    compared window by window, and only where an anchor stands in different spans; every window of a
-    span is also in its first holder, so nothing is missed.
+    twice, and a count-min estimate is never too low. The sketch grows with the number of runs, so that at
+    any size it lets a small share of the anchors found once through. Candidate runs are grouped by their
+    whole span: a run seen in a smaller document goes entirely. Only the first holder of each span is left
+    to be compared window by window, and only where an anchor stands in different spans; every window of
+    a span is also in its first holder, so nothing is missed. Joins keep the rows of hot anchors in place.
     """
-    spark = rows.sparkSession
-    repeated = spark.sparkContext.broadcast(count_min(rows, size, bits, depth))
-    runs = durable(candidate_runs(rows, size, bits, repeated))
-    spans = durable(runs.groupBy("anchor", "span").agg(F.min("_doc").alias("first")))
-    several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1").select("anchor")
-    whole = runs.withColumn("n", F.size("windows")).drop("windows").join(spans, ["anchor", "span"]).where("first < _doc").select("_doc", "_hash", "start", "n")
-    open_ = spans.join(several, "anchor", "left_semi").withColumnRenamed("first", "_first")
-    held = runs.join(open_, ["anchor", "span"]).where("_doc = _first").select("_doc", "_hash", "anchor", "start", F.posexplode("windows").alias("i", "window"))
-    held = durable(held)
-    least = held.groupBy("anchor", "window").agg(F.min("_doc").alias("least"))
-    single = held.join(least, ["anchor", "window"]).where("least < _doc").select("_doc", "_hash", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
+    runs = durable(runs_of(rows, size))
+    segments = max(1, -(-runs.count() >> (bits - 1)))
+    kept = durable(estimated_repeated(runs, durable(count_min(runs, segments, bits, depth)), segments, bits, depth))
+    spans = durable(kept.groupBy("anchor", "span").agg(F.min("_doc").alias("first"), F.count(F.lit(1)).alias("members")))
+    several = durable(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1"))
+    known = durable(join_counted(kept, spans, ["anchor", "span"], "members"))
+    whole = known.where("first < _doc").select("_doc", "_hash", "start", "n")
+    open_ = join_counted(known.where("first = _doc"), several, ["anchor"], "n_spans")
+    needed = durable(open_.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs")))
+    held = durable(windows_of(rows, needed, size))
+    least = durable(held.groupBy("anchor", "window").agg(F.min("_doc").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    single = join_counted(held, least, ["anchor", "window"], "members").where("least < _doc").select("_doc", "_hash", "start", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50, bits: int = 24, depth: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256 and the kept text.
 
     A word goes if a window of ``size`` words that covers it also starts in a document with a smaller
-    id, judged on the input. ``2**bits`` counters in each of ``depth`` rows make the prefilter: 6 MB of
-    bitmaps by default, whatever the input. With more anchors than counters it lets more through and the
-    exact grouping does more; the result is the same.
+    id, judged on the input. A count-min sketch, of one counter in each of its rows for every half run of
+    windows, lets what may be repeated through to an exact grouping; see ``repeated_windows``.
 
-    Null and empty texts have no words. Rows with one id never remove from each other. Long texts are
-    taken whole. A null id counts as smaller than all others. An empty table gives an empty result.
+    Null and empty texts have no words. Rows with one id never remove from each other, and repeated rows
+    get the same result. Long texts are taken whole. A null id counts as smaller than all others. An empty
+    table gives an empty result. Other columns of ``docs`` play no part, whatever their names.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-    gone = repeated_windows(rows, size, bits, depth)
+    gone = repeated_windows(rows, size)
     per_doc = gone.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     joined = rows.join(per_doc, ["_doc", "_hash"], "left").select("_doc", "_text", "gone")
 
