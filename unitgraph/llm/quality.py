@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import SPACE, WORD
+from unitgraph.llm.common import SPACE, WORD, join_counted
 from unitgraph.plans.durable import durable
 
 # Frequent words of four languages, the bins of the word histogram.
@@ -59,16 +59,19 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     known = F.filter("_w", lambda w: w.isin(*COMMON_WORDS))
     step = step.withColumn("_c", F.array_join(F.transform(known, lambda w: F.element_at(letter_of, w)), ""))
     step = step.withColumn("common", F.array(*[(F.length("_c") - F.length(F.replace("_c", F.lit(x), F.lit("")))).cast("long") for x in letters]))
-    return step.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common")
+    return step.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common").withColumns({"classes_total": _total("classes"), "common_total": _total("common")})
 
 
-def _total(h: Column) -> Column:
-    return F.aggregate(h, F.lit(0).cast("double"), lambda a, x: a + x)
+def _total(h: str) -> Column:
+    return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def js_distance(p: Column, q: Column, n: int) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of ``n`` bins; null if one is empty."""
-    sp, sq = _total(p), _total(q)
+def js_distance(p: str, q: str, n: int) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of ``n`` bins; null if one is empty.
+
+    ``p`` and ``q`` name the columns; their totals are columns too, named ``<p>_total`` and ``<q>_total``.
+    """
+    sp, sq = F.col(f"{p}_total"), F.col(f"{q}_total")
     parts = []
     for i in range(n):
         a, b = F.get(p, F.lit(i)) / sp, F.get(q, F.lit(i)) / sq
@@ -80,11 +83,14 @@ def js_distance(p: Column, q: Column, n: int) -> Column:
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
-def language_references(counted: DataFrame, lang: str = "lang") -> DataFrame:
-    """Both histograms summed over every document of a language, and how many words they hold."""
+def language_references(counted: DataFrame) -> DataFrame:
+    """Both histograms summed over every document of a language, and how many documents and words they hold."""
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS))]
-    out = counted.groupBy(F.coalesce(F.col(lang), F.lit("")).alias("_lang")).agg(F.sum("n_words").alias("ref_words"), *sums)
-    return out.select("_lang", "ref_words", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(len(COMMON_WORDS))]).alias("ref_common"))
+    out = counted.groupBy("_lang").agg(F.count(F.lit(1)).alias("_documents"), F.sum("n_words").alias("ref_words"), F.sum("classes_total").alias("ref_classes_total"), F.sum("common_total").alias("ref_common_total"), *sums)
+    return out.select("_lang", "_documents", "ref_words", "ref_classes_total", "ref_common_total", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(len(COMMON_WORDS))]).alias("ref_common"))
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 def judge_quality(
@@ -99,16 +105,20 @@ def judge_quality(
     document has ``min_words`` words (``min_common`` common words for the second) and the reference
     ``min_reference_words``; a document that is too short to judge is kept.
 
-    Null texts count as empty, null languages as one language of their own. Repeated rows are judged
-    alike. An empty table gives an empty result. Only DataFrame functions are used.
+    A language that holds many documents has its reference broadcast, so no text's counts are shuffled for
+    it; rare languages, however many, meet theirs in a shuffle.
+
+    Null texts count as empty, null languages as one language of their own. Long texts are judged whole.
+    Repeated rows are judged alike. An empty table gives an empty result. Columns of ``docs`` but the text
+    are returned too; one that is named as a result column gives way to it. Only DataFrame functions are used.
     """
-    keep = [c for c in docs.columns if c != text]
-    counted = durable(base_counts(docs, text).drop(text))
-    refs = language_references(counted, lang)
-    joined = counted.join(refs, F.coalesce(counted[lang], F.lit("")) == refs["_lang"], "left")
-    judged = joined.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes"), len(CLASSES))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common"), len(COMMON_WORDS)))
+    keep = [c for c in docs.columns if c != text and c not in RESULTS]
+    rows = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
+    counted = durable(base_counts(rows, "_text").drop("_text"))
+    refs = durable(language_references(counted))
+    joined = join_counted(counted, refs, ["_lang"], "_documents", most=10_000)
+    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes", len(CLASSES))).withColumn("word_distance", js_distance("common", "ref_common", len(COMMON_WORDS)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = (F.col("ref_words") >= min_reference_words) & (F.col("n_words") >= min_words)
-    far = (enough & (F.col("class_distance") > max_class_distance)) | (enough & (_total(F.col("common")) >= min_common) & (F.col("word_distance") > max_word_distance))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far, F.lit(False))).select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
+    far = (enough & (F.col("class_distance") > max_class_distance)) | (enough & (F.col("common_total") >= min_common) & (F.col("word_distance") > max_word_distance))
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far, F.lit(False))).select(*[F.col("_row")[c].alias(c) for c in keep], *RESULTS)
