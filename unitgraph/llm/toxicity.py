@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from unitgraph.llm.common import as_bytes, as_text
 from unitgraph.plans.durable import durable
@@ -126,7 +127,8 @@ class Tagger:
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Never learnt from: ids whose CRC-32 is divisible by 5. A null id is not held out; no label joins it."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", flush: int = 200_000) -> DataFrame:
@@ -215,50 +217,57 @@ def learn_labels(texts: list[tuple[str, int]], lexicon: dict[str, float], model:
     return np.array(feats), np.array(labels), np.array(lengths)
 
 
-def fit_chain(model: Crf, feats: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> None:
-    """Maximum conditional likelihood by Adam; gradients are observed minus expected counts."""
+def chain_gradient(theta: np.ndarray, feats: np.ndarray, labels: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+    """The chunks' conditional log likelihood and its gradient: observed minus expected counts.
+
+    ``theta``: a weight for each feature (the first, for none, is 0), the bias, and the four transitions.
+    """
     n, length = labels.shape
     live = (np.arange(length)[None, :] < lengths[:, None]).astype(float)
-    y = labels.astype(int)
+    y, size = labels.astype(int), len(theta) - 5
     pair = live[:, 1:] * live[:, :-1]
-    seen = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            seen[a, b] = (pair * (y[:, :-1] == a) * (y[:, 1:] == b)).sum()
+    w = theta[:size].copy()
+    w[0] = 0.0
+    trans = theta[size + 1 :].reshape(2, 2)
+    score = np.clip(w[feats].sum(axis=2) + theta[size], -30, 30)
+    emit, step = np.exp(score), np.exp(trans)
+    f, g = np.empty((length, n, 2)), np.ones((length, n, 2))
+    a = np.stack([np.ones(n), emit[:, 0]], axis=1)
+    total = a.sum(axis=1, keepdims=True)
+    f[0], log_z = a / total, np.log(total).sum()
+    for t in range(1, length):
+        a = f[t - 1] @ step
+        a[:, 1] *= emit[:, t]
+        total = a.sum(axis=1, keepdims=True)
+        f[t] = np.where(live[:, t, None] > 0, a / total, f[t - 1])
+        log_z += (live[:, t] * np.log(total[:, 0])).sum()
+    expected = np.zeros((2, 2))
+    for t in range(length - 1, 0, -1):
+        e = np.stack([g[t][:, 0], g[t][:, 1] * emit[:, t]], axis=1)
+        joint = f[t - 1][:, :, None] * step[None] * e[:, None, :]
+        joint *= (live[:, t] / joint.sum(axis=(1, 2)))[:, None, None]
+        expected += joint.sum(axis=0)
+        b = e @ step.T
+        g[t - 1] = np.where(live[:, t, None] > 0, b / b.sum(axis=1, keepdims=True), 1.0)
+    p = (f * g)[:, :, 1] / (f * g).sum(axis=2)
+    miss = (y - p.T) * live
+    seen = np.array([[(pair * (y[:, :-1] == i) * (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)])
+    grad = np.empty_like(theta)
+    grad[:size] = np.bincount(feats.ravel(), np.repeat(miss.ravel(), SLOTS), minlength=size)
+    grad[0] = 0.0
+    grad[size] = miss.sum()
+    grad[size + 1 :] = (seen - expected).ravel()
+    return float((y * live * score).sum() + (seen * trans).sum() - log_z), grad
+
+
+def fit_chain(model: Crf, feats: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> None:
+    """Maximum conditional likelihood by Adam."""
     size = len(model.weights)
     theta = np.zeros(size + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    total = live.sum()
+    total = float(np.minimum(lengths, labels.shape[1]).sum())
     for k in range(1, rounds + 1):
-        w = theta[:size].copy()
-        w[0] = 0.0
-        bias, trans = theta[size], theta[size + 1 :].reshape(2, 2)
-        emit = np.exp(np.clip(w[feats].sum(axis=2) + bias, -30, 30))
-        step = np.exp(trans)
-        f = np.empty((length, n, 2))
-        g = np.ones((length, n, 2))
-        a = np.stack([np.ones(n), emit[:, 0]], axis=1)
-        f[0] = a / a.sum(axis=1, keepdims=True)
-        for t in range(1, length):
-            a = f[t - 1] @ step
-            a[:, 1] *= emit[:, t]
-            f[t] = np.where(live[:, t, None] > 0, a / a.sum(axis=1, keepdims=True), f[t - 1])
-        expected = np.zeros((2, 2))
-        for t in range(length - 1, 0, -1):
-            e = np.stack([g[t][:, 0], g[t][:, 1] * emit[:, t]], axis=1)
-            joint = f[t - 1][:, :, None] * step[None] * e[:, None, :]
-            joint *= (live[:, t] / joint.sum(axis=(1, 2)))[:, None, None]
-            expected += joint.sum(axis=0)
-            b = e @ step.T
-            g[t - 1] = np.where(live[:, t, None] > 0, b / b.sum(axis=1, keepdims=True), 1.0)
-        p = (f * g)[:, :, 1] / (f * g).sum(axis=2)
-        miss = (y - p.T) * live
-        grad = np.empty_like(theta)
-        grad[:size] = np.bincount(feats.ravel(), np.repeat(miss.ravel(), SLOTS), minlength=size)
-        grad[0] = 0.0
-        grad[size] = miss.sum()
-        grad[size + 1 :] = (seen - expected).ravel()
-        grad = grad / total * 100 - l2 * theta
+        grad = chain_gradient(theta, feats, labels, lengths)[1] / total * 100 - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model.weights = theta[:size].copy()
@@ -284,7 +293,7 @@ def fit_document(model: Crf, texts: list[tuple[str, int]], weight: tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_features: int = 5000,
-          max_documents: int = 1000, max_sample: int = 5000, min_share: float = 0.004, min_support: int = 4, least: float = 3.0) -> Crf:
+          max_documents: int = 1000, max_chars: int = 8_000_000, max_sample: int = 5000, min_share: float = 0.004, min_support: int = 4, least: float = 3.0) -> Crf:
     """A model learnt from the labelled documents that are not held out.
 
     Features that mark toxic documents are looked for in at most ``max_sample`` documents of each label,
@@ -293,7 +302,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     model's vocabulary: held by ``min_support`` toxic documents and ``min_share`` of them, with log odds
     of ``least`` or more. Texts are never shuffled, only ids with the features found in them. The chain and
     the document score are fitted on at most ``max_documents`` documents of each label, the first of the
-    same order. Without documents of both labels the model scores 0.
+    same order, with at most ``max_chars`` characters in all for each label: a text that the rest of that
+    bound can not hold is passed over, which bounds what the driver holds. Without documents of both
+    labels the model scores 0. Null ids and labels teach nothing; null texts are empty; an id with
+    several labels counts as toxic if one of them is; other columns play no part.
     """
     truth = durable(labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_label")))
     texts = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
@@ -323,7 +335,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     lexicon = best(counts.join(named, "place"), n, min_support, min_share, least, max_features)
     model.index = {f: i + 1 for i, f in enumerate(sorted(lexicon))}
     model.weights = np.zeros(len(model.index) + 1)
-    rows = texts.join(F.broadcast(first(max_documents)), F.col("_doc") == F.col("_id")).limit(4 * max_documents).collect()
+    wanted = texts.join(F.broadcast(first(max_documents)), F.col("_doc") == F.col("_id")).select("_doc", "_label", F.length("_body").alias("chars"), F.xxhash64("_body").alias("hash"))
+    fit, left = [], {0: max_chars, 1: max_chars}
+    for r in wanted.orderBy(F.xxhash64("_doc"), "_doc", "hash").limit(4 * max_documents).collect():
+        if r["chars"] <= left[r["_label"]]:
+            left[r["_label"]] -= r["chars"]
+            fit.append((r["_doc"], r["hash"], r["_label"]))
+    named = docs.sparkSession.createDataFrame(fit, T.StructType([T.StructField("_id", texts.schema["_doc"].dataType), T.StructField("hash", T.LongType()), T.StructField("_label", T.IntegerType())]))
+    rows = texts.join(F.broadcast(named.distinct()), (F.col("_doc") == F.col("_id")) & (F.xxhash64("_body") == F.col("hash"))).limit(len(fit)).collect()
     picked = sorted(((r["_body"], r["_label"]) for r in rows), key=lambda x: (x[1], x[0]))
     if not model.index or len({y for _, y in picked}) < 2:
         return model
@@ -338,7 +357,8 @@ def score(docs: DataFrame, model: Crf, keep: list[str], text: str = "text", offe
     """``keep``, ``score``, ``predicted`` and ``spans`` (start, end, marginal of offending tokens).
 
     Texts are scored whole. Null and empty texts have the score of a text without toxic tokens.
-    Repeated rows get the same score; an empty table gives an empty result.
+    Repeated rows get the same score; a tie at 0.5 is called toxic; an empty table gives an empty result.
+    Columns that are not in ``keep`` play no part; to keep columns named as the results are, keep a struct.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,5 +370,7 @@ def score(docs: DataFrame, model: Crf, keep: list[str], text: str = "text", offe
             spans = pa.array([[{"start": a, "end": e, "marginal": m} for a, e, m in sp if m >= offending] for _, sp in done], pa.list_(span))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], s, pa.array([int(x >= 0.5) for x, _ in done], pa.int32()), spans], names=[*keep, "score", "predicted", "spans"])
 
-    columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{columns}, score double, predicted int, spans array<struct<start:long,end:long,marginal:double>>")
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    spans_of = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
+    result = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", spans_of)])
+    return rows.mapInArrow(run, result)
