@@ -91,6 +91,20 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(empty).collect() == []
 
 
+def test_fingerprint_does_not_depend_on_what_was_read_before(monkeypatch):
+    """Terms that tie in a sample, in either order, read before or for the first time."""
+    draw = fingerprints.sample_terms
+    # One bit of ln a is left, so that ties are everywhere.
+    monkeypatch.setattr(fingerprints, "sample_terms", lambda k, w, n: draw(k, w, n) & ~np.uint64(0x7FFFFFFF0000))
+    texts = [prose(40 + i, 30) for i in range(12)]
+    fresh = {t: fingerprints.Fingerprinter().signature(t.encode()).tolist() for t in texts}
+    for cache in (0, 5, 200, 1000):
+        make = fingerprints.Fingerprinter(cache=cache)
+        for t in [*texts, *reversed(texts)]:
+            assert make.signature(t.encode()).tolist() == fresh[t]
+            assert make.signature(" ".join(reversed(t.split())).encode()).tolist() == fresh[t]
+
+
 def test_fingerprint_is_generalised_jaccard():
     a, b = Counter("aabbbcd"), Counter("abbcccde")
     make = lambda c: fingerprints.Fingerprinter(4000).signature(" ".join(c.elements()).encode())
@@ -112,6 +126,87 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty, "doc_id", F.col("source"), F.col("lang")).collect() == []
 
 
+def base_spans(text):
+    """The contract's patterns, one alternative at a time, character by character."""
+    out, letters = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = set(letters + letters.lower() + "0123456789+/_.=-")
+    low = "".join(c.lower() if c in letters else c for c in text)
+
+    def run(i, allowed):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        return j
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                j = i + len(word)
+                j += text[j : j + 1] in ("'", '"')
+                j = run(j, " ")
+                if text[j : j + 1] not in (":", "="):
+                    return None
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ("'", '"')
+                end = run(j, value)
+                return (end, end - j >= 6) if end > j else None
+        return None
+
+    def access(i):
+        end = run(i + 4, letters + "0123456789") if text.startswith("AKIA", i) else i
+        return (end, end - i >= 20) if end > i + 4 else None
+
+    def hex_(i):
+        end = run(i, "0123456789abcdef")
+        return (end, end - i >= 24) if end > i else None
+
+    for rank, (kind, match) in enumerate((("assign", assign), ("access", access), ("hex", hex_))):
+        i = 0
+        while i < len(text):
+            m = match(i)
+            if m and m[1]:
+                out.append((i, rank, f"{kind}:{i}:{m[0]}"))
+            i = m[0] if m else i + 1
+    return ",".join(x for *_, x in sorted(out))
+
+
+def test_secrets_against_brute_force(spark):
+    """Base spans of random pieces, and verdicts from owners and repositories counted one by one."""
+    rng = np.random.default_rng(21)
+    pieces = ["token", "Secret", "api_key", "APIKEY", "passwd", " ", ":", "=", "'", '"', "AKIA", "B2C4D6E8F0G1H3J5", "deadbeef0123", "9af", "x9Yz", "é", "\n", "AKIA7", "password"]
+    values = [f"{i}aB{i * 7919:x}Zq" for i in range(30)]
+    rows = []
+    for i in range(300):
+        text = "".join(rng.choice(pieces, rng.integers(0, 25))) + " "
+        text += "".join(f" token={values[k]}" for k in rng.integers(0, 30, 2)) if i % 2 else ""
+        k = int(rng.integers(0, 40))
+        rows.append((i, text, None if k == 0 else f"o{k % 6 if i % 3 else k}", f"r{k}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    out = by_id(secrets.find_secrets(df, "doc_id", F.col("repo"), F.col("owner")))
+    owners, repos = {}, {}
+    for _, text, o, r in rows:
+        for *_, v in secrets.find(text):
+            owners.setdefault(v, set()).add(o)
+            repos.setdefault(v, set()).add(r)
+    seen = Counter()
+    for i, text, *_ in rows:
+        assert out[i]["base"] == base_spans(text), text
+        assert out[i]["n_assign"] + out[i]["n_access"] + out[i]["n_hex"] == (len(base_spans(text).split(",")) if base_spans(text) else 0)
+        found = {(at, v) for *_, at, v in secrets.find(text)}
+        copied = {at for at, v in found if len(owners[v]) >= 3 or len(repos[v]) >= 5}
+        live = {at for at, v in found if secrets.looks_random(v) and len(owners[v]) < 3 and len(repos[v]) < 5}
+        assert (out[i]["n_example"], out[i]["n_live"]) == (len(copied), len(live))
+        seen.update(copied=len(copied), live=len(live))
+    assert seen["copied"] > 20 and seen["live"] > 20
+
+
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    df = spark.createDataFrame([(i, "token=Abc123xyz", "o", f"r{i % n}") for n in (4,) for i in range(8)], "doc_id long, text string, owner string, repo string")
+    found = lambda d: {r["n_live"] for r in secrets.find_secrets(d, "doc_id", F.col("repo"), F.col("owner")).collect()}
+    assert found(df) == {1}
+    assert found(df.withColumn("repo", F.col("doc_id").cast("string"))) == {0}
+
+
 def test_redact_overlapping_spans(spark):
     hex_, key = "0123456789abcdef01234567", "AKIA" + "B2C4D6E8" * 2
     cases = {
@@ -174,13 +269,45 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
-def test_fill_targets():
-    assert mixing.fill_targets([10, 10, 10], [5, 2, 1], 45, 2) == [20, 50 / 3, 25 / 3]
-    assert mixing.fill_targets([], [], 0, 2) == [] and mixing.fill_targets([0, 4], [1, 1], 6, 2) == [0, 6]
+def test_targets(spark):
+    def shares(sizes, weights, budget):
+        df = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "at long, size long, weight double")
+        level = mixing.water_level(df, budget, 2)
+        return [min(2.0 * s, level * w) for s, w in zip(sizes, weights, strict=True)]
+
+    assert shares([10, 10, 10], [5, 2, 1], 45) == [20, 50 / 3, 25 / 3]
+    assert shares([], [], 0) == [] and shares([0, 4], [1, 1], 6) == [0, 6]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_schedule_keeps_shares(spark, few):
+    """Every rank has one slot, in order, and any run of slots holds each source in its share."""
+    blocks = [300, 0, 120, 7, 73]
+    rows = mixing.schedule(spark.createDataFrame(list(enumerate(blocks)), "at long, blocks long"), few).orderBy("slot").collect()
+    assert sorted((r["at"], r["rank"]) for r in rows) == [(i, k) for i, n in enumerate(blocks) for k in range(n)]
+    assert len({r["slot"] for r in rows}) == len(rows)
+    for i, n in enumerate(blocks):
+        assert [r["rank"] for r in rows if r["at"] == i] == list(range(n))
+    for a in range(0, len(rows) - 100, 37):
+        some = Counter(r["at"] for r in rows[a : a + 100])
+        assert all(abs(some[i] - 100 * n / sum(blocks)) <= 4 for i, n in enumerate(blocks))
+
+
+def test_mix_blocks(spark):
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (n, s) in enumerate([(700, "a"), (30, "a"), (90, "b"), (5, None), (0, "c")])], "doc_id long, text string, source string")
+    blocks, taken = mixing.mix_blocks(docs, block_words=50).collect(), by_id(mixing.mix(docs, block_words=50))
+    for i, r in taken.items():
+        mine = [b for b in blocks if b["doc_id"] == i]
+        assert sum(b["words"] for b in mine) == r["taken"] and min((b["slot"] for b in mine), default=None) == r["first_slot"]
+        assert all(0 <= b["start"] and b["start"] + b["words"] <= r["size"] for b in mine)
+    per_slot = Counter()
+    for b in blocks:
+        per_slot[b["slot"]] += b["words"]
+    assert max(per_slot.values()) <= 50
 
 
 def test_substring(docs, empty):
-    out, first = by_id(substring.remove_repeats(docs, bits=16)), {}
+    out, first = by_id(substring.remove_repeats(docs)), {}
     for i, t in enumerate(TEXTS):
         w, gone = (t or "").encode().split(), set()
         for k in range(len(w) - 49):
@@ -189,7 +316,41 @@ def test_substring(docs, empty):
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         assert (out[i]["n_words"], out[i]["n_removed"], out[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
     assert out[1]["n_removed"] == 120 and out[9]["n_removed"] == 70
-    assert substring.remove_repeats(empty, bits=16).collect() == []
+    assert substring.remove_repeats(empty).collect() == []
+
+
+def test_substring_on_shared_passages(spark, monkeypatch):
+    """Passages in other surroundings, again in one document, in hot groups, and in several segments of a small sketch."""
+    rng = np.random.default_rng(4)
+    shared, texts = [prose(700 + i, 70).split() for i in range(4)], []
+    for i in range(60):
+        w = prose(800 + i, int(rng.integers(0, 60))).split()
+        for _ in range(int(rng.integers(0, 4))):
+            k, a = int(rng.integers(4)), int(rng.integers(0, 15))
+            w += shared[k][a : int(rng.integers(a + 40, 71))] + prose(900 + i, int(rng.integers(0, 9))).split()
+        texts.append(" ".join(w))
+    texts += ["z " * 400, "z " * 260, texts[3]]
+    for bits in (16, 5):
+        monkeypatch.setattr(substring.repeated_windows, "__defaults__", (bits, 3))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        out, first = by_id(substring.remove_repeats(df)), {}
+        for i, t in enumerate(texts):
+            w, gone = t.encode().split(), set()
+            for k in range(len(w) - 49):
+                if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                    gone.update(range(k, k + 50))
+            assert (out[i]["n_words"], out[i]["n_removed"]) == (len(w), len(gone))
+            assert out[i]["kept_sha256"] == hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+
+
+def test_sketch_lets_few_single_anchors_through(spark):
+    """Whatever the input: the sketch has as many segments as the runs ask for."""
+    for n in (20, 200):
+        rows = spark.createDataFrame([(i, i, prose(2000 + i, 200)) for i in range(n)], "_doc long, _hash long, _text string")
+        runs = substring.runs_of(rows, 50).cache()
+        segments = -(-runs.count() >> 5)
+        kept = substring.estimated_repeated(runs, substring.count_min(runs, segments, 6), segments, 6)
+        assert segments > 1 and 0 <= kept.count() < 0.12 * runs.count()
 
 
 def test_quality(docs, empty):
@@ -258,6 +419,21 @@ def test_marginals_match_enumeration():
     assert np.allclose(m.marginals(at, np.array([score[k] for k in at]), n), (hit / total)[at])
 
 
+def test_gradient_matches_differences():
+    rng = np.random.default_rng(8)
+    feats = rng.integers(0, 6, (4, 7, toxicity.SLOTS))
+    labels, lengths, theta = rng.integers(0, 2, (4, 7)), np.array([7, 1, 4, 6]), rng.normal(0, 0.5, 6 + 5)
+    labels[np.arange(7)[None, :] >= lengths[:, None]] = 0
+    theta[0] = 0.0
+    at, grad = toxicity.chain_gradient(theta, feats, labels, lengths)
+    assert at < 0
+    for k in range(1, len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        up, down = (toxicity.chain_gradient(theta + d, feats, labels, lengths)[0] for d in (step, -step))
+        assert abs((up - down) / 2e-5 - grad[k]) < 1e-5
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     texts = [prose(100 + i, 40).split() for i in range(200)]
