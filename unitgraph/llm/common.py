@@ -55,16 +55,16 @@ def running_total(df: DataFrame, group: Sequence[str], order: Column, value: str
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).select(*df.columns, out)
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: Sequence[str], n: str, most: int = 50_000, least: int = 100) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, key: Sequence[str], n: str, most: int = 50_000, least: int = 100, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``counts`` on ``key``, whatever share of the rows one key holds.
 
     ``counts`` has one row per key, ``n`` being its number of rows. Keys that hold more than one in
     ``most`` of all rows are fewer than ``most``, so they are broadcast and their rows stay where they
     are; the others are shuffled, none of them hot. Both inputs are read twice and should be durable or
-    cheap.
+    cheap. ``total`` is the number of rows, if it is known.
     """
     key = list(key)
-    total = counts.agg(F.sum(n)).first()[0] or 0
+    total = total if total is not None else counts.agg(F.sum(n)).first()[0] or 0
     bar = max(total // most, least)
     hot, cold = counts.where(F.col(n) > bar), counts.where(F.col(n) <= bar)
     rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")

@@ -175,16 +175,19 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     shrink by more than half a round. Raises rather than return an unfinished answer.
     """
     edges = durable(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    label = durable(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("component")).withColumnRenamed("u", "node"))
+    label = durable(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("component"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("u", "node"))
+    size = label.agg(F.sum("degree").alias("edges"), F.count(F.lit(1)).alias("nodes")).first()
     for _ in range(max_rounds):
-        near = edges.join(label, edges["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("near"))
-        lower = label.join(near, label["node"] == near["u"]).select("node", "component", F.least("component", "near").alias("least"))
-        up = lower.select(F.col("node").alias("k"), F.col("least").alias("jump"))
-        step = lower.join(up, lower["least"] == up["k"], "left").select("node", F.least("least", F.coalesce("jump", "least")).alias("component"), F.col("component").alias("before"))
-        step = durable(step)
-        label = step.select("node", "component")
-        if not step.where("component < before").limit(1).count():
-            return label
+        known = label.select(F.col("node").alias("v"), "component", "degree")
+        near = join_counted(edges, known, ["v"], "degree", total=size["edges"] or 0).groupBy("u").agg(F.min("component").alias("near"))
+        lower = durable(label.join(near, label["node"] == near["u"]).select("node", "component", "degree", F.least("component", "near").alias("least")))
+        # Every label is a node; a large component's has all its rows, which stay in place.
+        held = lower.groupBy("least").agg(F.count(F.lit(1)).alias("rows"))
+        up = held.join(lower.select(F.col("node").alias("least"), F.col("least").alias("jump")), "least")
+        step = durable(join_counted(lower, up, ["least"], "rows", total=size["nodes"]).select("node", "degree", F.least("least", "jump").alias("component"), F.col("component").alias("before")))
+        label = step.select("node", "component", "degree")
+        if step.where("component < before").isEmpty():
+            return label.select("node", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
