@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ from unitgraph.llm.common import as_bytes, join_counted, partitions
 from unitgraph.llm.minhash import _Hashes
 from unitgraph.plans.durable import durable
 
-#: Bits: counters in one row of one segment of the sketch, of which at most half are met by one anchor each.
+#: Bits: counters in one row of one segment of the sketch.
 BITS = 16
+#: Bytes of text that hold a run of windows, at the least: 13 words of two letters and a space.
+RUN_BYTES = 40
 DEPTH = 3
 #: Each segment's rows are dealt over so many tasks, so that one common passage is not one task's work.
 SALTS = 8
@@ -198,15 +201,26 @@ def estimated_repeated(runs: DataFrame, sketch: DataFrame, segments: int, bits:
     return dealt.select(F.col("segment") * SALTS + F.col("salt"), "repeated", *columns).toDF("segment", "repeated", *columns).mapInArrow(run, "_doc long, _hash long, anchor long, span long, start int, n int")
 
 
-def windows_of(rows: DataFrame, needed: DataFrame, size: int, few: int = 200_000) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the text as compressed bytes, to be shuffled: (_doc, _hash, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_hash"), pa.array([pack(t) for t in as_bytes(b.column("_text"))], pa.binary())], names=["_doc", "_hash", "packed"])
+
+    return rows.select("_doc", "_hash", "_text").mapInArrow(run, "_doc long, _hash long, packed binary")
+
+
+def windows_of(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """Every window of the runs in ``needed`` (_doc, _hash, runs): (_doc, _hash, anchor, window, start)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known, unpack = _Hashes(), zstandard.ZstdDecompressor().decompress
         for b in batches:
             which, anchor, window, start = [], [], [], []
-            for i, (t, runs) in enumerate(zip(as_bytes(b.column("_text")), b.column("runs").to_pylist(), strict=True)):
-                words = t.split()
+            for i, (t, runs) in enumerate(zip(b.column("packed").to_pylist(), b.column("runs").to_pylist(), strict=True)):
+                words = unpack(t).split()
                 h = grams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), size).view(np.int64)
                 for r in runs:
                     which.append(np.full(r["n"], i))
@@ -217,24 +231,23 @@ def windows_of(rows: DataFrame, needed: DataFrame, size: int, few: int = 200_000
                 at = pa.array(np.concatenate(which))
                 yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), *[pa.array(np.concatenate(x)) for x in (anchor, window)], pa.array(np.concatenate(start).astype(np.int32))], names=["_doc", "_hash", "anchor", "window", "start"])
 
-    # Runs of few texts are broadcast, so that the others are not shuffled for them.
-    total = needed.agg(F.sum(F.size("runs"))).first()[0] or 0
-    joined = rows.join(F.broadcast(needed) if total <= few else needed, ["_doc", "_hash"])
-    return joined.select("_doc", "_hash", "_text", "runs").mapInArrow(run, "_doc long, _hash long, anchor long, window long, start int")
+    joined = packed(rows).join(needed, ["_doc", "_hash"])
+    return joined.select("_doc", "_hash", "packed", "runs").mapInArrow(run, "_doc long, _hash long, anchor long, window long, start int")
 
 
 def repeated_windows(rows: DataFrame, size: int, bits: int = BITS, depth: int = DEPTH) -> DataFrame:
     """(_doc, _hash, start, n): windows that also start in a document with a smaller id.
 
     Exact. A window's anchor depends on its words alone, so a window found twice has its anchor counted
-    twice, and a count-min estimate is never too low. The sketch grows with the number of runs, so that at
-    any size it lets a small share of the anchors found once through. Candidate runs are grouped by their
+    twice, and a count-min estimate is never too low. The sketch grows with the texts, so that at any size
+    it lets a small share of the anchors found once through. Candidate runs are grouped by their
     whole span: a run seen in a smaller document goes entirely. Only the first holder of each span is left
     to be compared window by window, and only where an anchor stands in different spans; every window of
     a span is also in its first holder, so nothing is missed. Joins keep the rows of hot anchors in place.
     """
-    runs = durable(runs_of(rows, size))
-    segments = max(1, -(-runs.count() >> (bits - 1)))
+    letters = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    segments = max(1, -(-(letters // RUN_BYTES) >> (bits - 1)))
+    runs = runs_of(rows, size)
     kept = durable(estimated_repeated(runs, durable(count_min(runs, segments, bits, depth)), segments, bits, depth))
     spans = durable(kept.groupBy("anchor", "span").agg(F.min("_doc").alias("first"), F.count(F.lit(1)).alias("members")))
     several = durable(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1"))
@@ -252,8 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Per document: n_words, n_removed, kept_sha256 and the kept text.
 
     A word goes if a window of ``size`` words that covers it also starts in a document with a smaller
-    id, judged on the input. A count-min sketch, of one counter in each of its rows for every half run of
-    windows, lets what may be repeated through to an exact grouping; see ``repeated_windows``.
+    id, judged on the input. A count-min sketch, with two counters or more in each of its rows for every
+    run of windows, lets what may be repeated through to an exact grouping; see ``repeated_windows``.
 
     Null and empty texts have no words. Rows with one id never remove from each other, and repeated rows
     get the same result. Long texts are taken whole. A null id counts as smaller than all others. An empty
@@ -262,13 +275,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     gone = repeated_windows(rows, size)
     per_doc = gone.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    joined = rows.join(per_doc, ["_doc", "_hash"], "left").select("_doc", "_text", "gone")
+    joined = packed(rows).join(per_doc, ["_doc", "_hash"], "left").select("_doc", "packed", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             n, removed, sha, kept_text = [], [], [], []
-            for t, cuts in zip(as_bytes(b.column("_text")), b.column("gone").to_pylist(), strict=True):
-                words = t.split()
+            for t, cuts in zip(b.column("packed").to_pylist(), b.column("gone").to_pylist(), strict=True):
+                words = unpack(t).split()
                 n.append(len(words))
                 if cuts:
                     edge = np.zeros(len(words) + 1, np.int64)
