@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import SECTIONS, guard_label, ordinal, place, short_section
 from unitgraph.operators.match import find_nodes
+from unitgraph.operators.ranks import rank_within
 from unitgraph.operators.reports import limit_with_more
 
 
@@ -19,8 +20,7 @@ def dependencies(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 def dependents(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct units that use the units of ``keys``, with ``dep_ord``, the order first seen."""
     k = keys.select("graph_id", F.col("key").alias("to_key")).distinct()
-    w = Window.partitionBy("graph_id", "to_key").orderBy("first_seq", "from_key")
-    return pairs.join(k, ["graph_id", "to_key"]).withColumn("dep_ord", F.row_number().over(w))
+    return rank_within(pairs.join(k, ["graph_id", "to_key"]), ["graph_id", "to_key"], [F.col("first_seq"), F.col("from_key")], "dep_ord")
 
 
 def edges_to(edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -48,8 +48,8 @@ def references(nodes: DataFrame, edges: DataFrame, patterns: DataFrame, limit: i
     """
     units = find_nodes(nodes, patterns).select("graph_id", F.col("key").alias("to_key"), "name")
     hits = units.join(edges, ["graph_id", "to_key"], "left")
-    w = Window.partitionBy("graph_id", "to_key")
-    counted = hits.withColumn("total", F.count("from_key").over(w))
     order = [F.col("from_key"), ordinal(F.col("section"), SECTIONS), F.col("seq")]
-    top = limit_with_more(counted, ["graph_id", "to_key"], order, limit)
+    top = limit_with_more(hits, ["graph_id", "to_key"], order, limit)
+    total = hits.groupBy("graph_id", "to_key").agg(F.count("from_key").alias("total"))
+    top = top.join(total, ["graph_id", "to_key"])
     return top.select("graph_id", F.col("to_key").alias("key"), "name", "total", "rank", "more", "from_unit", F.when(F.col("from_unit").isNotNull(), short_section(F.col("section"))).alias("section"), place(F.col("file"), F.col("line")).alias("where"), F.when(F.col("from_unit").isNotNull(), guard_label(F.col("certainty"), F.col("cond"))).alias("guard"))

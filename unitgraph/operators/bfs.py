@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitgraph.operators.ranks import SMALL, rank_within, small
 from unitgraph.plans.durable import durable
 
 MAX_ROUNDS = 100_000
@@ -22,30 +23,39 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _seen(levels: list[DataFrame], sizes: list[int], columns: list[str]) -> DataFrame:
+    return small(_union([level.select(*columns) for level in levels]), sum(sizes))
+
+
 def walk(pairs: DataFrame, sources: DataFrame, without: DataFrame | None = None, max_depth: int | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(graph_id, scenario, key, depth): what each scenario reaches, its start included at depth 0.
 
     ``sources``: (graph_id, scenario, key). ``without``: (graph_id, scenario, from_key, to_key), pairs
     that a scenario may not use. A start that no pair names reaches nothing.
     """
-    step = pairs.select("graph_id", F.col("from_key").alias("key"), F.col("to_key").alias("next"))
+    step = small(pairs.select("graph_id", F.col("from_key").alias("key"), F.col("to_key").alias("next")), pairs.count())
     known = pairs.select("graph_id", F.col("from_key").alias("key")).unionByName(pairs.select("graph_id", F.col("to_key").alias("key")))
     level = durable(sources.select("graph_id", "scenario", "key").distinct().join(known, ["graph_id", "key"], "left_semi").select("graph_id", "scenario", "key", F.lit(0).alias("depth")))
-    levels = [level]
+    gone = None
+    if without is not None:
+        gone = durable(without.select("graph_id", "scenario", F.col("from_key").alias("key"), F.col("to_key").alias("next")).distinct())
+        gone = small(gone, gone.count())
+    levels, sizes = [level], [level.count()]
     for depth in range(1, max_rounds + 1):
         if max_depth is not None and depth > max_depth:
             return _union(levels)
         nxt = level.join(step, ["graph_id", "key"])
-        if without is not None:
-            gone = without.select("graph_id", "scenario", F.col("from_key").alias("key"), F.col("to_key").alias("next"))
+        if gone is not None:
             nxt = nxt.join(gone, ["graph_id", "scenario", "key", "next"], "left_anti")
-        fresh = nxt.select("graph_id", "scenario", F.col("next").alias("key")).distinct().join(_union(levels), ["graph_id", "scenario", "key"], "left_anti")
+        nxt = nxt.select("graph_id", "scenario", F.col("next").alias("key"))
+        fresh = nxt.join(_seen(levels, sizes, ["graph_id", "scenario", "key"]), ["graph_id", "scenario", "key"], "left_anti").distinct()
         level = durable(fresh.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             return _union(levels)
-        levels.append(level)
+        levels, sizes = [*levels, level], [*sizes, n]
         if len(levels) > FOLD:
-            levels = [durable(_union(levels))]
+            levels, sizes = [durable(_union(levels))], [sum(sizes)]
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
@@ -81,25 +91,39 @@ def reach_count_without_edge(pairs: DataFrame, roots: DataFrame, removed: DataFr
 def shortest_path_dag(pairs: DataFrame, roots: DataFrame, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Units by breadth-first discovery, and every predecessor one level nearer.
 
-    Returns (graph_id, root_key, key, depth, rank) and (graph_id, root_key, key, pred_key, pred_rank,
-    depth). ``rank`` is the order of discovery within a level: by the first predecessor's rank, then by
-    the order in which that one names its dependencies.
+    Returns (graph_id, root_key, key, depth, rank, parent, first_hop), durable, and (graph_id, root_key,
+    key, pred_key, pred_rank, depth). ``rank`` is the order of discovery within a level: by the first
+    predecessor's rank, then by the order in which that one names its dependencies. ``parent`` is that
+    first predecessor and ``first_hop`` the second unit of the chain through the parents; both are null for
+    the root. Only the units found are written in a round; predecessors follow from them in one join.
     """
-    step = pairs.select("graph_id", F.col("from_key").alias("pred_key"), F.col("to_key").alias("key"), "adj_ord")
+    edges = pairs.select("graph_id", F.col("from_key").alias("pred_key"), F.col("to_key").alias("key"), "adj_ord")
+    step = small(edges, pairs.count())
     known = pairs.select("graph_id", F.col("from_key").alias("root_key")).unionByName(pairs.select("graph_id", F.col("to_key").alias("root_key")))
-    level = durable(roots.select("graph_id", "root_key").distinct().join(known, ["graph_id", "root_key"], "left_semi").select("graph_id", "root_key", F.col("root_key").alias("key"), F.lit(0).alias("depth"), F.lit(1).alias("rank")))
-    levels, preds = [level], [level.select("graph_id", "root_key", "key", F.lit(None).cast("string").alias("pred_key"), F.lit(None).cast("int").alias("pred_rank"), "depth").limit(0)]
+    none = F.lit(None).cast("string")
+    start = roots.select("graph_id", "root_key").distinct().join(known, ["graph_id", "root_key"], "left_semi")
+    level = durable(start.select("graph_id", "root_key", F.col("root_key").alias("key"), F.lit(0).alias("depth"), F.lit(1).alias("rank"), none.alias("parent"), none.alias("first_hop")))
+    levels, found, sizes = [level], [level.select("graph_id", "root_key", "key")], [level.count()]
     for depth in range(1, max_rounds + 1):
-        at = level.select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("rank").alias("pred_rank"))
-        met = at.join(step, ["graph_id", "pred_key"]).join(_union(levels).select("graph_id", "root_key", "key"), ["graph_id", "root_key", "key"], "left_anti")
-        met = durable(met.withColumn("depth", F.lit(depth)))
-        if met.isEmpty():
-            return _union(levels), _union(preds)
-        first = met.groupBy("graph_id", "root_key", "key").agg(F.min(F.struct("pred_rank", "adj_ord")).alias("o"))
-        w = Window.partitionBy("graph_id", "root_key").orderBy("o")
-        level = durable(first.select("graph_id", "root_key", "key", F.lit(depth).alias("depth"), F.row_number().over(w).alias("rank")))
-        levels.append(level)
-        preds.append(met.select("graph_id", "root_key", "key", "pred_key", "pred_rank", "depth"))
+        at = level.select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("rank").alias("pred_rank"), "first_hop")
+        met = at.join(step, ["graph_id", "pred_key"]).join(_seen(found, sizes, ["graph_id", "root_key", "key"]), ["graph_id", "root_key", "key"], "left_anti")
+        first = durable(met.groupBy("graph_id", "root_key", "key").agg(F.min(F.struct("pred_rank", "adj_ord", "pred_key", "first_hop")).alias("o")))
+        n = first.count()
+        if not n:
+            units = durable(_union(levels))
+            return units, _predecessors(edges, units)
+        order = [F.col("o.pred_rank"), F.col("o.adj_ord")]
+        # A level that has been counted and is small is ranked as it is read.
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "root_key").orderBy(*order))) if n <= SMALL else rank_within(first, ["graph_id", "root_key"], order)
+        level = ranked.select("graph_id", "root_key", "key", F.lit(depth).alias("depth"), "rank", F.col("o.pred_key").alias("parent"), F.coalesce("o.first_hop", "key").alias("first_hop"))
+        levels, found, sizes = [*levels, level], [*found, first.select("graph_id", "root_key", "key")], [*sizes, n]
         if len(levels) > FOLD:
-            levels, preds = [durable(_union(levels))], [durable(_union(preds))]
+            levels = [durable(_union(levels))]
+            found, sizes = [levels[0].select("graph_id", "root_key", "key")], [sum(sizes)]
     raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
+def _predecessors(edges: DataFrame, units: DataFrame) -> DataFrame:
+    near = units.select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("rank").alias("pred_rank"), (F.col("depth") + 1).alias("depth"))
+    here = units.select("graph_id", "root_key", "key", "depth")
+    return edges.drop("adj_ord").join(near, ["graph_id", "pred_key"]).join(here, ["graph_id", "root_key", "key", "depth"]).select("graph_id", "root_key", "key", "pred_key", "pred_rank", "depth")

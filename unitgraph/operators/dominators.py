@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import place
-from unitgraph.operators.bfs import reach_count, reachable_from
+from unitgraph.operators.bfs import reach_count, shortest_path_dag
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
-from unitgraph.operators.paths import find_paths
+from unitgraph.operators.ranks import small
 from unitgraph.operators.reports import limit_with_more
 from unitgraph.plans.durable import durable
 
@@ -18,29 +18,45 @@ def dominators(pairs: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> Da
     """(graph_id, root_key, key, dom_key): units on every route from the root, the unit itself included.
 
     A fixpoint: a unit keeps what all its reachable predecessors have, and itself. It starts from the
-    units of one shortest chain, which hold all dominators, so sets only shrink. Sets are as large as a
-    unit is deep in the dominator tree; a long chain of n units takes n * n / 2 rows.
+    units above each in the tree of first discoveries, which hold all its dominators, so sets only shrink.
+    Sets are as large as a unit is deep in that tree; a long chain of n units takes n * n / 2 rows.
     """
-    reach = durable(reachable_from(pairs, roots).select("graph_id", "root_key", "key"))
+    keys = ["graph_id", "root_key"]
+    units, _ = shortest_path_dag(pairs, roots)
+    reach = units.select(*keys, "key")
     p = pairs.select("graph_id", F.col("from_key").alias("pred"), F.col("to_key").alias("key")).where("pred != key")
-    inner = p.join(reach.select("graph_id", "root_key", F.col("key").alias("pred")), ["graph_id", "pred"]).where("key != root_key")
-    inner = durable(inner.select("graph_id", "root_key", "pred", "key"))
-    degree = durable(inner.groupBy("graph_id", "root_key", "key").agg(F.count(F.lit(1)).alias("preds")))
-    chains = find_paths(pairs, roots, reach, 1)
-    dom = durable(chains.select("graph_id", "root_key", F.col("to_key").alias("key"), F.explode("chain").alias("dom_key")))
-    own = reach.select("graph_id", "root_key", "key", F.col("key").alias("dom_key"))
+    inner = durable(p.join(reach.withColumnRenamed("key", "pred"), ["graph_id", "pred"]).where("key != root_key").select(*keys, "pred", "key"))
+    degree = durable(inner.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("preds")))
+    own = reach.select(*keys, "key", F.col("key").alias("dom_key"))
+    dom = durable(_above(units).unionByName(own))
     count = dom.count()
     for _ in range(max_rounds):
-        met = inner.join(dom.select("graph_id", "root_key", F.col("key").alias("pred"), "dom_key"), ["graph_id", "root_key", "pred"])
-        shared = met.groupBy("graph_id", "root_key", "key", "dom_key").agg(F.count(F.lit(1)).alias("n"))
-        kept = shared.join(degree, ["graph_id", "root_key", "key"]).where("n = preds").select("graph_id", "root_key", "key", "dom_key")
-        dom = durable(kept.unionByName(own).distinct())
+        met = inner.join(dom.select(*keys, F.col("key").alias("pred"), "dom_key"), [*keys, "pred"])
+        shared = met.groupBy(*keys, "key", "dom_key").agg(F.count(F.lit(1)).alias("n"))
+        # What is not above a unit in the tree is met by all its predecessors only if it is the unit itself.
+        kept = shared.join(degree, [*keys, "key"]).where("n = preds and dom_key != key").select(*keys, "key", "dom_key")
+        dom = durable(kept.unionByName(own))
         before, count = count, dom.count()
         if before == count:
             return dom
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
+def _above(units: DataFrame) -> DataFrame:
+    """(graph_id, root_key, key, dom_key): the units above each in the tree, by doubling the way up."""
+    keys = ["graph_id", "root_key"]
+    up = durable(units.where("parent is not null").select(*keys, "key", F.col("parent").alias("dom_key")))
+    jump = up
+    while True:
+        # ``up`` holds all within 2**k steps, ``jump`` what is just 2**k above.
+        over = jump.select(*keys, "key", F.col("dom_key").alias("mid"))
+        jump_next = durable(over.join(jump.select(*keys, F.col("key").alias("mid"), "dom_key"), [*keys, "mid"]).select(*keys, "key", "dom_key"))
+        up = durable(up.unionByName(over.join(up.select(*keys, F.col("key").alias("mid"), "dom_key"), [*keys, "mid"]).select(*keys, "key", "dom_key")))
+        jump = jump_next
+        if jump.isEmpty():
+            return up
+
+
 def immediate_dominator(pairs: DataFrame, roots: DataFrame, dom: DataFrame | None = None) -> DataFrame:
     """(graph_id, root_key, key, idom): the nearest strict dominator; null for the root."""
     dom = dom if dom is not None else dominators(pairs, roots)
@@ -57,7 +73,8 @@ def exclusive_reach(pairs: DataFrame, roots: DataFrame, nodes: DataFrame | None
     n = dom.groupBy("graph_id", "root_key", F.col("dom_key").alias("key")).agg(F.count(F.lit(1)).alias("exclusive"))
     if nodes is None:
         return n
-    every = nodes.select("graph_id", "key").join(roots.select("graph_id", "root_key").distinct(), "graph_id")
+    heads = roots.select("graph_id", "root_key").distinct()
+    every = nodes.select("graph_id", "key").join(small(heads, heads.count()), "graph_id")
     return every.join(n, ["graph_id", "root_key", "key"], "left").withColumn("exclusive", F.coalesce("exclusive", F.lit(0).cast("long")))
 
 
@@ -73,16 +90,22 @@ def edge_cost(pairs: DataFrame, roots: DataFrame, dom: DataFrame | None = None)
     In closed form: all that its target is responsible for, if every other reachable predecessor of the
     target is itself behind the target; else nothing.
     """
+    return _edge_cost(pairs.select("graph_id", "from_key", "to_key"), pairs, roots, dom)
+
+
+def _edge_cost(wanted: DataFrame, pairs: DataFrame, roots: DataFrame, dom: DataFrame | None = None) -> DataFrame:
+    """``edge_cost`` of the pairs ``wanted`` (graph_id, from_key, to_key); only predecessors of their targets are looked at."""
     dom = durable(dom if dom is not None else dominators(pairs, roots))
     reach = dom.select("graph_id", "root_key", "key").distinct()
-    p = pairs.select("graph_id", "from_key", "to_key")
+    p = pairs.join(wanted.select("graph_id", "to_key").distinct(), ["graph_id", "to_key"], "left_semi").select("graph_id", "from_key", "to_key")
     live = durable(p.join(reach.withColumnRenamed("key", "from_key"), ["graph_id", "from_key"]).where("from_key != to_key and to_key != root_key"))
     behind = dom.select("graph_id", "root_key", F.col("key").alias("from_key"), F.col("dom_key").alias("to_key"), F.lit(1).alias("is_behind"))
     outside = live.join(behind, ["graph_id", "root_key", "from_key", "to_key"], "left").where("is_behind is null")
     single = outside.groupBy("graph_id", "root_key", "to_key").agg(F.count(F.lit(1)).alias("n"), F.min("from_key").alias("from_key")).where("n = 1")
     size = dom.groupBy("graph_id", "root_key", F.col("dom_key").alias("to_key")).agg(F.count(F.lit(1)).alias("size"))
     only = single.join(size, ["graph_id", "root_key", "to_key"]).select("graph_id", "root_key", "from_key", "to_key", "size")
-    every = p.join(roots.select("graph_id", "root_key").distinct(), "graph_id")
+    heads = roots.select("graph_id", "root_key").distinct()
+    every = wanted.join(small(heads, heads.count()), "graph_id")
     return every.join(only, ["graph_id", "root_key", "from_key", "to_key"], "left").select("graph_id", "root_key", "from_key", "to_key", F.coalesce("size", F.lit(0).cast("long")).alias("exclusive"))
 
 
@@ -94,7 +117,7 @@ def cost_unit(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataF
     units = durable(find_nodes(nodes, patterns).select("graph_id", F.col("key").alias("from_key"), "name"))
     mine = pairs.join(units.select("graph_id", "from_key"), ["graph_id", "from_key"], "left_semi").select("graph_id", "from_key", "to_key")
     total = reach_count(pairs, mine.select("graph_id", F.col("to_key").alias("key"))).withColumnsRenamed({"source": "to_key", "reach": "total"})
-    cost = edge_cost(pairs, roots).join(mine, ["graph_id", "from_key", "to_key"], "left_semi")
+    cost = _edge_cost(mine, pairs, roots)
     rows = cost.join(total, ["graph_id", "to_key"]).join(where_written(edges), ["graph_id", "from_key", "to_key"])
     rows = units.join(rows.drop("root_key"), ["graph_id", "from_key"], "left").withColumn("where", place(F.col("file"), F.col("line")))
     top = limit_with_more(rows, ["graph_id", "from_key"], [F.desc("exclusive"), F.desc("total"), F.col("to_key")], limit)

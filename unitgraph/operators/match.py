@@ -12,6 +12,17 @@ def patterns(spark, *texts: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in texts], "pattern string")
 
 
+#: Patterns and rules that one call takes: each is compared with every name.
+MOST = 10_000
+
+
+def bounded(typed: DataFrame) -> DataFrame:
+    """``typed``, patterns or rules, after making sure that they are few enough to be broadcast."""
+    if typed.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} patterns; ask for them in several calls")
+    return typed
+
+
 def matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(graph_id, key, pattern): which node matches which pattern.
 
@@ -22,7 +33,7 @@ def matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     p = wanted.where(F.trim("pattern") != "").select("pattern").distinct()
     plain = p.where(~is_wildcard(F.col("pattern"))).withColumn("key", F.upper("pattern"))
     exact = nodes.join(plain, "key").select("graph_id", "key", "pattern")
-    n, o = nodes.alias("n"), F.broadcast(p).alias("o")  # patterns are what a caller typed
+    n, o = nodes.alias("n"), F.broadcast(bounded(p)).alias("o")  # patterns are what a caller typed
     hit = glob_match(F.col("o.pattern"), F.col("n.name")) | F.exists(F.col("n.aliases"), lambda a: glob_match(F.col("o.pattern"), a))
     # A name is looked up in each graph on its own.
     globbed = n.join(o, hit).select("n.graph_id", "n.key", "o.pattern").join(exact.select("graph_id", "pattern").distinct(), ["graph_id", "pattern"], "left_anti").select("graph_id", "key", "pattern")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import step_label
-from unitgraph.operators.bfs import _union, shortest_path_dag, walk
+from unitgraph.operators.bfs import _union, shortest_path_dag
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
+from unitgraph.operators.ranks import first_within
 from unitgraph.operators.reports import limit_with_more
 from unitgraph.plans.durable import durable
 
@@ -25,17 +26,17 @@ def find_paths(pairs: DataFrame, roots: DataFrame, targets: DataFrame, max_paths
         return units.select("graph_id", "root_key", F.col("key").alias("to_key"), F.lit(1).alias("chain_no"), F.array("key").alias("chain")).limit(0)
     wanted = durable(units.join(targets.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi").select("graph_id", "root_key", "key", "depth"))
     deepest = wanted.agg(F.max("depth")).first()[0] or 0
-    need = {deepest: wanted.where(F.col("depth") == deepest).drop("depth")}
+    preds, at = durable(preds.where(F.col("depth") <= deepest)), lambda d: wanted.where(F.col("depth") == d).drop("depth")
+    used, need = {}, at(deepest)
     for d in range(deepest, 0, -1):
-        up = preds.where(F.col("depth") == d).join(need[d], ["graph_id", "root_key", "key"], "left_semi").select("graph_id", "root_key", F.col("pred_key").alias("key"))
-        need[d - 1] = durable(up.unionByName(wanted.where(F.col("depth") == d - 1).drop("depth")).distinct())
-    chains = units.where("depth = 0").join(need[0], ["graph_id", "root_key", "key"], "left_semi").select("graph_id", "root_key", "key", F.lit(1).alias("chain_no"), F.array("key").alias("chain"))
+        used[d] = durable(preds.where(F.col("depth") == d).join(need, ["graph_id", "root_key", "key"], "left_semi"))
+        need = used[d].select("graph_id", "root_key", F.col("pred_key").alias("key")).unionByName(at(d - 1)).distinct()
+    chains = units.where("depth = 0").join(need, ["graph_id", "root_key", "key"], "left_semi").select("graph_id", "root_key", "key", F.lit(1).alias("chain_no"), F.array("key").alias("chain"))
     levels = [durable(chains)]
     for d in range(1, deepest + 1):
         before = levels[-1].select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("chain_no").alias("pred_no"), "chain")
-        here = preds.where(F.col("depth") == d).join(need[d], ["graph_id", "root_key", "key"], "left_semi").join(before, ["graph_id", "root_key", "pred_key"])
-        w = Window.partitionBy("graph_id", "root_key", "key").orderBy("pred_rank", "pred_no")
-        top = here.withColumn("chain_no", F.row_number().over(w)).where(F.col("chain_no") <= max_paths)
+        here = used[d].join(before, ["graph_id", "root_key", "pred_key"])
+        top = first_within(here, ["graph_id", "root_key", "key"], [F.col("pred_rank"), F.col("pred_no")], max_paths, "chain_no")
         levels.append(durable(top.select("graph_id", "root_key", "key", "chain_no", F.concat("chain", F.array("key")).alias("chain"))))
     out = _union(levels).join(wanted.drop("depth"), ["graph_id", "root_key", "key"], "left_semi")
     return out.withColumnRenamed("key", "to_key")
@@ -81,11 +82,10 @@ def deps(nodes: DataFrame, pairs: DataFrame, patterns: DataFrame, depth: int = 3
     limit left out below a unit; ``cut`` marks units that were not opened for want of depth.
     """
     roots = find_nodes(nodes, patterns).select("graph_id", F.col("key").alias("root_key"))
-    starts = roots.select("graph_id", F.col("root_key").alias("scenario"), F.col("root_key").alias("key"))
-    reach = durable(walk(pairs, starts))
+    units, _ = shortest_path_dag(pairs, roots)
+    reach = units.select("graph_id", F.col("root_key").alias("scenario"), "key", "depth")
     total = reach.groupBy("graph_id", "scenario").agg((F.count(F.lit(1)) - 1).alias("total"))
-    _, preds = shortest_path_dag(pairs, roots)
-    tree = preds.groupBy("graph_id", F.col("root_key").alias("scenario"), "key").agg(F.min_by("pred_key", "pred_rank").alias("parent"))
+    tree = units.where("parent is not null").select("graph_id", F.col("root_key").alias("scenario"), "key", "parent")
     opened = reach.where(F.col("depth") < depth) if depth else reach
     rows = opened.select("graph_id", "scenario", F.col("key").alias("from_key"), F.col("depth").alias("at")).join(pairs, ["graph_id", "from_key"])
     first = tree.select("graph_id", "scenario", F.col("key").alias("to_key"), F.col("parent").alias("from_key"), F.lit(True).alias("is_expanded"))

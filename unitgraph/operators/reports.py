@@ -4,27 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import CERTAINTIES, KINDS, guard_label, ordinal, place
+from unitgraph.operators.ranks import first_within, rank_within
 
 
 def limit_with_more(df: DataFrame, partition: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows of each list with ``rank``, and in ``more`` how many were left out; 0 keeps all."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*partition))
-    more = F.greatest(F.lit(0), n - limit) if limit else F.lit(0)
-    kept = ranked.withColumn("more", more.cast("long"))
-    return kept.where(F.col("rank") <= limit) if limit else kept
+    """The first ``limit`` rows of each list with ``rank``, and in ``more`` how many were left out; 0 keeps all.
+
+    ``partition`` columns are never null and ``order`` is total. No list is ever in one task: its first rows
+    are cut out where they lie, its length is counted by an aggregate, and all its ranks come by ranges.
+    """
+    if not limit:
+        return rank_within(df, partition, order).withColumn("more", F.lit(0).cast("long"))
+    n = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
+    top = first_within(df, partition, order, limit).join(n, list(partition))
+    return top.select(*df.columns, "rank", F.greatest(F.lit(0), F.col("_n") - limit).cast("long").alias("more"))
 
 
 def unresolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Unresolved units, each with its references by certainty, from and line; one row if it has none."""
     units = nodes.where("kind = 'unresolved'").select("graph_id", F.col("key").alias("to_key"), "name")
     hits = units.join(edges, ["graph_id", "to_key"], "left")
-    w = Window.partitionBy("graph_id", "to_key").orderBy(ordinal(F.col("certainty"), CERTAINTIES), "from_key", "line", "seq")
-    return hits.select("graph_id", F.col("to_key").alias("key"), "name", "from_unit", "certainty", "cond", "section", "file", "line", F.row_number().over(w).alias("rank"))
+    order = [ordinal(F.col("certainty"), CERTAINTIES), F.col("from_key"), F.col("line"), F.col("seq")]
+    ranked = rank_within(hits, ["graph_id", "to_key"], order)
+    return ranked.select("graph_id", F.col("to_key").alias("key"), "name", "from_unit", "certainty", "cond", "section", "file", "line", "rank")
 
 
 def unresolved_report(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from unitgraph.functions.names import glob_match, place
 from unitgraph.operators.bfs import shortest_path_dag
 from unitgraph.operators.build import where_written
+from unitgraph.operators.match import bounded
 from unitgraph.plans.durable import durable
 
 
@@ -18,7 +19,7 @@ def unit_names(nodes: DataFrame) -> DataFrame:
 
 def _hits(names: DataFrame, rules: DataFrame) -> DataFrame:
     # Rules are few, written by hand; nodes stay where they are.
-    r = F.broadcast(rules)
+    r = F.broadcast(bounded(rules))
     return names.join(r, glob_match(F.col("pattern"), F.col("any_name"))).select("graph_id", "key", "rule_pos", "pattern").distinct()
 
 
@@ -44,17 +45,8 @@ def check(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame
     (graph_id, rule_pos, pattern, key, name, via, where): via is the second unit of the first shortest
     chain, empty if that is the unit itself; where is the place the root names it.
     """
-    units, preds = shortest_path_dag(pairs, roots)
-    first = preds.groupBy("graph_id", "root_key", "key", "depth").agg(F.min_by("pred_key", "pred_rank").alias("pred_key"))
-    first = durable(first)
-    hop = first.where("depth = 1").select("graph_id", "root_key", "key", F.col("key").alias("first_hop"))
-    hops, deepest = [hop], units.agg(F.max("depth")).first()[0] or 0
-    for d in range(2, deepest + 1):
-        up = hops[-1].select("graph_id", "root_key", F.col("key").alias("pred_key"), "first_hop")
-        hops.append(durable(first.where(F.col("depth") == d).join(up, ["graph_id", "root_key", "pred_key"]).select("graph_id", "root_key", "key", "first_hop")))
-    reached = hops[0]
-    for h in hops[1:]:
-        reached = reached.unionByName(h)
+    units, _ = shortest_path_dag(pairs, roots)
+    reached = units.where("depth > 0").select("graph_id", "root_key", "key", "first_hop")
     names = unit_names(nodes.join(reached.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi"))
     open_ = names.join(excused(names, rules), ["graph_id", "key"], "left_anti")
     broken = durable(_hits(open_, rules.where("not allow")))
@@ -64,6 +56,8 @@ def check(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame
     detail = broken.join(reached, ["graph_id", "key"]).join(w, ["graph_id", "root_key", "first_hop"], "left").join(label, ["graph_id", "key"]).join(via_name, ["graph_id", "first_hop"])
     detail = detail.select("graph_id", "rule_pos", "pattern", "key", "name", F.when(F.col("first_hop") == F.col("key"), "").otherwise(F.col("via_name")).alias("via"), "where")
     counted = broken.groupBy("graph_id", "rule_pos").agg(F.count(F.lit(1)).alias("broken"))
-    every = roots.select("graph_id").distinct().join(F.broadcast(rules.where("not allow").select("rule_pos", "pattern")))
+    forbids = [(r["rule_pos"], r["pattern"]) for r in bounded(rules).where("not allow").collect()]
+    listed = F.array(*[F.struct(F.lit(i).alias("rule_pos"), F.lit(p).alias("pattern")) for i, p in forbids]).cast("array<struct<rule_pos:int,pattern:string>>")
+    every = roots.select("graph_id").distinct().select("graph_id", F.inline(listed))
     verdict = every.join(counted, ["graph_id", "rule_pos"], "left").select("graph_id", "rule_pos", "pattern", F.coalesce("broken", F.lit(0).cast("long")).alias("broken"), F.col("broken").isNull().alias("passed"))
     return verdict, detail

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs in one
+    process (tests, a laptop) a temporary folder is taken.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir=os.environ.get("TMPDIR")))
         current = sc._jsc.sc().getCheckpointDir()
     return named or current.get()
