@@ -173,7 +173,7 @@ def test_registered_costs_and_trips_are_whole(spark):
         return depth
 
     every = len(reach("APP"))
-    assert rows(run["edge_cost_all"](spark, at), "from_key", "to_key", "exclusive") == sorted((a, b, every - len(reach("APP", (a, b)))) for a, b, *_ in edges)
+    assert rows(run["edge_cost"](spark, at), "from_key", "to_key", "exclusive") == sorted((a, b, every - len(reach("APP", (a, b)))) for a, b, *_ in edges)
     trips = {r["component"]: r["chain"].split(">") for r in run["round_trip_chain"](spark, at).collect()}
     far = {u: reach(u) for u in out}
     mutual = {u: [v for v in far[u] if v in far and u in far[v]] for u in out}

@@ -22,15 +22,17 @@ written as (select graph_id, from_key, to_key, section, file, line, certainty, c
 DEPTHS = """, steps(key, d) as (select 'APP', 0 union select p.to_key, s.d + 1 from steps s join pairs p on p.from_key = s.key where s.d < 30),
 reach as (select key, min(d) as depth from steps group by key)"""
 CLOSURE = ", closure(source, key) as (select distinct from_key, from_key from pairs union select c.source, p.to_key from closure c join pairs p on p.from_key = c.key)"
-# What App reaches without each unit in turn; a unit that is then missed has it as a dominator.
-WITHOUT = DEPTHS + """, without(gone, key) as (select key, 'APP' from reach where key <> 'APP' union select w.gone, p.to_key from without w join pairs p on p.from_key = w.key where p.to_key <> w.gone),
-dom as (select r.key, g.key as dom_key from reach r cross join reach g where g.key = 'APP' or r.key = g.key or not exists (select 1 from without w where w.gone = g.key and w.key = r.key))"""
-DOM = WITHOUT.replace("or not exists (select 1 from without w where w.gone = g.key and w.key = r.key))", "or (g.key, r.key) not in (select gone, key from without))")
+# A strict dominator lies on every way from App, so on the one of this tree: the least predecessor a level nearer.
+TREE = DEPTHS + """, tree as (select r.key, min(p.from_key) as parent from reach r join pairs p on p.to_key = r.key join reach q on q.key = p.from_key and q.depth = r.depth - 1 group by r.key)"""
+# What App reaches without each inner unit of the tree in turn; a unit that is then missed has it as a dominator.
+DOM = TREE + """, without(gone, key) as (select distinct parent, 'APP' from tree where parent <> 'APP' union select w.gone, p.to_key from without w join pairs p on p.from_key = w.key where p.to_key <> w.gone),
+dom as (select r.key, g.gone as dom_key from reach r cross join (select distinct gone from without) g where (g.gone, r.key) not in (select gone, key from without) and r.key <> g.gone union all select key, 'APP' from reach where key <> 'APP' union all select key, key from reach)"""
 CHAINS = """, chains(key, depth, chain) as (select {start}, 0, {start} union all select p.to_key, c.depth + 1, c.chain || '>' || p.to_key from chains c join pairs p on p.from_key = c.key join reach r on r.key = p.to_key and r.depth = c.depth + 1)"""
 PARTS = "key like 'PART.P1_'"
 SHORT = "case section when 'program' then 'prog' when 'interface' then 'intf' else 'impl' end"
 GUARD = "case certainty when 'conditional' then cond when 'unevaluated' then 'unevaluated: ' || cond else '' end"
 PLACE = "file || '(' || line || ')'"
+STEP = SHORT.replace("section", "{0}section", 1) + " || ' ' || {0}file || '(' || {0}line || ')' || case {0}certainty when 'conditional' then ' [' || {0}cond || ']' when 'unevaluated' then ' [unevaluated: ' || {0}cond || ']' else '' end"
 SECTION_ORD = "case section when 'program' then 0 when 'interface' then 1 else 2 end"
 CERTAINTY_ORD = "case certainty when 'unconditional' then 0 when 'conditional' then 1 else 2 end"
 
@@ -46,7 +48,7 @@ NAMES = ", any_names as (select key, name as any_name from nodes union all selec
 HITS = NAMES + f""", rules as ({RULES_SQL}), hits as (select distinct key, rule_pos, allow, pattern from any_names join rules on {_glob('pattern', 'any_name')}),
 open_hits as (select * from hits where not allow and key not in (select key from hits where allow))"""
 EDGE_OUT = "from_key, to_key, section, certainty, file, line, seq"
-AFTER = f", {_edges('after', edges_sql(48, 14, 10))}"
+AFTER = f", {_edges('after', edges_sql(True))}"
 USED = """, used as (select from_key as key from edges union select to_key from edges), used_after as (select from_key as key from after union select to_key from after)"""
 SCANNED = """, supplied as (select *, replace(from_unit, 'SUPP', 'Supp') || '.pas' as path from ({raw}) where seq >= 3000000000000 and seq < 4000000000000),
 placed as (select path, to_unit, section, certainty, cond, seq, row_number() over (partition by path, section order by seq, to_unit) as i, count(*) filter (section = 'interface') over (partition by path) as ni, count(*) filter (section = 'implementation') over (partition by path) as nm from supplied),
@@ -83,19 +85,28 @@ ORACLES: dict[str, str] = {
     "find_paths": f"{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))} select key as to_key, chain from chains where {PARTS}",
     "find_paths_first": f"{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))} select key as to_key, least(count(*), 2) as chains, max(depth) + 1 as units from chains where key like 'PART.%' group by key",
     "why": f"""{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))}, hit as (select chain from chains where {PARTS})
-      select distinct c.chain as prefix, c.depth, c.key, case when c.depth > 0 then left(c.chain, length(c.chain) - length(c.key) - 1) end as parent, c.{PARTS} as is_target from chains c join hit h on h.chain = c.chain or starts_with(h.chain, c.chain || '>')""",
+      select distinct c.chain as prefix, c.depth, c.key, n.name, case when c.depth > 0 then left(c.chain, length(c.chain) - length(c.key) - 1) end as parent, {STEP.format("w.")} as step, c.{PARTS} as is_target
+      from chains c join (select distinct array_to_string(x[1:i], '>') as chain from (select string_split(chain, '>') as x from hit), unnest(range(1, len(x) + 1)) as u(i)) h on h.chain = c.chain join nodes n on n.key = c.key
+      left join written w on w.to_key = c.key and w.from_key = string_split(c.chain, '>')[-2]""",
     "why_unreachable": f"{BASE}{DEPTHS} select key, name from nodes where key not in (select key from reach)",
     "path": f"""{BASE}{DEPTHS.replace("'APP'", "'NATION.N2'")}{CHAINS.format(start=chr(39) + 'NATION.N2' + chr(39))}, hit as (select chain from chains where {PARTS})
-      select distinct c.chain as prefix, c.depth, c.key, c.{PARTS} as is_target from chains c join hit h on h.chain = c.chain or starts_with(h.chain, c.chain || '>')""",
-    "deps": f"""{BASE}{DEPTHS.replace("'APP'", "'REGION.R1'")} select 'REGION.R1' as root_key, p.from_key, p.to_key, r.depth + 1 as depth, (select count(*) - 1 from reach) as total from reach r join pairs p on p.from_key = r.key where r.depth < 2""",
+      select distinct c.chain as prefix, c.depth, c.key, c.{PARTS} as is_target from chains c join (select distinct array_to_string(x[1:i], '>') as chain from (select string_split(chain, '>') as x from hit), unnest(range(1, len(x) + 1)) as u(i)) h on h.chain = c.chain""",
+    # The first to name a unit a level down has it; at depth 2 units are opened at depths 0 and 1.
+    "deps": f"""{BASE}{DEPTHS.replace("'APP'", "'REGION.R1'")}, named as (select p.*, r.depth, case when r.depth = 0 then 0 else (select q.adj_ord from pairs q where q.from_key = 'REGION.R1' and q.to_key = p.from_key) end as o from reach r join pairs p on p.from_key = r.key where r.depth < 2),
+      firsts as (select n.to_key, arg_min(n.from_key, n.o) as f from named n join reach r on r.key = n.to_key and r.depth = n.depth + 1 group by 1),
+      x as (select n.*, coalesce(f.f = n.from_key, false) as is_expanded, exists (select 1 from pairs p where p.from_key = n.to_key) as inner_ from named n left join firsts f using (to_key))
+      select 'REGION.R1' as root_key, from_key, to_key, depth + 1 as depth, adj_ord, is_expanded, not is_expanded and inner_ as above, is_expanded and inner_ and depth + 1 >= 2 as cut, (select count(*) - 1 from reach) as total, cast(0 as bigint) as more from x""",
     "dominator_sets": f"{BASE}{DOM} select key, dom_key from dom",
     "immediate_dominator": f"""{BASE}{DOM}, lv as (select key, count(*) as n from dom group by key) select r.key, (select arg_max(d.dom_key, l.n) from dom d join lv l on l.key = d.dom_key where d.key = r.key and d.dom_key <> r.key) as idom from reach r""",
     "exclusive_reach": f"{BASE}{DOM}, x as (select dom_key as key, count(*) as n from dom group by 1) select n.key, coalesce(x.n, 0) as exclusive from nodes n left join x using (key)",
     "cost_project": f"""{BASE}{DOM}, x as (select dom_key as key, count(*) as exclusive from dom where dom_key <> 'APP' group by 1), k as (select key, name, kind, exclusive, row_number() over (order by exclusive desc, key) as rank, count(*) over () as n from x join nodes using (key))
       select key, name, kind, exclusive, rank, greatest(0, n - 50) as more from k where rank <= 50""",
-    "edge_cost": f"""{BASE}{DEPTHS}, picked as (select from_key as a, to_key as b from pairs where from_key = 'APP' or from_key like 'REGION.%'),
-      w(a, b, key) as (select a, b, 'APP' from picked union select w.a, w.b, p.to_key from w join pairs p on p.from_key = w.key where not (p.from_key = w.a and p.to_key = w.b))
-      select a as from_key, b as to_key, (select count(*) from reach) - count(*) as exclusive from w group by a, b""",
+    # Only an edge of the tree whose target has no other predecessor as near as itself can cost anything.
+    "edge_cost": f"""{BASE}{TREE}, near as (select p.to_key as key, count(*) as n from pairs p join reach q on q.key = p.from_key join reach r on r.key = p.to_key where q.depth <= r.depth and p.from_key <> p.to_key group by 1),
+      picked as (select t.parent as a, t.key as b from tree t join near using (key) where near.n = 1),
+      w(a, b, key) as (select a, b, 'APP' from picked union select w.a, w.b, p.to_key from w join pairs p on p.from_key = w.key where not (p.from_key = w.a and p.to_key = w.b)),
+      c as (select a, b, (select count(*) from reach) - count(*) as n from w group by a, b)
+      select p.from_key, p.to_key, coalesce(c.n, 0) as exclusive from pairs p left join c on c.a = p.from_key and c.b = p.to_key""",
     "cost_unit": f"""{BASE}{DEPTHS}, picked as (select from_key as a, to_key as b from pairs where from_key = 'REGION.R1'),
       w(a, b, key) as (select a, b, 'APP' from picked union select w.a, w.b, p.to_key from w join pairs p on p.from_key = w.key where not (p.from_key = w.a and p.to_key = w.b)),
       t(b, key) as (select b, b from picked union select t.b, p.to_key from t join pairs p on p.from_key = t.key)

@@ -174,7 +174,7 @@ def find_paths_first(g: Graph) -> DataFrame:
 
 @query
 def why(g: Graph) -> DataFrame:
-    return paths.why(g.nodes, g.edges, g.pairs, g.root, match.patterns(g.spark, PARTS), 1000)[0].select("prefix", "depth", "key", "parent", "is_target")
+    return paths.why(g.nodes, g.edges, g.pairs, g.root, match.patterns(g.spark, PARTS), 1000)[0].select("prefix", "depth", "key", "name", "parent", "step", "is_target")
 
 
 @query
@@ -189,7 +189,7 @@ def path(g: Graph) -> DataFrame:
 
 @query
 def deps(g: Graph) -> DataFrame:
-    return paths.deps(g.nodes, g.pairs, match.patterns(g.spark, "Region.R1"), 2, 0).select("root_key", "from_key", "to_key", "depth", "total")
+    return paths.deps(g.nodes, g.pairs, match.patterns(g.spark, "Region.R1"), 2, 0).select("root_key", "from_key", "to_key", "depth", "adj_ord", "is_expanded", "above", "cut", "total", "more")
 
 
 @query
@@ -214,13 +214,6 @@ def cost_project(g: Graph) -> DataFrame:
 
 @query
 def edge_cost(g: Graph) -> DataFrame:
-    root_and_regions = F.col("from_key").startswith("REGION.") | (F.col("from_key") == F.col("root_key"))
-    return dominators.edge_cost(g.pairs, g.root).where(root_and_regions).select("from_key", "to_key", "exclusive")
-
-
-@query
-def edge_cost_all(g: Graph) -> DataFrame:
-    """Every dependency; ``edge_cost`` shows those its SQL can take away one by one."""
     return dominators.edge_cost(g.pairs, g.root).select("from_key", "to_key", "exclusive")
 
 
