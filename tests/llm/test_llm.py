@@ -406,6 +406,36 @@ def test_licenses_with_inserted_words(spark):
     assert [(x[1], x[3]) for x in bank.find(twice) if x[0] == "Apache-2.0-notice"] == [(0, 1.0), (len(" ".join(w)) + 1, 1.0)]
 
 
+def test_licenses_in_long_and_repeated_texts():
+    bank = licenses.Templates(licenses.LICENSES)
+    hits = bank.find("All rights reserved. " * 20_000)
+    assert len(hits) == 20_000 and {x[0] for x in hits} == {"all-rights-reserved"}
+    text = " ".join([prose(31, 3000), licenses.LICENSES["MIT-text"], prose(32, 3000), licenses.LICENSES["MIT-text"].replace("AUTHORS", "WRITERS").replace("limitation", "limit"), prose(33, 50)] * 5)
+    found = [x for x in bank.find(text) if x[0] == "MIT-text"]
+    assert [round(x[3], 2) for x in found] == [1.0, 0.94] * 5
+    assert all(text[x[1] :].startswith("Permission is hereby granted") for x in found)
+
+
+def test_windows_of_random_notices():
+    """Band retrieval and passages against every window of random texts over few words."""
+    rng, letters = np.random.default_rng(12), list("abcdefgh")
+    for _ in range(150):
+        notice = rng.choice(letters, rng.integers(2, 14)).tolist()
+        bank = licenses.Templates({"n": " ".join(notice)})
+        (t,) = bank.items
+        text = rng.choice(letters, rng.integers(0, 30)).tolist()
+        for _ in range(rng.integers(0, 3)):
+            part = list(notice)
+            if rng.random() < 0.5:
+                part[int(rng.integers(len(part)))] = "x"
+            at = int(rng.integers(len(text) + 1))
+            text[at:at] = part
+        mine, g = set(t.order.tolist()), licenses.grams(licenses._words(" ".join(text))[1], t.words).tolist() if len(text) >= t.words else []
+        best = max((len(mine.intersection(g[a : a + t.width])) for a in range(len(g))), default=0)
+        got = [x[3] for x in bank.find(" ".join(text))]
+        assert bool(got) == (best >= t.need) and (not got or round(max(got) * len(mine)) == best), (notice, text)
+
+
 def test_marginals_match_enumeration():
     m = toxicity.Crf(trans=np.array([[0.4, -0.3], [-0.5, 0.9]]), bias=-0.7)
     score, n = {1: 1.3, 4: 2.0, 5: -0.4}, 8
