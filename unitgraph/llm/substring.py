@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,8 +84,11 @@ def counters(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
         return ((anchors * np.uint64(ODD[row])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def runs_of(rows: DataFrame, size: int) -> DataFrame:
-    """Runs of consecutive windows with one anchor: (_doc, _hash, anchor, span, start, n, once).
+RUN = ("_doc", "_hash", "anchor", "span", "start", "n", "once")
+
+
+def finder(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of texts (_doc, _hash, _text) to batches of RUN: runs of consecutive windows with one anchor.
 
     ``span`` hashes the ``n`` windows from word ``start`` on; ``once`` marks an anchor's first run in its text.
     """
@@ -112,13 +115,12 @@ def runs_of(rows: DataFrame, size: int) -> DataFrame:
                 once.append(first)
             if which:
                 at = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), *[pa.array(np.concatenate(x).view(np.int64)) for x in (anchor, span)], *[pa.array(np.concatenate(x).astype(np.int32)) for x in (start, n)], pa.array(np.concatenate(once))],
-                                                 names=["_doc", "_hash", "anchor", "span", "start", "n", "once"])
+                yield pa.RecordBatch.from_arrays([b.column("_doc").take(at), b.column("_hash").take(at), *[pa.array(np.concatenate(x).view(np.int64)) for x in (anchor, span)], *[pa.array(np.concatenate(x).astype(np.int32)) for x in (start, n)], pa.array(np.concatenate(once))], names=list(RUN))
 
-    return rows.select("_doc", "_hash", "_text").mapInArrow(run, "_doc long, _hash long, anchor long, span long, start int, n int, once boolean")
+    return run
 
 
-def count_min(runs: DataFrame, segments: int, bits: int = BITS, depth: int = DEPTH, flush: int = 2_000_000) -> DataFrame:
+def count_min(rows: DataFrame, size: int, segments: int, bits: int = BITS, depth: int = DEPTH, flush: int = 1_000_000) -> DataFrame:
     """A count-min sketch of the documents that hold each anchor: (segment, repeated).
 
     The sketch has as many segments as the input asks for, each of ``depth`` rows of ``2**bits`` counters,
@@ -141,8 +143,8 @@ def count_min(runs: DataFrame, segments: int, bits: int = BITS, depth: int = DEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = [], 0
-        for b in batches:
-            seen.append(b.column("anchor").to_numpy().view(np.uint64))
+        for b in finder(size)(batches):
+            seen.append(b.column("anchor").filter(b.column("once")).to_numpy().view(np.uint64))
             n += len(seen[-1])
             if n > flush:
                 yield from parts(np.concatenate(seen))
@@ -158,11 +160,11 @@ def count_min(runs: DataFrame, segments: int, bits: int = BITS, depth: int = DEP
             total[np.frombuffer(more, "<u4")] = 2
         return pd.DataFrame({"segment": [g["segment"].iloc[0]], "repeated": [np.packbits(total == 2).tobytes()]})
 
-    sketch = runs.where("once").select("anchor").mapInArrow(run, "segment long, ones binary, more binary")
+    sketch = rows.select("_doc", "_hash", "_text").mapInArrow(run, "segment long, ones binary, more binary")
     return sketch.groupBy("segment").applyInPandas(add, "segment long, repeated binary")
 
 
-def estimated_repeated(runs: DataFrame, sketch: DataFrame, segments: int, bits: int = BITS, depth: int = DEPTH) -> DataFrame:
+def estimated_repeated(rows: DataFrame, size: int, sketch: DataFrame, segments: int, bits: int = BITS, depth: int = DEPTH) -> DataFrame:
     """The runs whose anchor is estimated to be in two documents or more.
 
     Runs meet their segment of the sketch in a shuffle: within a task each segment's bits come first and
@@ -170,9 +172,10 @@ def estimated_repeated(runs: DataFrame, sketch: DataFrame, segments: int, bits:
     """
     columns = ["_doc", "_hash", "anchor", "span", "start", "n"]
 
-    @F.pandas_udf("long")
-    def segment(anchor: pd.Series) -> pd.Series:
-        return pd.Series(segment_of(anchor.to_numpy().view(np.uint64), segments))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in finder(size)(batches):
+            at = segment_of(b.column("anchor").to_numpy().view(np.uint64), segments)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[b.column(c) for c in columns]], names=["segment", *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = -1, None
@@ -193,12 +196,14 @@ def estimated_repeated(runs: DataFrame, sketch: DataFrame, segments: int, bits:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in columns], names=columns)
 
-    some = runs.select(segment("anchor").alias("segment"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.lit(None).cast("binary").alias("repeated"), *columns)
+    kinds = "_doc long, _hash long, anchor long, span long, start int, n int"
+    runs = rows.select("_doc", "_hash", "_text").mapInArrow(find, f"segment long, {kinds}")
+    some = runs.select("segment", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), F.lit(None).cast("binary").alias("repeated"), *columns)
     bits_ = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     bits_ = bits_.select("segment", "salt", "repeated", *[F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in columns])
-    dealt = some.unionByName(bits_).repartition(partitions(runs), "segment", "salt").sortWithinPartitions("segment", "salt", F.col("repeated").isNull())
+    dealt = some.unionByName(bits_).repartition(partitions(rows), "segment", "salt").sortWithinPartitions("segment", "salt", F.col("repeated").isNull())
     # A task may hold several salts of a segment; each starts with the segment's bits again.
-    return dealt.select(F.col("segment") * SALTS + F.col("salt"), "repeated", *columns).toDF("segment", "repeated", *columns).mapInArrow(run, "_doc long, _hash long, anchor long, span long, start int, n int")
+    return dealt.select(F.col("segment") * SALTS + F.col("salt"), "repeated", *columns).toDF("segment", "repeated", *columns).mapInArrow(run, kinds)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -247,8 +252,8 @@ def repeated_windows(rows: DataFrame, size: int, bits: int = BITS, depth: int =
     """
     letters = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     segments = max(1, -(-(letters // RUN_BYTES) >> (bits - 1)))
-    runs = runs_of(rows, size)
-    kept = durable(estimated_repeated(runs, durable(count_min(runs, segments, bits, depth)), segments, bits, depth))
+    sketch = durable(count_min(rows, size, segments, bits, depth))
+    kept = durable(estimated_repeated(rows, size, sketch, segments, bits, depth))
     spans = durable(kept.groupBy("anchor", "span").agg(F.min("_doc").alias("first"), F.count(F.lit(1)).alias("members")))
     several = durable(spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_spans")).where("n_spans > 1"))
     known = durable(join_counted(kept, spans, ["anchor", "span"], "members"))
