@@ -22,8 +22,8 @@ def test_globs(spark):
     assert df.where(names.glob_match(F.col("p"), F.col("v")) != F.col("e")).collect() == []
 
 
-def scan_text(text, defines=("MSWINDOWS",), includes=None):
-    s = scan.Scanner({d.upper() for d in defines}, {"COMPILERVERSION": 37.0}, scan._finder(includes or {}))
+def scan_text(text, defines=("MSWINDOWS",), includes=None, folders=()):
+    s = scan.Scanner({d.upper() for d in defines}, {"COMPILERVERSION": 37.0}, scan._finder({p.lower(): (p, t) for p, t in (includes or {}).items()}, folders))
     s.scan("A.pas", text)
     return s
 
@@ -53,7 +53,34 @@ def test_scan_unknown_takes_every_branch():
 def test_scan_includes_and_defines():
     s = scan_text("unit A;\ninterface\n{$DEFINE X}\nuses B,\n{$I more}\nZ;\n{$I gone.inc}", includes={"more.inc": "{$IFDEF X}\nC,\n{$ENDIF}"})
     assert [(e["unit_name"], e["file"], e["line"]) for e in s.entries] == [("B", "A.pas", 4), ("C", "more.inc", 2), ("Z", "A.pas", 6)]
-    assert [w[1:] for w in s.warnings] == [(7, "include file gone.inc not found")]
+    assert [w[1:] for w in s.warnings] == [(7, 'include file not found: "gone.inc"')]
+
+
+def test_scan_include_folders_in_order():
+    """Beside the file that names it, then the search folders in order, and nowhere else."""
+    files = {"lib2/a.inc": "Two,", "lib1/a.inc": "One,", "lib1/b.inc": "{$I c}", "lib1/c.inc": "Beside,", "lib2/c.inc": "Far,", "other/d.inc": "No,", "lib1/loop.inc": "{$I loop}"}
+    s = scan_text("unit A; interface uses {$I a.inc} {$I 'b.inc'} {$I d.inc} {$I loop.inc} {$I %DATE%} Z;", includes=files, folders=["lib1", "LIB2/"])
+    assert [(e["unit_name"], e["file"]) for e in s.entries] == [("One", "lib1/a.inc"), ("Beside", "lib1/c.inc"), ("Z", "A.pas")]
+    assert s.warnings == [("A.pas", 1, 'include file not found: "d.inc"'), ("lib1/loop.inc", 1, 'include cycle detected at "loop"')]
+    assert s.included == ["lib1/a.inc", "lib1/b.inc", "lib1/c.inc", "lib1/loop.inc"]
+
+
+def test_scan_warnings_name_the_directive():
+    """The file and line of the directive, also for entries of an include, and after a decidable branch."""
+    s = scan_text("unit A;\ninterface\nuses\n{$IF Foo}\n{$I x.inc}\n{$ELSEIF Defined(MSWINDOWS)} B, {$ENDIF} C;\n{$ELSE}", includes={"x.inc": "\n\nX,"})
+    assert [(e["unit_name"], e["file"], e["line"]) for e in s.entries] == [("X", "x.inc", 3), ("B", "A.pas", 6), ("C", "A.pas", 6)]
+    assert s.warnings == [("A.pas", 4, "cannot evaluate {$IF Foo}, taking every branch"), ("A.pas", 7, "{$ELSE} without a matching {$IF}")]
+    t = scan_text("unit A; interface uses {$IF Foo} {$ELSEIF Defined(MSWINDOWS)} B, {$ENDIF} C; {$IFDEF X}")
+    assert [w[2] for w in t.warnings] == ["cannot evaluate {$IF Foo}, taking every branch", "1 conditional directive(s) were never closed"]
+
+
+def test_includes_belong_to_their_graph(spark):
+    files = spark.createDataFrame([(g, "A.pas", "unit A; interface uses {$I x} Z;") for g in ("g", "h")], "graph_id string, path string, content string")
+    inc = spark.createDataFrame([("g", "lib/x.inc", "G,"), ("h", "lib/x.inc", "H,")], files.schema)
+    targets = spark.createDataFrame([("g", [], {}, ["lib"]), ("h", [], {}, ["none"])], "graph_id string, defines array<string>, numerics map<string,double>, folders array<string>")
+    out = scan.scan_corpus(files, targets, inc)
+    assert sorted((r["graph_id"], r["unit_name"]) for r in scan.uses_entries(out).collect()) == [("g", "G"), ("g", "Z"), ("h", "Z")]
+    assert [(r["graph_id"], r["message"]) for r in scan.scan_warnings(out).collect()] == [("h", 'include file not found: "x"')]
 
 
 def test_program_header():
@@ -104,3 +131,14 @@ def test_corpus(spark, tmp_path):
     (tmp_path / "Unit1.PAS").write_text("unit Unit1;")
     r = corpus.read_corpus(spark, str(tmp_path)).first()
     assert (r["file_name"], r["file_name_lower"], r["ext"], r["content"]) == ("Unit1.PAS", "unit1.pas", ".pas", "unit Unit1;")
+
+
+def test_corpus_charsets(spark, tmp_path):
+    """Byte order marks are left out, other charsets are read, and what can not be read is a warning."""
+    texts = {"a.pas": "unit é;".encode(), "b.pas": b"\xef\xbb\xbfunit B;", "c.pas": b"\xff\xfe" + "unit é;".encode("utf-16-le"), "d.pas": b"\xfe\xff" + "unit D;".encode("utf-16-be"), "e.pas": "unit é;".encode("latin-1"), "g.pas": b"\xff\xfea"}
+    for name, raw in texts.items():
+        (tmp_path / name).write_bytes(raw)
+    read = corpus.read_corpus(spark, str(tmp_path))
+    assert {r["file_name"]: r["content"] for r in read.collect()} == {"a.pas": "unit é;", "b.pas": "unit B;", "c.pas": "unit é;", "d.pas": "unit D;", "e.pas": "unit é;", "g.pas": "\ufffd"}
+    assert corpus.unreadable(spark, str(tmp_path), read).collect() == []
+    assert [r["file"].rpartition("/")[2] for r in corpus.unreadable(spark, str(tmp_path), read.where("file_name != 'd.pas'")).collect()] == ["d.pas"]

@@ -6,14 +6,17 @@ Files are independent: each is read by itself, row-parallel and without a shuffl
 from __future__ import annotations
 
 import operator
+import posixpath
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitgraph.operators.ranks import small
+
 LEX = re.compile(
     r"(?P<directive>\{\$[^}]*\}?|\(\*\$.*?(?:\*\)|\Z))|(?P<comment>//[^\r\n]*|\{[^}]*\}?|\(\*.*?(?:\*\)|\Z))|(?P<text>'(?:[^'\r\n]|'')*'?)"
     r"|(?P<name>&?[^\W\d]\w*(?:\.[^\W\d]\w*)*)|(?P<number>[$#\d][\w.]*)|(?P<other>[,;])",
@@ -109,7 +112,7 @@ class Frame:
     label: str
     labels: list[str]
     dead: bool
-    warning: tuple[int, str] | None = None
+    warning: tuple[str, int, str] | None = None
 
 
 @dataclass
@@ -135,7 +138,7 @@ class Scanner:
         self._run(file, text, (file.lower(),))
         self._close()
         if self.frames:
-            self.warnings.append((file, 0, f"{len(self.frames)} conditional(s) never closed"))
+            self.warnings.append((file, 0, f"{len(self.frames)} conditional directive(s) were never closed"))
 
     def _active(self) -> bool:
         return all(f.now is not False for f in self.frames)
@@ -193,7 +196,7 @@ class Scanner:
         self.entry = {"unit_name": name, "section": self.section, "certainty": certainty, "cond": " and ".join(f.label for f in self.frames), "file": file, "line": line, "in_path": ""}
         for f in self.frames:
             if f.warning is not None:
-                self.warnings.append((file, *f.warning))
+                self.warnings.append(f.warning)
                 f.warning = None
 
     def _directive(self, file: str, line: int, body: str, chain: tuple[str, ...]) -> None:
@@ -204,7 +207,7 @@ class Scanner:
             warning = None
             if word == "IF":
                 value, label = evaluate(rest, self.defines, self.numerics), rest
-                warning = self._cannot(line, word, rest) if value is None else None
+                warning = self._cannot(file, line, word, rest) if value is None else None
             elif word == "IFOPT":
                 value, label = None, rest
             else:
@@ -213,43 +216,44 @@ class Scanner:
             self.frames.append(Frame(False if dead else value, True if dead else value, label, [label], dead, warning))
         elif word in ("ELSE", "ELSEIF"):
             if not self.frames:
-                self.warnings.append((file, line, f"{{${word}}} without a conditional"))
+                self.warnings.append((file, line, f"{{${word}}} without a matching {{$IF}}"))
                 return
             f = self.frames[-1]
+            # What could not be told stays to be reported, whichever branch an entry is in.
             if word == "ELSE":
                 f.now, f.label = _not(f.prior), f"not ({' or '.join(f.labels)})"
-                f.warning = None if f.now is not None else f.warning
             else:
                 value = evaluate(rest, self.defines, self.numerics)
+                if value is None and f.prior is not True:
+                    f.warning = self._cannot(file, line, word, rest)
                 f.now, f.prior = _and(_not(f.prior), value), _or(f.prior, value)
                 f.label = rest
                 f.labels.append(rest)
-                f.warning = self._cannot(line, word, rest) if value is None else None
             if f.dead:
                 f.now = False
         elif word in ("ENDIF", "IFEND"):
             if self.frames:
                 self.frames.pop()
             else:
-                self.warnings.append((file, line, f"{{${word}}} without a conditional"))
+                self.warnings.append((file, line, f"{{${word}}} without a matching {{$IF}}"))
         elif self._active():
             if word == "DEFINE" and rest:
                 self.defines.add(rest.split(" ")[0].upper())
             elif word == "UNDEF" and rest:
                 self.defines.discard(rest.split(" ")[0].upper())
-            elif word in ("I", "INCLUDE") and rest and rest[0] not in "+-%":
-                self._include(file, line, rest.strip("'\""), chain)
+            elif word in ("I", "INCLUDE") and rest and rest[0] not in "+-" and not (len(rest) > 1 and rest[0] == rest[-1] == "%"):
+                self._include(file, line, rest[1:-1] if len(rest) > 1 and rest[0] == rest[-1] == "'" else rest, chain)
 
     @staticmethod
-    def _cannot(line: int, word: str, rest: str) -> tuple[int, str]:
-        return line, f"cannot evaluate {{${word} {rest}}}, taking every branch"
+    def _cannot(file: str, line: int, word: str, rest: str) -> tuple[str, int, str]:
+        return file, line, f"cannot evaluate {{${word} {rest}}}, taking every branch"
 
     def _include(self, file: str, line: int, name: str, chain: tuple[str, ...]) -> None:
         found = self.include(file, name)
         if found is None:
-            self.warnings.append((file, line, f"include file {name} not found"))
+            self.warnings.append((file, line, f'include file not found: "{name}"'))
         elif found[0].lower() in chain:
-            self.warnings.append((file, line, f"include file {name} includes itself"))
+            self.warnings.append((file, line, f'include cycle detected at "{name}"'))
         else:
             self.included.append(found[0])
             self._run(found[0], found[1], (*chain, found[0].lower()))
@@ -259,37 +263,62 @@ UNIT = "struct<unit_name:string,section:string,certainty:string,cond:string,file
 SCANNED = f"graph_id string, path string, header string, is_program boolean, entries array<{UNIT}>, warnings array<struct<file:string,line:int,message:string>>, included array<string>"
 
 
-def _finder(includes: dict[str, str]) -> Callable[[str, str], tuple[str, str] | None]:
-    by_name = {p.replace("\\", "/").lower(): (p, t) for p, t in includes.items()}
+def _finder(includes: Mapping[str, tuple[str, str]], folders: Sequence[str] = ()) -> Callable[[str, str], tuple[str, str] | None]:
+    """Looks an include file up: beside the file that names it, then in the search folders in order.
+
+    ``includes``: path in lower case, with forward slashes, to (path, text). A name without an extension
+    is tried with ``.inc`` first.
+    """
+    where = [f.replace("\\", "/").lower().rstrip("/") for f in folders]
 
     def find(parent: str, name: str) -> tuple[str, str] | None:
-        name = name.replace("\\", "/").lower()
-        names = [name] if "." in name.rpartition("/")[2] else [f"{name}.inc", name]
-        folder = parent.replace("\\", "/").lower().rpartition("/")[0]
-        for n in names:
-            for p in (n, f"{folder}/{n}" if folder else n):
-                if p in by_name:
-                    return by_name[p]
-        return next((v for n in names for p, v in sorted(by_name.items()) if p.endswith(f"/{n}")), None)
+        name = name.strip().replace("\\", "/").lower()
+        beside = parent.replace("\\", "/").lower().rpartition("/")[0]
+        for n in [name] if "." in name.rpartition("/")[2] else [f"{name}.inc", name]:
+            for folder in ("", beside, *where) if n.startswith("/") else (beside, *where):
+                found = includes.get(posixpath.normpath(f"{folder}/{n}" if folder else n))
+                if found is not None:
+                    return found
+        return None
 
     return find
 
 
-def scan_corpus(corpus: DataFrame, targets: DataFrame, includes: dict[str, str] | None = None) -> DataFrame:
+#: Characters of include files that every task may hold.
+MOST_INCLUDED = 64_000_000
+
+
+def _included(includes: DataFrame | None) -> dict[str, dict[str, tuple[str, str]]]:
+    """The include files (graph_id, path, content) of each graph, after making sure that they are a small set."""
+    if includes is None:
+        return {}
+    size = includes.agg(F.sum(F.length("content") + F.length("path"))).first()[0] or 0
+    if size > MOST_INCLUDED:
+        raise ValueError(f"{size} characters of include files; at most {MOST_INCLUDED} can be held by every task")
+    out: dict[str, dict[str, tuple[str, str]]] = {}
+    for r in includes.select("graph_id", "path", "content").collect():
+        out.setdefault(r["graph_id"], {})[posixpath.normpath(r["path"].replace("\\", "/").lower())] = (r["path"], r["content"] or "")
+    return out
+
+
+def scan_corpus(corpus: DataFrame, targets: DataFrame, includes: DataFrame | None = None) -> DataFrame:
     """Each file scanned for each target of its graph: header, entries, warnings, included files.
 
-    ``corpus``: (graph_id, path, content); ``targets``: (graph_id, defines, numerics). ``includes`` are
-    the texts of include files, a small set that every task holds. A directive in one file never
-    reaches another. Null contents are empty files.
+    ``corpus``: (graph_id, path, content); ``targets``: (graph_id, defines, numerics) and, where includes
+    are searched beyond the folder of the file that names them, ``folders`` in order. ``includes``:
+    (graph_id, path, content), looked up within their graph only, a small set that every task holds. A
+    directive in one file never reaches another. Null contents are empty files.
     """
-    texts = dict(includes or {})
-    rows = corpus.join(F.broadcast(targets.select("graph_id", "defines", "numerics")), "graph_id").select("graph_id", "path", "content", "defines", "numerics")
+    texts = _included(includes)
+    folders = F.col("folders") if "folders" in targets.columns else F.array().cast("array<string>")
+    wanted = targets.select("graph_id", "defines", "numerics", folders.alias("folders"))
+    rows = corpus.join(small(wanted, wanted.count()), "graph_id").select("graph_id", "path", "content", "defines", "numerics", "folders")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _finder(texts)
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
+                find = _finder(texts.get(r.graph_id, {}), r.folders if r.folders is not None else ())
                 s = Scanner(set(r.defines), {k.upper(): float(v) for k, v in dict(r.numerics or {}).items()}, find)
                 s.scan(r.path, r.content or "")
                 out.append((r.graph_id, r.path, s.name, s.is_program, s.entries, [{"file": f, "line": n, "message": m} for f, n, m in s.warnings], s.included))
