@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from unitgraph.plans.fixtures import NODES_SQL, RULES_SQL, edges_sql
-from unitgraph.plans.queries import LISTING_SQL, NAMES_SQL
+from unitgraph.plans.queries import LISTING_SQL, NAMES_SQL, RULE_LINES_SQL
 
 
 def _edges(name: str, sql: str) -> str:
@@ -160,6 +160,17 @@ ORACLES: dict[str, str] = {
       select u.unit_name, u.folder, b.cand as resolved_name, b.lf || '/' || b.file_name as file, b.origin, b.dcu = 0 as is_source from u left join best b on b.unit_name = u.unit_name and b.folder = u.folder""",
     "walk_program": f"""{BASE}, opened as (select key from nodes where parsed and kind <> 'rtl' union select key from nodes where key like 'REGION.%' union select 'APP'), usable as (select * from edges where from_key in (select key from opened)),
       r(key) as (select 'APP' union select u.to_key from r join usable u on u.from_key = r.key) select from_key, to_key, section, certainty, seq from usable where from_key in (select key from r)""",
+    "read_corpus": f"""{BASE}{SCANNED}, text(path, line, t) as (select path, line, '  ' || case certainty when 'unconditional' then to_unit || ',' when 'conditional' then '{{$IFDEF MSWINDOWS}} ' || to_unit || ', {{$ENDIF}}' else '{{$IF Declared(X)}} ' || to_unit || ', {{$IFEND}}' end from lined
+      union all select path, line, '  ' || to_unit || ';' from fixed union all select distinct path, unnest([1, 2, 3, 5 + ni, 6 + ni, 8 + ni + nm]), unnest(['unit ' || replace(path, '.pas', '') || ';', 'interface', 'uses', 'implementation', 'uses', 'end.']) from placed),
+      f as (select path, string_agg(t, chr(10) order by line) || chr(10) as content from text group by 1) select path, '.txt' as ext, length(content) as chars, sha256(content) as sha256 from f""",
+    "read_rules": f"with l as ({RULE_LINES_SQL}) select cast(row_number() over (order by k) as int) as rule_pos, value like '!%' as allow, ltrim(split_part(value, ' ', 1), '!') as pattern, cast(row_number() over (order by k) as int) as line from l",
+    "combine_rules": """with l as (select cast(s_suppkey + 1 as int) as rule_pos, s_suppkey % 3 = 0 as allow, s_name as pattern, cast(s_suppkey + 1 as int) as line from supplier)
+      select * from l union all select (select max(rule_pos) from l) + p, a, g, 0 from (values (1, false, 'Vcl.*'), (2, false, 'Fmx.*'), (3, true, 'Supp.S1'), (4, true, 'Part.P1')) as v(p, a, g)""",
+    "forbid_count": "select count(*) filter (s_suppkey % 3 <> 0) as forbids from supplier",
+    "walk_program_deep": f"""{BASE}, opened as (select key, kind <> 'rtl' as flat from nodes where file_name like '%.pas' and kind <> 'unresolved' union select 'APP', true),
+      usable as (select e.*, o.flat from edges e join opened o on o.key = e.from_key),
+      r(key, deep) as (select 'APP', d from (values (true), (false)) as v(d) union select u.to_key, r.deep from r join usable u on u.from_key = r.key where r.deep or u.flat)
+      select from_key, to_key, section, certainty, seq, r.deep from usable u join r on r.key = u.from_key where r.deep or u.flat""",
     "extract_uses": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, cond, line from lined union all select path, to_unit, section, certainty, cond, line from fixed",
     "extract_uses_without": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, line from lined where certainty <> 'conditional' union all select path, to_unit, section, certainty, line from fixed",
     "scan_warnings": f"{BASE}{SCANNED} select path, line, 'cannot evaluate {{$IF Declared(X)}}, taking every branch' as message from lined where certainty = 'unevaluated'",

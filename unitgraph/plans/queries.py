@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from unitgraph.functions import names as N
 from unitgraph.operators import adjacency, bfs, build, cycles, diff, dominators, match, paths, reports, resolve, rules, scan
 from unitgraph.plans import fixtures
-from unitgraph.plans.durable import durable
+from unitgraph.plans.durable import durable, shared_dir
+from unitgraph.sources import corpus as corpus_files
 from unitgraph.sources import graph_json
+from unitgraph.sources import rules as rule_files
 
 PARTS = "Part.P1?"
 
@@ -381,6 +384,16 @@ def resolve_units(g: Graph) -> DataFrame:
     return _resolved(g).select("unit_name", "folder", "resolved_name", F.when(F.col("file") != "", F.col("file")).alias("file"), "origin", "is_source")
 
 
+@query
+def walk_program_deep(g: Graph) -> DataFrame:
+    """Runtime-library sources opened too; without ``deep`` the walk would end at them."""
+    resolved = g.nodes.select("graph_id", "key", F.col("file_name").alias("file"), F.col("kind").alias("origin"), (F.col("kind") != "unresolved").alias("is_source"))
+    deep = resolve.walk_program(g.root, g.edges, resolved.where(resolve.openable(resolved, True)))
+    flat = resolve.walk_program(g.root, g.edges, resolved.where(resolve.openable(resolved)))
+    columns = ["from_key", "to_key", "section", "certainty", "seq"]
+    return deep.select(*columns, F.lit(True).alias("deep")).unionByName(flat.select(*columns, F.lit(False).alias("deep")))
+
+
 @query
 def walk_program(g: Graph) -> DataFrame:
     opened = g.nodes.where("parsed and kind != 'rtl'").select("graph_id", "key")
@@ -397,6 +410,42 @@ def corpus(g: Graph) -> DataFrame:
     return files.select("graph_id", F.concat("unit", F.lit(".pas")).alias("path"), F.array_join(text, "\n").alias("content"))
 
 
+def _folder(g: Graph, name: str) -> str:
+    return f"{shared_dir(g.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_corpus(g: Graph) -> DataFrame:
+    """The corpus written as files, a folder for each, and read again."""
+    at = _folder(g, "corpus")
+    corpus(g).select(F.col("path").alias("unit"), "content").write.partitionBy("unit").text(at)
+    read = corpus_files.read_corpus(g.spark, at)
+    return read.select(F.regexp_extract("folder", "unit=([^/]*)$", 1).alias("path"), "ext", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("sha256"))
+
+
+RULE_LINES_SQL = "select s_suppkey as k, (case when s_suppkey % 3 = 0 then '!' else '' end) || 'Supp.S' || s_suppkey || '*' || (case when s_nationkey % 2 = 0 then ' # no' else ' // x' end) as value from supplier"
+
+
+@query
+def read_rules(g: Graph) -> DataFrame:
+    """A rule file with a line for each supplier, written and read again."""
+    at = _folder(g, "rules")
+    fixtures.sql(g.spark, g.sf_dir, RULE_LINES_SQL).coalesce(1).sortWithinPartitions("k").select("value").write.text(at)
+    return rule_files.read_rules(g.spark, at)
+
+
+@query
+def combine_rules(g: Graph) -> DataFrame:
+    own = fixtures.sql(g.spark, g.sf_dir, "select cast(s_suppkey + 1 as int) as rule_pos, s_suppkey % 3 = 0 as allow, s_name as pattern, cast(s_suppkey + 1 as int) as line from supplier")
+    return rule_files.combine_rules(own, rule_files.rules_from_lists(g.spark, "Vcl.*; Fmx.* ,,!Supp.S1", "Part.P1"))
+
+
+@query
+def forbid_count(g: Graph) -> DataFrame:
+    own = fixtures.sql(g.spark, g.sf_dir, "select cast(s_suppkey as int) as rule_pos, s_suppkey % 3 = 0 as allow, s_name as pattern, 0 as line from supplier")
+    return rules.forbid_count(own)
+
+
 def _targets(g: Graph, *defines: str) -> DataFrame:
     return g.spark.createDataFrame([("x1", list(defines), {"CompilerVersion": 37.0})], "graph_id string, defines array<string>, numerics map<string,double>")
 
@@ -421,14 +470,10 @@ def scan_warnings(g: Graph) -> DataFrame:
 @query
 def graph_json_round_trip(g: Graph) -> DataFrame:
     """Edges after they were written as a document and read again."""
-    import uuid
-
-    from unitgraph.plans.durable import shared_dir
-
     graphs = g.root.select("graph_id", F.lit("App").alias("root_unit"), *[F.lit("").alias(c) for c in ("dproj", "dpr", "compiler", "compiler_name", "platform", "config")], F.lit(None).cast("string").alias("app_type"), F.lit(None).cast("string").alias("project_version"))
     none = g.spark.createDataFrame([], "graph_id string, path_pos int, folder string, origin string")
     defines = g.spark.createDataFrame([("x1", "MSWINDOWS")], "graph_id string, define string")
-    at = f"{shared_dir(g.spark).rstrip('/')}/graphs-{uuid.uuid4().hex}"
+    at = _folder(g, "graphs")
     graph_json.write_graph_json(graph_json.graph_documents(graphs, g.nodes, g.edges, g.warnings, none, defines), at)
     return graph_json.read_graph_json(g.spark, f"{at}/graph_id=x1")["edges"].select("from_key", "to_key", "from_unit", "to_unit", "section", "certainty", "cond", "file", "line")
 
