@@ -127,6 +127,27 @@ def test_graph_documents(spark, tmp_path):
             graph_json.read_graph_json(spark, str(tmp_path / f"bad{i}.json"))
 
 
+def test_graph_of_many_documents(spark, tmp_path):
+    """Two graphs in parts of three rows: what is read is what was written, in order; a small one is one plain document."""
+    graphs = spark.createDataFrame([(g, "A", *[""] * 6, None, None) for g in "gh"], "graph_id string, root_unit string, dproj string, dpr string, compiler string, compiler_name string, platform string, config string, app_type string, project_version string")
+    nodes = spark.createDataFrame([(g, f"N{i}", f"n{i}", "", "project", True, [f"a{i}"] if i % 2 else []) for g, n in (("g", 8), ("h", 2)) for i in range(n)], "graph_id string, key string, name string, file_name string, kind string, parsed boolean, aliases array<string>")
+    edges = spark.createDataFrame([(g, i * 7, f"n{i}", f"n{i + 1}", "interface", "unconditional", "", "f", i) for g, n in (("g", 7), ("h", 1)) for i in range(n)], "graph_id string, seq long, from_unit string, to_unit string, section string, certainty string, cond string, file string, line int")
+    warnings = spark.createDataFrame([("g", i, "f", i, f"w{i}") for i in range(4)], "graph_id string, seq long, file string, line int, message string")
+    paths = spark.createDataFrame([("g", 0, "x", "rtl")], "graph_id string, path_pos int, folder string, origin string")
+    defines = spark.createDataFrame([("g", "D"), ("h", "D")], "graph_id string, define string")
+    docs = graph_json.graph_documents(graphs, nodes, edges, warnings, paths, defines, 3)
+    assert sorted((r["graph_id"], r["slice"]) for r in docs.collect()) == [("g", 0), ("g", 1), ("g", 2), ("h", 0)]
+    plain = json.loads(docs.where("graph_id = 'h'").first()["value"])
+    assert "part" not in plain and plain["summary"] == {"units": 2, "edges": 1, "unresolved": 0, "warnings": 0}
+    graph_json.write_graph_json(docs, str(tmp_path / "o"))
+    got = graph_json.read_graph_json(spark, str(tmp_path / "o"))
+    name = lambda r: r["graph_id"][-1]
+    assert sorted((name(r), r["name"], r["aliases"]) for r in got["nodes"].collect()) == sorted((r["graph_id"], r["name"], r["aliases"]) for r in nodes.collect())
+    assert [(name(r), r["from_unit"], r["line"]) for r in got["edges"].orderBy("graph_id", "seq").collect()] == [(r["graph_id"], r["from_unit"], r["line"]) for r in edges.orderBy("graph_id", "seq").collect()]
+    assert [r["message"] for r in got["warnings"].orderBy("seq").collect()] == ["w0", "w1", "w2", "w3"]
+    assert sorted(map(name, got["graphs"].collect())) == ["g", "h"] and got["search_paths"].count() == 1 and got["defines"].count() == 2
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "Unit1.PAS").write_text("unit Unit1;")
     r = corpus.read_corpus(spark, str(tmp_path)).first()

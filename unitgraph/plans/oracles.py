@@ -174,5 +174,7 @@ ORACLES: dict[str, str] = {
     "extract_uses": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, cond, line from lined union all select path, to_unit, section, certainty, cond, line from fixed",
     "extract_uses_without": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, line from lined where certainty <> 'conditional' union all select path, to_unit, section, certainty, line from fixed",
     "scan_warnings": f"{BASE}{SCANNED} select path, line, 'cannot evaluate {{$IF Declared(X)}}, taking every branch' as message from lined where certainty = 'unevaluated'",
+    "graph_json_nodes": f"{BASE} select key, name, nullif(file_name, '') as file_name, kind, parsed, alias as aliases from nodes",
+    "graph_json_warnings": f"{BASE} select row_number() over (order by seq, file, line) - 1 as seq, file, line, 'cannot evaluate ' || cond as message from edges where certainty = 'unevaluated'",
     "graph_json_round_trip": f"{BASE} select from_key, to_key, from_unit, to_unit, section, certainty, cond, file, line from edges",
 }

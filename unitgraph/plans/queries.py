@@ -467,15 +467,30 @@ def scan_warnings(g: Graph) -> DataFrame:
     return scan.scan_warnings(scan.scan_corpus(corpus(g), _targets(g, "MSWINDOWS"))).select("path", "line", "message")
 
 
-@query
-def graph_json_round_trip(g: Graph) -> DataFrame:
-    """Edges after they were written as a document and read again."""
+def _written(g: Graph) -> dict[str, DataFrame]:
+    """The graph after it was written as documents and read again."""
     graphs = g.root.select("graph_id", F.lit("App").alias("root_unit"), *[F.lit("").alias(c) for c in ("dproj", "dpr", "compiler", "compiler_name", "platform", "config")], F.lit(None).cast("string").alias("app_type"), F.lit(None).cast("string").alias("project_version"))
     none = g.spark.createDataFrame([], "graph_id string, path_pos int, folder string, origin string")
     defines = g.spark.createDataFrame([("x1", "MSWINDOWS")], "graph_id string, define string")
     at = _folder(g, "graphs")
     graph_json.write_graph_json(graph_json.graph_documents(graphs, g.nodes, g.edges, g.warnings, none, defines), at)
-    return graph_json.read_graph_json(g.spark, f"{at}/graph_id=x1")["edges"].select("from_key", "to_key", "from_unit", "to_unit", "section", "certainty", "cond", "file", "line")
+    return graph_json.read_graph_json(g.spark, f"{at}/graph_id=x1")
+
+
+@query
+def graph_json_round_trip(g: Graph) -> DataFrame:
+    return _written(g)["edges"].select("from_key", "to_key", "from_unit", "to_unit", "section", "certainty", "cond", "file", "line")
+
+
+@query
+def graph_json_nodes(g: Graph) -> DataFrame:
+    return _written(g)["nodes"].select("key", "name", "file_name", "kind", "parsed", F.array_join("aliases", ";").alias("aliases"))
+
+
+@query
+def graph_json_warnings(g: Graph) -> DataFrame:
+    """Warnings in the order written."""
+    return _written(g)["warnings"].select("seq", "file", "line", "message")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
