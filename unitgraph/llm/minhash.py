@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_bytes, join_counted
+from unitgraph.llm.common import as_bytes, join_counted, slices
 from unitgraph.plans.durable import durable
 
 SKETCH = 64
@@ -32,7 +32,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 250_000:
             self[word] = h
         return h
 
@@ -71,7 +71,7 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, n, hashes) for t in as_bytes(b.column("_text"))]
             ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -86,7 +86,7 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("_id"), _lists([shingle_set(t, n, hashes) for t in as_bytes(b.column("_text"))])], names=["_id", "full"])
 
     return docs.select("_id", "_text").mapInArrow(run, "_id long, full array<long>")

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitgraph.llm.common import as_bytes, join_counted, partitions
+from unitgraph.llm.common import as_bytes, join_counted, partitions, slices
 from unitgraph.llm.minhash import _Hashes
 from unitgraph.plans.durable import durable
 
@@ -95,7 +95,7 @@ def finder(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             which, anchor, span, start, n, once = [], [], [], [], [], []
             for i, t in enumerate(as_bytes(b.column("_text"))):
                 w = Windows.of(t, size, known)
@@ -211,7 +211,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("_doc"), b.column("_hash"), pa.array([pack(t) for t in as_bytes(b.column("_text"))], pa.binary())], names=["_doc", "_hash", "packed"])
 
     return rows.select("_doc", "_hash", "_text").mapInArrow(run, "_doc long, _hash long, packed binary")
@@ -222,7 +222,7 @@ def windows_of(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = _Hashes(), zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             which, anchor, window, start = [], [], [], []
             for i, (t, runs) in enumerate(zip(b.column("packed").to_pylist(), b.column("runs").to_pylist(), strict=True)):
                 words = unpack(t).split()
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             n, removed, sha, kept_text = [], [], [], []
             for t, cuts in zip(b.column("packed").to_pylist(), b.column("gone").to_pylist(), strict=True):
                 words = unpack(t).split()

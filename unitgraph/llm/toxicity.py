@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from unitgraph.llm.common import as_bytes, as_text
+from unitgraph.llm.common import as_bytes, as_text, slices
 from unitgraph.plans.durable import durable
 
 WORD_AT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,7 +131,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", flush: int = 200_000) -> DataFrame:
+def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", flush: int = 200_000, cache: int = 50_000) -> DataFrame:
     """(feature, toxic, clean): documents of either label that hold it, over all labelled documents.
 
     Each task adds up what it has read before anything is shuffled.
@@ -144,14 +144,14 @@ def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic"
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "toxic", "clean"])
 
-        for b in batches:
+        for b in slices(batches):
             for t, y in zip(as_bytes(b.column("_text")), b.column("_label").to_pylist(), strict=True):
                 found: set[str] = set()
                 for w in set(t.split()):
                     f = known.get(w)
                     if f is None:
                         f = features(w.decode())
-                        if len(known) < flush:
+                        if len(known) < cache:
                             known[w] = f
                     found.update(f)
                 for f in found:
@@ -175,7 +175,7 @@ def held_features(docs: DataFrame, names: list[str], cache: int = 200_000) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(names)}
         known: dict[bytes, tuple[int, ...]] = {}
-        for b in batches:
+        for b in slices(batches):
             rows, found = [], []
             for i, t in enumerate(as_bytes(b.column("_body"))):
                 held: set[int] = set()
@@ -364,13 +364,16 @@ def score(docs: DataFrame, model: Crf, keep: list[str], text: str = "text", offe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())])
-        for b in batches:
-            done = [tagger.tag(t) for t in as_text(b.column("_text"))]
+        for b in slices(batches):
+            done = [tagger.tag(t) for t in as_text(b.column(body))]
             s = pa.array([x for x, _ in done], pa.float64())
             spans = pa.array([[{"start": a, "end": e, "marginal": m} for a, e, m in sp if m >= offending] for _, sp in done], pa.list_(span))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], s, pa.array([int(x >= 0.5) for x, _ in done], pa.int32()), spans], names=[*keep, "score", "predicted", "spans"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    # A text that is kept goes to the workers once.
+    body = text if text in keep else "_text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(body))
+    kept = [rows.schema[c] for c in keep]
     spans_of = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())]))
-    result = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", spans_of)])
+    result = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", spans_of)])
     return rows.mapInArrow(run, result)
