@@ -24,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table, or labels of one kind only, drop nothing. Texts are scored whole. Extra columns stay as they are.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_body"))
-    return toxicity.score(rows, model, ["_row"], "_body").where("predicted = 0").select("_row.*")
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    scored = toxicity.score(docs.select(others.alias("_row"), F.col("text").alias("_body")), model, ["_row", "_body"], "_body")
+    return scored.where("predicted = 0").select(*[F.col("_body").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
