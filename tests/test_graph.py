@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from unitgraph.operators import adjacency, bfs, build, cycles, diff, dominators, match, paths, reports, rules
 from unitgraph.plans.durable import durable
@@ -189,3 +190,65 @@ def test_registered_costs_and_trips_are_whole(spark):
             assert any((a, b, s, f"{f}({n})") == (chain[i], chain[i + 1], section, r["where"]) for a, b, s, f, n in edges)
             assert (r["from_unit"].upper(), r["to_unit"].upper(), r["size"]) == (chain[i], chain[i + 1], len(mutual[c]))
     assert trips
+
+
+def test_discovery_chains_and_dominators_of_many_graphs(spark, monkeypatch):
+    """Ranks, parents, first hops, chains in their order and dominator sets of random graphs, by searching each one by hand."""
+    from unitgraph.operators import ranks
+
+    rng = random.Random(11)
+    text = [(f"g{g}", f"N{rng.randrange(8)}", f"N{rng.randrange(8)}") for g in range(10) for _ in range(13)]
+    df = spark.createDataFrame([(g, i, a, b, "interface", "unconditional", "", "", 1) for i, (g, a, b) in enumerate(text)], RAW)
+    p = durable(build.pairs(build.dedup_edges(df)))
+    roots = spark.createDataFrame([(f"g{g}", "N0") for g in range(10)], "graph_id string, root_key string")
+    out = {}
+    for g, a, b in text:
+        out.setdefault(g, {}).setdefault(a, [])
+        if b not in out[g][a]:
+            out[g][a].append(b)
+    units, chains, doms = set(), set(), set()
+    for g, adj in out.items():
+        if not any("N0" in (a, *bs) for a, bs in adj.items()):
+            continue
+        depth, order, parent, hop, preds = {"N0": 0}, ["N0"], {"N0": None}, {"N0": None}, {}
+        for u in order:
+            for v in adj.get(u, []):
+                if v not in depth:
+                    depth[v], parent[v], hop[v] = depth[u] + 1, u, hop[u] or v
+                    order.append(v)
+                if depth[v] == depth[u] + 1:
+                    preds.setdefault(v, []).append(u)
+        place = {d: [u for u in order if depth[u] == d] for d in set(depth.values())}
+        units |= {(g, u, depth[u], place[depth[u]].index(u) + 1, parent[u], hop[u]) for u in order}
+        first = {"N0": ["N0"]}
+        for u in order[1:]:
+            first[u] = [f"{c}>{u}" for w in preds[u] for c in first[w]][:2]
+        chains |= {(g, u, i + 1, c) for u in order for i, c in enumerate(first[u])}
+        for gone in order:
+            seen, todo = set(), ["N0"] if gone != "N0" else []
+            while todo:
+                u = todo.pop()
+                if u not in seen and u != gone:
+                    seen.add(u)
+                    todo += adj.get(u, [])
+            doms |= {(g, u, gone) for u in order if u not in seen}
+    targets = p.select("graph_id", F.col("to_key").alias("key")).unionByName(roots.select("graph_id", F.col("root_key").alias("key")))
+    for most in (ranks.SMALL, 0):  # and once with nothing small enough to be broadcast or ranked in one task
+        monkeypatch.setattr(ranks, "SMALL", most)
+        monkeypatch.setattr(bfs, "SMALL", most)
+        found = bfs.shortest_path_dag(p, roots)[0].collect()
+        assert {(r["graph_id"], r["key"], r["depth"], r["rank"], r["parent"], r["first_hop"]) for r in found} == units
+    assert {(r["graph_id"], r["to_key"], r["chain_no"], ">".join(r["chain"])) for r in paths.find_paths(p, roots, targets, 2).collect()} == chains
+    assert {(r["graph_id"], r["key"], r["dom_key"]) for r in dominators.dominators(p, roots).collect()} == doms
+
+
+def test_ranks_within_lists_that_span_ranges(spark):
+    from unitgraph.operators.ranks import rank_within
+
+    rows_ = [("hub" if i % 3 else f"k{i}", (i * 37) % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows_, "key string, v int").repartition(7)
+    got = {(r["key"], r["v"]): r["rank"] for r in rank_within(df, ["key"], [F.col("v")]).collect()}
+    hub = sorted(v for k, v in rows_ if k == "hub")
+    assert [got["hub", v] for v in hub] == list(range(1, len(hub) + 1)) and len(got) == 1000
+    top = reports.limit_with_more(df, ["key"], [F.col("v").desc()], 2).where("key = 'hub'").orderBy("rank").collect()
+    assert [(r["v"], r["rank"], r["more"]) for r in top] == [(hub[-1], 1, len(hub) - 2), (hub[-2], 2, len(hub) - 2)]
