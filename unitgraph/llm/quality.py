@@ -15,6 +15,8 @@ COMMON_WORDS = (
     "le", "la", "les", "et", "des", "un", "une", "que", "dans", "pour",
     "el", "los", "de", "y", "las", "por", "con", "una", "se", "del",
 )
+#: Bins of the word histogram: each frequent word, and all other words together.
+WORD_BINS = len(COMMON_WORDS) + 1
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punct", "other")
 WINDOW = 8
 
@@ -58,7 +60,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     letter_of = F.create_map(*[F.lit(x) for pair in zip(COMMON_WORDS, letters, strict=True) for x in pair])
     known = F.filter("_w", lambda w: w.isin(*COMMON_WORDS))
     step = step.withColumn("_c", F.array_join(F.transform(known, lambda w: F.element_at(letter_of, w)), ""))
-    step = step.withColumn("common", F.array(*[(F.length("_c") - F.length(F.replace("_c", F.lit(x), F.lit("")))).cast("long") for x in letters]))
+    step = step.withColumn("common", F.array(*[(F.length("_c") - F.length(F.replace("_c", F.lit(x), F.lit("")))).cast("long") for x in letters], F.col("n_words") - F.length("_c")))
     return step.select(*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common").withColumns({"classes_total": _total("classes"), "common_total": _total("common")})
 
 
@@ -85,25 +87,25 @@ def js_distance(p: str, q: str, n: int) -> Column:
 
 def language_references(counted: DataFrame) -> DataFrame:
     """Both histograms summed over every document of a language, and how many documents and words they hold."""
-    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS))]
+    sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(WORD_BINS)]
     out = counted.groupBy("_lang").agg(F.count(F.lit(1)).alias("_documents"), F.sum("n_words").alias("ref_words"), F.sum("classes_total").alias("ref_classes_total"), F.sum("common_total").alias("ref_common_total"), *sums)
-    return out.select("_lang", "_documents", "ref_words", "ref_classes_total", "ref_common_total", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(len(COMMON_WORDS))]).alias("ref_common"))
+    return out.select("_lang", "_documents", "ref_words", "ref_classes_total", "ref_common_total", F.array(*[f"c{i}" for i in range(len(CLASSES))]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(WORD_BINS)]).alias("ref_common"))
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
 def judge_quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = 0.28, max_word_distance: float = 0.9,
-    min_words: int = 50, min_common: int = 30, min_reference_words: int = 10_000,
+    docs: DataFrame, text: str = "text", lang: str = "lang", max_class_distance: float = 0.28, max_word_distance: float = 0.24,
+    min_words: int = 50, min_words_common: int = 100, min_reference_words: int = 10_000,
 ) -> DataFrame:
     """Base counts, distances to the language's references, and the verdict ``kept``.
 
     A document fails at once (``base_failed``) with under 20 words, or with over 30 % of its words in
-    repeated 8-word windows. Else its character classes and its common words are compared with the sums
-    over all documents of its language. A distance counts only if there is enough to compare: the
-    document has ``min_words`` words (``min_common`` common words for the second) and the reference
-    ``min_reference_words``; a document that is too short to judge is kept.
+    repeated 8-word windows. Else its character classes and its words, each common one and the others
+    together, are compared with the sums over all documents of its language. A distance counts only if
+    there is enough to compare: ``min_words`` words in the document (``min_words_common`` for the second)
+    and ``min_reference_words`` in the reference; a document that is too short to judge is kept.
 
     A language that holds many documents has its reference broadcast, so no text's counts are shuffled for
     it; rare languages, however many, meet theirs in a shuffle.
@@ -117,8 +119,8 @@ def judge_quality(
     counted = durable(base_counts(rows, "_text").drop("_text"))
     refs = durable(language_references(counted))
     joined = join_counted(counted, refs, ["_lang"], "_documents", most=10_000)
-    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes", len(CLASSES))).withColumn("word_distance", js_distance("common", "ref_common", len(COMMON_WORDS)))
+    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes", len(CLASSES))).withColumn("word_distance", js_distance("common", "ref_common", WORD_BINS))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = (F.col("ref_words") >= min_reference_words) & (F.col("n_words") >= min_words)
-    far = (enough & (F.col("class_distance") > max_class_distance)) | (enough & (F.col("common_total") >= min_common) & (F.col("word_distance") > max_word_distance))
+    far = enough & ((F.col("class_distance") > max_class_distance) | ((F.col("n_words") >= min_words_common) & (F.col("word_distance") > max_word_distance)))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far, F.lit(False))).select(*[F.col("_row")[c].alias(c) for c in keep], *RESULTS)

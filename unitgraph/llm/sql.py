@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from unitgraph.llm.quality import COMMON_WORDS
+from unitgraph.llm.quality import COMMON_WORDS, WORD_BINS
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(regexp_split_to_array({{text}}, '{SPACES}'), lambda w: w <> '')"
@@ -30,7 +30,7 @@ select w.doc_id, len(w.w) as n_words, coalesce(p.n_removed, 0) as n_removed, sha
 
 #: ASCII punctuation but for the counted symbols, as a pattern within an SQL string.
 PUNCT = r"""[!"''()+,\-./:;=?@\[\\\]^_`{}~]"""
-CLASSES, COMMON = 7, len(COMMON_WORDS)
+CLASSES = 7
 _LIST = "[" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + "]"
 
 
@@ -50,14 +50,14 @@ with t as (select doc_id, lang, coalesce(text, '') as t from documents),
 w as (select *, {WORDS.format(text="t")} as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
 c as (select doc_id, lang, w, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
   length(t) as chars, len(regexp_extract_all(t, '[A-Z]')) as up, len(regexp_extract_all(t, '[0-9]')) as dig, len(regexp_extract_all(t, '{PUNCT}')) as pun, strlen(t) - length(t) as oth,
-  list_transform({_LIST}, lambda k: len(list_filter(w, lambda x: x = k))) as common from w),
+  list_transform({_LIST}, lambda k: len(list_filter(w, lambda x: x = k))) || [len(list_filter(w, lambda x: not list_contains({_LIST}, x)))] as common from w),
 f as (select *, [greatest(0, word_chars - up - dig - n_symbols - pun - oth), up, dig, chars - word_chars, n_symbols, pun, oth] as classes from c),
 g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as h from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
 again as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 8)) as k from (select *, count(*) over (partition by doc_id, h) as c from g) where c > 1) group by 1),
-refs as (select coalesce(lang, '') as l, sum(n_words) as ref_words, {_sums('classes', CLASSES)} as rc, {_sums('common', COMMON)} as rw from f group by 1),
+refs as (select coalesce(lang, '') as l, sum(n_words) as ref_words, {_sums('classes', CLASSES)} as rc, {_sums('common', WORD_BINS)} as rw from f group by 1),
 d as (select f.*, coalesce(a.n, 0) as n_repeat_words, ref_words, {_distance('classes', 'rc')} as cd, {_distance('common', 'rw')} as wd from f join refs on l = coalesce(lang, '') left join again a using (doc_id)),
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, ref_words >= 10000 and n_words >= 50 as enough from d)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) as class_distance, round(wd, 6) as word_distance, base_failed,
-  not base_failed and not coalesce((enough and cd > 0.28) or (enough and list_sum(common) >= 30 and wd > 0.9), false) as kept from j"""
+  not base_failed and not coalesce(enough and (cd > 0.28 or n_words >= 100 and wd > 0.24), false) as kept from j"""
 
 ORACLES: dict[str, str] = {"op1_minhash": NEAR_DUPLICATES, "op7_substring": SUBSTRING, "op8_quality": QUALITY}
