@@ -34,6 +34,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
 
 def partitions(df: DataFrame) -> int:

@@ -16,7 +16,7 @@ from unitgraph.llm.common import as_text, running_total
 from unitgraph.plans.durable import durable
 
 #: Chunks whose ids one worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: A space before white space or at an end: there a text can not be cut at single spaces.
 ODD_SPACE = re.compile(r" (?=\s|$)")
 

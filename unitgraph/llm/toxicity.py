@@ -92,7 +92,7 @@ class Crf:
 class TokenScores(dict):
     """Scores of tokens, as UTF-8; a bounded memory of those met before."""
 
-    def __init__(self, model: Crf, cache: int = 300_000) -> None:
+    def __init__(self, model: Crf, cache: int = 100_000) -> None:
         super().__init__()
         self.model, self.cache = model, cache
 
@@ -131,7 +131,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", flush: int = 200_000, cache: int = 50_000) -> DataFrame:
+def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic", flush: int = 100_000, cache: int = 50_000) -> DataFrame:
     """(feature, toxic, clean): documents of either label that hold it, over all labelled documents.
 
     Each task adds up what it has read before anything is shuffled.
@@ -169,7 +169,7 @@ def feature_counts(labelled: DataFrame, text: str = "text", label: str = "toxic"
     return parts.where("feature != ''").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def held_features(docs: DataFrame, names: list[str], cache: int = 200_000) -> DataFrame:
+def held_features(docs: DataFrame, names: list[str], cache: int = 100_000) -> DataFrame:
     """(_doc, features): places in ``names`` of the features each text holds; texts that hold none are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
