@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitgraph.llm import fingerprints, licenses, minhash, mixing, packing, quality, secrets, substring, toxicity, warc
+from unitgraph.llm import fingerprints, interaction, licenses, minhash, mixing, packing, quality, resampling, secrets, sharding, substring, toxicity, warc
 from unitgraph.llm.common import table
 
 
@@ -62,6 +62,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id"]).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.to_json("spans").alias("offending"))
 
 
+def op11_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From six shards by text to eight of near equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    return sharding.digest(sharding.reshard(docs, sharding.hashed(F.col("text")), sharding.OLD_SHARDS, 8))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -74,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
         "op10_toxicity": op10_toxicity,
+        "op11_interaction": op11_interaction,
+        "op12_resampling": op12_resampling,
+        "op13_sharding": op13_sharding,
     }
 
 

@@ -60,4 +60,19 @@ j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) as class_distance, round(wd, 6) as word_distance, base_failed,
   not base_failed and not coalesce(enough and (cd > 0.28 or n_words >= 100 and wd > 0.24), false) as kept from j"""
 
-ORACLES: dict[str, str] = {"op1_minhash": NEAR_DUPLICATES, "op7_substring": SUBSTRING, "op8_quality": QUALITY}
+INTERACTION = f"""
+with t as (select doc_id, coalesce(text, '') as t, coalesce(source, '') as part from documents),
+least as (select t, min(doc_id) as least from t group by 1),
+w as (select t.*, {WORDS.format(text="t.t")} as w, coalesce(doc_id > least, false) as e from t join least using (t)),
+l as (select doc_id, max(coalesce((quality = 1)::int, 0)) as good, max(coalesce((toxic = 1)::int, 0)) as toxic from labels group by 1),
+f as (select part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), e] as fails, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from w left join l using (doc_id)),
+g as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+letter as (select * from (values (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')) v(i, c)),
+orders as (select a.c || b.c || c.c || d.c || e.c as filter_order, [a.i, b.i, c.i, d.i, e.i] as o from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps as (select *, unnest([1, 2, 3, 4, 5]) as step from orders),
+s as (select part, filter_order, step, o[step] as i, n, good, toxic, fails[o[step]] as mine, len(list_filter(o[:step - 1], lambda k: fails[k])) > 0 as gone, len(list_filter(fails, lambda x: x)) as failed from g, steps),
+c as (select part, filter_order, step, i, sum(case when not gone and not mine then n else 0 end)::bigint as kept, sum(case when not gone and mine then n else 0 end)::bigint as removed, sum(case when gone and mine then n else 0 end)::bigint as redundant,
+  sum(case when mine and failed = 1 then n else 0 end)::bigint as unique_fails, sum(case when not gone and mine then good else 0 end)::bigint as good_lost, sum(case when not gone and mine then toxic else 0 end)::bigint as toxic_lost from s group by all)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, i))::bigint as shapley from c"""
+
+ORACLES: dict[str, str] = {"op1_minhash": NEAR_DUPLICATES, "op7_substring": SUBSTRING, "op8_quality": QUALITY, "op11_interaction": INTERACTION}
