@@ -235,13 +235,65 @@ def test_discovery_chains_and_dominators_of_many_graphs(spark, monkeypatch):
     targets = p.select("graph_id", F.col("to_key").alias("key")).unionByName(roots.select("graph_id", F.col("root_key").alias("key")))
     for most in (ranks.SMALL, 0):  # and once with nothing small enough to be broadcast or ranked in one task
         monkeypatch.setattr(ranks, "SMALL", most)
-        monkeypatch.setattr(bfs, "SMALL", most)
         found = bfs.shortest_path_dag(p, roots)[0].collect()
         assert {(r["graph_id"], r["key"], r["depth"], r["rank"], r["parent"], r["first_hop"]) for r in found} == units
     assert {(r["graph_id"], r["to_key"], r["chain_no"], ">".join(r["chain"])) for r in paths.find_paths(p, roots, targets, 2).collect()} == chains
     assert {(r["graph_id"], r["key"], r["dom_key"]) for r in dominators.dominators(p, roots).collect()} == doms
 
 
+def test_groups_trees_and_reach_without_broadcasts(spark, monkeypatch):
+    """Groups, dominators and reach of many graphs by searching each by hand, with every side sorted and merged."""
+    from unitgraph.operators import condense, ranks
+
+    rng = random.Random(5)
+    text = {(f"g{g}", f"N{rng.randrange(9)}", f"N{rng.randrange(9)}") for g in range(12) for _ in range(rng.randrange(5, 16))}
+    p = spark.createDataFrame([(g, a, b, i, i) for i, (g, a, b) in enumerate(sorted(text))], "graph_id string, from_key string, to_key string, first_seq long, adj_ord int")
+    units = {(g, u) for g, a, b in text for u in (a, b)}
+
+    def reach(g, start, gone=None):
+        seen, todo = set(), [start]
+        while todo:
+            u = todo.pop()
+            if u not in seen and u != gone:
+                seen.add(u)
+                todo += [b for h, a, b in text if (h, a) == (g, u)]
+        return seen
+
+    far = {(g, u): reach(g, u) for g, u in units}
+    mutual = {(g, u): [v for v in far[g, u] if u in far[g, v]] for g, u in units}
+    monkeypatch.setattr(ranks, "SMALL", 0)
+    found, rounds = cycles.components(p)
+    assert {(r["graph_id"], r["component"], r["size"], r["key"]) for r in found.collect()} == {(g, min(vs), len(vs), u) for (g, u), vs in mutual.items() if len(vs) > 1}
+    assert 1 <= rounds["phases"] <= rounds["rounds"] <= 40
+    assert {(r["graph_id"], r["key"], r["reach"]) for r in condense.reach_count_all(p).collect()} == {(g, u, len(vs)) for (g, u), vs in far.items()}
+    roots = spark.createDataFrame([(f"g{g}", f"N{k}") for g in range(12) for k in (0, 1)], "graph_id string, root_key string")
+    doms = {(g, r, u, d) for g in {x[0] for x in units} for r in ("N0", "N1") if (g, r) in units for d in far[g, r] for u in far[g, r] - reach(g, r, d)}
+    assert {tuple(r) for r in dominators.dominators(p, roots).collect()} == doms
+
+
+def test_dominators_of_a_long_chain(spark):
+    """10,000 units in a row, with a second way round every hundredth: n log n pointers, and no level for each unit."""
+    pairs_ = [(i, i + 1) for i in range(9_999)] + [(i, i + 2) for i in range(0, 9_900, 100)]
+    p = spark.createDataFrame([("g", f"N{a}", f"N{b}") for a, b in pairs_], "graph_id string, from_key string, to_key string")
+    tree = dominators.dominator_tree(p, spark.createDataFrame([("g", "N0")], "graph_id string, root_key string"))
+    size = {r["key"]: r["size"] for r in tree.select("key", "size").collect()}
+    jumped = {i + 1 for i in range(0, 9_900, 100)}
+    assert size == {f"N{i}": 1 if i in jumped else 10_000 - i for i in range(10_000)}
+
+
+def test_no_level_sends_or_deals_the_pairs(spark):
+    """The plan of a level: pairs are read where they lie, in buckets if the other side is large."""
+    from unitgraph.operators.ranks import small
+    from unitgraph.plans.durable import bucketed
+
+    p = bucketed(spark.range(50_000).select(F.lit("g").alias("graph_id"), (F.col("id") % 900).cast("string").alias("from_key"), F.col("id").cast("string").alias("to_key")), "graph_id", "from_key")
+    near = spark.range(900).select(F.lit("g").alias("graph_id"), F.col("id").cast("string").alias("from_key"))
+    for rows_, sends in ((900, "BroadcastExchange"), (10**9, "Exchange hashpartitioning")):
+        plan = p.join(small(near, rows_), ["graph_id", "from_key"])._jdf.queryExecution().executedPlan().toString()
+        left, right = plan.split("Scan parquet" if "Scan parquet" in plan else "FileScan parquet")
+        assert "Exchange" not in left and sends in right
+
+
 def test_ranks_within_lists_that_span_ranges(spark):
     from unitgraph.operators.ranks import rank_within
 

@@ -83,6 +83,30 @@ def test_includes_belong_to_their_graph(spark):
     assert [(r["graph_id"], r["message"]) for r in scan.scan_warnings(out).collect()] == [("h", 'include file not found: "x"')]
 
 
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("{$IFDEF\tFOO} C, {$ENDIF} D", [("C", "conditional", "FOO"), ("D", "unconditional", "")]),
+        ("{$IFDEF\nFOO} C, {$ENDIF} D", [("C", "conditional", "FOO"), ("D", "unconditional", "")]),
+        ("{$IFNDEF FOO} C, {$ENDIF} D", [("D", "unconditional", "")]),
+        ("{$IF(DEFINED(FOO))} C, {$IFEND} D", [("C", "conditional", "(DEFINED(FOO))"), ("D", "unconditional", "")]),
+        ("{$IFDEF BAR} C, {$ELSE//x} E, {$ENDIF} D", [("E", "conditional", "not (BAR)"), ("D", "unconditional", "")]),
+        ("{$IFDEF FOO bar} C, {$ENDIF} D", [("D", "unconditional", "")]),
+        ("{$DEFINE\tX}{$IFDEF X} C, {$ENDIF} D", [("C", "conditional", "X"), ("D", "unconditional", "")]),
+        ("{$DEFINE X y}{$IFDEF X} C, {$ENDIF} D", [("D", "unconditional", "")]),
+        ("{$UNDEF\tFOO}{$IFDEF FOO} C, {$ENDIF} D", [("D", "unconditional", "")]),
+        ("{$I'x.inc'} D", [("C", "unconditional", ""), ("D", "unconditional", "")]),
+        ("{$ IFDEF BAR} D", [("D", "unconditional", "")]),
+        ("(*$IFDEF\tFOO*) C, (*$ENDIF *) D", [("C", "conditional", "FOO"), ("D", "unconditional", "")]),
+    ],
+)
+def test_directive_names_are_letters(source, expected):
+    """Whatever parts a directive from its parameter: tabs, line ends, brackets, quotes, comments."""
+    s = scan_text(f"unit A; interface uses {source};", defines={"FOO"}, includes={"x.inc": "C,"})
+    assert [(e["unit_name"], e["certainty"], e["cond"]) for e in s.entries] == expected
+    assert s.warnings == []
+
+
 def test_program_header():
     s = scan_text("program MyApp;\nuses A in 'A.pas', B;\nbegin end.")
     assert (s.name, s.is_program, [e["section"] for e in s.entries]) == ("MyApp", True, ["program", "program"])

@@ -1,18 +1,22 @@
 """Reachability by levels: each round joins the newest units with their dependencies.
 
-Every loop joins only ``pairs``, which the caller makes durable once; every level is written to the
-shared folder before the next, so lineage stays short and a lost executor costs one level.
+Every loop joins only ``pairs``, which the caller makes durable once and best deals by (graph_id, from_key),
+see ``plans.durable.bucketed``. They stay where they are: a round sends the newest units to them, by
+broadcast if these have been counted and are few, else dealt by key like the pairs. Every level is written
+to the shared folder before the next, so lineage stays short and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitgraph.operators.ranks import SMALL, rank_within, small
-from unitgraph.plans.durable import durable
+from unitgraph.operators import ranks
+from unitgraph.operators.ranks import rank_within, small
+from unitgraph.plans.durable import counted, durable
 
 MAX_ROUNDS = 100_000
 #: Levels kept apart before they are written as one.
@@ -27,35 +31,47 @@ def _seen(levels: list[DataFrame], sizes: list[int], columns: list[str]) -> Data
     return small(_union([level.select(*columns) for level in levels]), sum(sizes))
 
 
+def _fresh(met: DataFrame, seen: DataFrame, many: int, keys: list[str], once: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``met`` without what is ``seen``, each unit ``once``.
+
+    A seen set that is broadcast cuts rows before the shuffle; a large one is met by rows that were added up before.
+    """
+    return once(met.join(seen, keys, "left_anti")) if many <= ranks.SMALL else once(met).join(seen, keys, "left_anti")
+
+
+def known_units(pairs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Of ``starts`` (graph_id, key), the units that a pair names."""
+    starts, n = counted(starts.select("graph_id", "key").distinct())
+    named = pairs.select("graph_id", F.explode(F.array("from_key", "to_key")).alias("key"))
+    return named.join(small(starts, n), ["graph_id", "key"], "left_semi").distinct()
+
+
 def walk(pairs: DataFrame, sources: DataFrame, without: DataFrame | None = None, max_depth: int | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(graph_id, scenario, key, depth): what each scenario reaches, its start included at depth 0.
 
     ``sources``: (graph_id, scenario, key). ``without``: (graph_id, scenario, from_key, to_key), pairs
     that a scenario may not use. A start that no pair names reaches nothing.
     """
-    step = small(pairs.select("graph_id", F.col("from_key").alias("key"), F.col("to_key").alias("next")), pairs.count())
-    known = pairs.select("graph_id", F.col("from_key").alias("key")).unionByName(pairs.select("graph_id", F.col("to_key").alias("key")))
-    level = durable(sources.select("graph_id", "scenario", "key").distinct().join(known, ["graph_id", "key"], "left_semi").select("graph_id", "scenario", "key", F.lit(0).alias("depth")))
+    keys = ["graph_id", "scenario", "key"]
+    level, n = counted(sources.select(*keys).distinct().join(known_units(pairs, sources), ["graph_id", "key"], "left_semi").select(*keys, F.lit(0).alias("depth")))
     gone = None
     if without is not None:
-        gone = durable(without.select("graph_id", "scenario", F.col("from_key").alias("key"), F.col("to_key").alias("next")).distinct())
-        gone = small(gone, gone.count())
-    levels, sizes = [level], [level.count()]
-    for depth in range(1, max_rounds + 1):
-        if max_depth is not None and depth > max_depth:
+        gone, many = counted(without.select("graph_id", "scenario", "from_key", F.col("to_key").alias("key")).distinct())
+        gone = small(gone, many)
+    levels, sizes = [level], [n]
+    for round_ in range(1, max_rounds + 1):
+        if max_depth is not None and round_ > max_depth:
             return _union(levels)
-        nxt = level.join(step, ["graph_id", "key"])
+        near = level.select("graph_id", "scenario", F.col("key").alias("from_key"), (F.col("depth") + 1).alias("depth"))
+        met = pairs.select("graph_id", "from_key", F.col("to_key").alias("key")).join(small(near, sizes[-1]), ["graph_id", "from_key"])
         if gone is not None:
-            nxt = nxt.join(gone, ["graph_id", "scenario", "key", "next"], "left_anti")
-        nxt = nxt.select("graph_id", "scenario", F.col("next").alias("key"))
-        fresh = nxt.join(_seen(levels, sizes, ["graph_id", "scenario", "key"]), ["graph_id", "scenario", "key"], "left_anti").distinct()
-        level = durable(fresh.withColumn("depth", F.lit(depth)))
-        n = level.count()
+            met = met.join(gone, ["graph_id", "scenario", "from_key", "key"], "left_anti")
+        level, n = counted(_fresh(met, _seen(levels, sizes, keys), sum(sizes), keys, lambda m: m.select(*keys, "depth").distinct()))
         if not n:
             return _union(levels)
         levels, sizes = [*levels, level], [*sizes, n]
         if len(levels) > FOLD:
-            levels, sizes = [durable(_union(levels))], [sum(sizes)]
+            levels, sizes = [durable(_union(levels[:-1])), level], [sum(sizes[:-1]), n]
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
@@ -97,33 +113,34 @@ def shortest_path_dag(pairs: DataFrame, roots: DataFrame, max_rounds: int = MAX_
     first predecessor and ``first_hop`` the second unit of the chain through the parents; both are null for
     the root. Only the units found are written in a round; predecessors follow from them in one join.
     """
-    edges = pairs.select("graph_id", F.col("from_key").alias("pred_key"), F.col("to_key").alias("key"), "adj_ord")
-    step = small(edges, pairs.count())
-    known = pairs.select("graph_id", F.col("from_key").alias("root_key")).unionByName(pairs.select("graph_id", F.col("to_key").alias("root_key")))
+    keys = ["graph_id", "root_key", "key"]
     none = F.lit(None).cast("string")
-    start = roots.select("graph_id", "root_key").distinct().join(known, ["graph_id", "root_key"], "left_semi")
-    level = durable(start.select("graph_id", "root_key", F.col("root_key").alias("key"), F.lit(0).alias("depth"), F.lit(1).alias("rank"), none.alias("parent"), none.alias("first_hop")))
-    levels, found, sizes = [level], [level.select("graph_id", "root_key", "key")], [level.count()]
-    for depth in range(1, max_rounds + 1):
-        at = level.select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("rank").alias("pred_rank"), "first_hop")
-        met = at.join(step, ["graph_id", "pred_key"]).join(_seen(found, sizes, ["graph_id", "root_key", "key"]), ["graph_id", "root_key", "key"], "left_anti")
-        first = durable(met.groupBy("graph_id", "root_key", "key").agg(F.min(F.struct("pred_rank", "adj_ord", "pred_key", "first_hop")).alias("o")))
-        n = first.count()
+    start = roots.select("graph_id", F.col("root_key").alias("key")).distinct()
+    level = known_units(pairs, start).select("graph_id", F.col("key").alias("root_key"), "key", F.lit(0).alias("depth"), F.lit(1).alias("rank"), none.alias("parent"), none.alias("first_hop"))
+    level, n = counted(level)
+    levels, found, sizes = [level], [level.select(*keys)], [n]
+    for _ in range(max_rounds):
+        near = level.select("graph_id", "root_key", F.col("key").alias("from_key"), F.col("rank").alias("pred_rank"), "first_hop", (F.col("depth") + 1).alias("depth"))
+        met = pairs.select("graph_id", "from_key", F.col("to_key").alias("key"), "adj_ord").join(small(near, n), ["graph_id", "from_key"])
+        best = lambda m: m.groupBy(*keys).agg(F.min(F.struct("pred_rank", "adj_ord", "from_key", "first_hop", "depth")).alias("o"))
+        first, n = counted(_fresh(met, _seen(found, sizes, keys), sum(sizes), keys, best))
         if not n:
             units = durable(_union(levels))
-            return units, _predecessors(edges, units)
+            return units, _predecessors(pairs, units, sum(sizes))
         order = [F.col("o.pred_rank"), F.col("o.adj_ord")]
         # A level that has been counted and is small is ranked as it is read.
-        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "root_key").orderBy(*order))) if n <= SMALL else rank_within(first, ["graph_id", "root_key"], order)
-        level = ranked.select("graph_id", "root_key", "key", F.lit(depth).alias("depth"), "rank", F.col("o.pred_key").alias("parent"), F.coalesce("o.first_hop", "key").alias("first_hop"))
-        levels, found, sizes = [*levels, level], [*found, first.select("graph_id", "root_key", "key")], [*sizes, n]
+        ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id", "root_key").orderBy(*order))) if n <= ranks.SMALL else rank_within(first, ["graph_id", "root_key"], order)
+        level = ranked.select(*keys, F.col("o.depth").alias("depth"), "rank", F.col("o.from_key").alias("parent"), F.coalesce("o.first_hop", "key").alias("first_hop"))
+        levels, found, sizes = [*levels, level], [*found, first.select(*keys)], [*sizes, n]
         if len(levels) > FOLD:
-            levels = [durable(_union(levels))]
-            found, sizes = [levels[0].select("graph_id", "root_key", "key")], [sum(sizes)]
+            level = durable(level)
+            levels = [durable(_union(levels[:-1])), level]
+            found, sizes = [x.select(*keys) for x in levels], [sum(sizes[:-1]), n]
     raise RuntimeError(f"not finished after {max_rounds} rounds")
 
 
-def _predecessors(edges: DataFrame, units: DataFrame) -> DataFrame:
-    near = units.select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("rank").alias("pred_rank"), (F.col("depth") + 1).alias("depth"))
+def _predecessors(pairs: DataFrame, units: DataFrame, n: int) -> DataFrame:
+    near = units.select("graph_id", "root_key", F.col("key").alias("from_key"), F.col("rank").alias("pred_rank"), (F.col("depth") + 1).alias("depth"))
     here = units.select("graph_id", "root_key", "key", "depth")
-    return edges.drop("adj_ord").join(near, ["graph_id", "pred_key"]).join(here, ["graph_id", "root_key", "key", "depth"]).select("graph_id", "root_key", "key", "pred_key", "pred_rank", "depth")
+    met = pairs.select("graph_id", "from_key", F.col("to_key").alias("key")).join(small(near, n), ["graph_id", "from_key"])
+    return met.join(small(here, n), ["graph_id", "root_key", "key", "depth"]).select("graph_id", "root_key", "key", F.col("from_key").alias("pred_key"), "pred_rank", "depth")

@@ -14,23 +14,35 @@ SMALL = 100_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, which has ``rows`` rows, broadcast if these are few; else joins shuffle it."""
-    return F.broadcast(df) if rows <= SMALL else df
+    """``df``, which has ``rows`` rows, broadcast if these are few; else joins sort and merge it, whatever Spark guesses of its size."""
+    return F.broadcast(df) if rows <= SMALL else df.hint("merge")
 
 
-def rank_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
+def hint(rows: int) -> str:
+    """``small`` for SQL text: the name of the hint."""
+    return "broadcast" if rows <= SMALL else "merge"
+
+
+def rank_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], out: str = "rank", kind: str = "int") -> DataFrame:
     """``df`` with each row's place, from 1, in its list by ``order``, which must be total.
 
     Rows are dealt by ranges of list and order, so a list that holds a third of all rows is spread over
     many tasks; each range is ranked by itself, after the rows its list has in the ranges before.
     """
+    placed = total_within(df.withColumn("_one", F.lit(1).cast("long")), lists, order, "_one", "_before")
+    return placed.select(*df.columns, (F.col("_before") + 1).cast(kind).alias(out))
+
+
+def total_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its list that come before each by ``order``; dealt as in ``rank_within``."""
     lists = list(lists)
     dealt = durable(df.repartitionByRange(*lists, *order).withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(*lists).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    ahead = Window.partitionBy(*lists).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # A list has a row here for each range it is in.
-    base = dealt.groupBy(*lists, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy(*lists, "_range").orderBy(*order))
-    return dealt.withColumn("_inner", inner).join(base, [*lists, "_range"]).select(*df.columns, (F.col("_base") + F.col("_inner")).cast("int").alias(out))
+    base = dealt.groupBy(*lists, "_range").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(ahead), zero)).drop("_sum")
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy(*lists, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), zero)
+    return dealt.withColumn("_inner", inner).join(base, [*lists, "_range"]).select(*df.columns, (F.col("_base") + F.col("_inner")).alias(out))
 
 
 def first_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], limit: int, out: str = "rank") -> DataFrame:

@@ -23,6 +23,10 @@ LEX = re.compile(
     re.DOTALL,
 )
 COMPARE = {"=": lambda a, b: abs(a - b) < 1e-9, "<>": lambda a, b: abs(a - b) >= 1e-9, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge}
+#: A directive's name.
+WORD = re.compile(r"(?:[^\W\d_])*")
+#: Control characters and the space.
+BLANK = "".join(map(chr, range(33)))
 TERM = re.compile(r"\s*(<>|<=|>=|[()=<>]|[^\W\d][\w.]*|\d+(?:\.\d+)?|\S)")
 
 
@@ -155,8 +159,8 @@ class Scanner:
             last = m.start()
             kind, token = m.lastgroup, m[0]
             if kind == "directive":
-                body = token[2:].rstrip("}") if token.startswith("{$") else token[3:].removesuffix("*)")
-                self._directive(file, line, body.strip(), chain)
+                body = token[2:].removesuffix("}") if token.startswith("{$") else token[3:].removesuffix("*)")
+                self._directive(file, line, body, chain)
             elif kind in ("name", "text", "other") and self._active():
                 self._token(file, line, kind, token)
 
@@ -200,8 +204,9 @@ class Scanner:
                 f.warning = None
 
     def _directive(self, file: str, line: int, body: str, chain: tuple[str, ...]) -> None:
-        word, _, rest = body.partition(" ")
-        word, rest = word.upper(), rest.strip()
+        # The name is the letters right after the sign; all that follows, whatever parts it, is the parameter.
+        word = WORD.match(body)[0]
+        word, rest = word.upper(), body[len(word) :].strip(BLANK)
         if word in ("IFDEF", "IFNDEF", "IFOPT", "IF"):
             dead = not self._active()
             warning = None
@@ -211,7 +216,7 @@ class Scanner:
             elif word == "IFOPT":
                 value, label = None, rest
             else:
-                hit = rest.split(" ")[0].upper() in self.defines
+                hit = rest.upper() in self.defines
                 value, label = (hit, rest) if word == "IFDEF" else (not hit, f"not {rest}")
             self.frames.append(Frame(False if dead else value, True if dead else value, label, [label], dead, warning))
         elif word in ("ELSE", "ELSEIF"):
@@ -238,9 +243,9 @@ class Scanner:
                 self.warnings.append((file, line, f"{{${word}}} without a matching {{$IF}}"))
         elif self._active():
             if word == "DEFINE" and rest:
-                self.defines.add(rest.split(" ")[0].upper())
+                self.defines.add(rest.upper())
             elif word == "UNDEF" and rest:
-                self.defines.discard(rest.split(" ")[0].upper())
+                self.defines.discard(rest.upper())
             elif word in ("I", "INCLUDE") and rest and rest[0] not in "+-" and not (len(rest) > 1 and rest[0] == rest[-1] == "%"):
                 self._include(file, line, rest[1:-1] if len(rest) > 1 and rest[0] == rest[-1] == "'" else rest, chain)
 

@@ -50,9 +50,9 @@ open_hits as (select * from hits where not allow and key not in (select key from
 EDGE_OUT = "from_key, to_key, section, certainty, file, line, seq"
 AFTER = f", {_edges('after', edges_sql(True))}"
 USED = """, used as (select from_key as key from edges union select to_key from edges), used_after as (select from_key as key from after union select to_key from after)"""
-SCANNED = """, supplied as (select *, replace(from_unit, 'SUPP', 'Supp') || '.pas' as path from ({raw}) where seq >= 3000000000000 and seq < 4000000000000),
+SCANNED = """, supplied as (select * replace (case when certainty = 'conditional' and seq % 4 = 3 then '(DEFINED(MSWINDOWS))' when certainty = 'unevaluated' and seq % 2 = 1 then '(Declared(X))' else cond end as cond), replace(from_unit, 'SUPP', 'Supp') || '.pas' as path from ({raw}) where seq >= 3000000000000 and seq < 4000000000000),
 placed as (select path, to_unit, section, certainty, cond, seq, row_number() over (partition by path, section order by seq, to_unit) as i, count(*) filter (section = 'interface') over (partition by path) as ni, count(*) filter (section = 'implementation') over (partition by path) as nm from supplied),
-lined as (select path, to_unit, section, certainty, cond, cast(case when section = 'interface' then 3 + i else 6 + ni + i end as int) as line from placed),
+lined as (select path, to_unit, section, certainty, cond, seq, cast(case when section = 'interface' then 3 + i else 6 + ni + i end as int) as line from placed),
 fixed as (select distinct path, 'System.Init' as to_unit, 'interface' as section, 'unconditional' as certainty, '' as cond, cast(4 + ni as int) as line from placed
   union all select distinct path, 'System.Fini', 'implementation', 'unconditional', '', cast(7 + ni + nm as int) from placed)""".replace("{raw}", edges_sql())
 
@@ -111,11 +111,16 @@ ORACLES: dict[str, str] = {
       w(a, b, key) as (select a, b, 'APP' from picked union select w.a, w.b, p.to_key from w join pairs p on p.from_key = w.key where not (p.from_key = w.a and p.to_key = w.b)),
       t(b, key) as (select b, b from picked union select t.b, p.to_key from t join pairs p on p.from_key = t.key)
       select w.a as from_key, w.b as to_key, (select count(*) from reach) - count(*) as exclusive, (select count(*) from t where t.b = w.b) as total, any_value(x.file || '(' || x.line || ')') as "where" from w join written x on x.from_key = w.a and x.to_key = w.b group by w.a, w.b""",
+    "reach_count_all": f"""{BASE}, closure(source, key) as (select distinct k, k from (select from_key as k from pairs union select to_key from pairs) union select c.source, p.to_key from closure c join pairs p on p.from_key = c.key) select source as key, count(*) as reach from closure group by 1""",
     "cycle_groups": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component, count(*) as size from mutual group by key)
       select component, size, key from g where size > 1""",
     "round_trip": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component from mutual group by key having count(*) > 1),
       trip(component, key, n) as (select distinct component, component, 1 from g union select t.component, p.to_key, t.n + 1 from trip t join pairs p on p.from_key = t.key join g on g.key = p.to_key and g.component = t.component where t.n < 200 and (t.n = 1 or t.key <> t.component))
       select component, min(n) as units, component as first, component as last from trip where key = component and n > 1 group by component""",
+    "cycle_report_first": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component, count(*) as size from mutual group by key having count(*) > 1),
+      trip(component, key, n) as (select distinct component, component, 0 from g union select t.component, p.to_key, t.n + 1 from trip t join pairs p on p.from_key = t.key join g on g.key = p.to_key and g.component = t.component where t.n < 200 and (t.n = 0 or t.key <> t.component)),
+      r as (select t.component, any_value(g.size) as size, cast(min(t.n) as bigint) as hops from trip t join g on g.key = t.component where t.key = t.component and t.n > 0 group by t.component)
+      select component, size, cast(row_number() over (order by size desc, component) as int) as group_no, greatest(0, count(*) over () - 20) as more, hops from r qualify group_no <= 20""",
     "cycle_report": f"""{BASE}{CLOSURE}, mutual as (select a.source as key, a.key as other from closure a join closure b on a.source = b.key and a.key = b.source), g as (select key, min(other) as component, count(*) as size from mutual group by key having count(*) > 1),
       trip(component, key, n) as (select distinct component, component, 0 from g union select t.component, p.to_key, t.n + 1 from trip t join pairs p on p.from_key = t.key join g on g.key = p.to_key and g.component = t.component where t.n < 200 and (t.n = 0 or t.key <> t.component))
       select t.component, any_value(g.size) as size, cast(min(t.n) as bigint) as hops from trip t join g on g.key = t.component where t.key = t.component and t.n > 0 group by t.component""",
@@ -172,8 +177,8 @@ ORACLES: dict[str, str] = {
       r(key, deep) as (select 'APP', d from (values (true), (false)) as v(d) union select u.to_key, r.deep from r join usable u on u.from_key = r.key where r.deep or u.flat)
       select from_key, to_key, section, certainty, seq, r.deep from usable u join r on r.key = u.from_key where r.deep or u.flat""",
     "extract_uses": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, cond, line from lined union all select path, to_unit, section, certainty, cond, line from fixed",
-    "extract_uses_without": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, line from lined where certainty <> 'conditional' union all select path, to_unit, section, certainty, line from fixed",
-    "scan_warnings": f"{BASE}{SCANNED} select path, line, 'cannot evaluate {{$IF Declared(X)}}, taking every branch' as message from lined where certainty = 'unevaluated'",
+    "extract_uses_without": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, line from lined where certainty <> 'conditional' union all select path, to_unit, section, certainty, line from fixed union all select path, 'No', section, 'conditional', line from lined where certainty = 'conditional' and seq % 4 = 3",
+    "scan_warnings": f"{BASE}{SCANNED} select path, line, 'cannot evaluate {{$IF ' || cond || '}}, taking every branch' as message from lined where certainty = 'unevaluated'",
     "graph_json_nodes": f"{BASE} select key, name, nullif(file_name, '') as file_name, kind, parsed, alias as aliases from nodes",
     "graph_json_warnings": f"{BASE} select row_number() over (order by seq, file, line) - 1 as seq, file, line, 'cannot evaluate ' || cond as message from edges where certainty = 'unevaluated'",
     "graph_json_round_trip": f"{BASE} select from_key, to_key, from_unit, to_unit, section, certainty, cond, file, line from edges",

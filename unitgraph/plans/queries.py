@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitgraph.functions import names as N
-from unitgraph.operators import adjacency, bfs, build, cycles, diff, dominators, match, paths, reports, resolve, rules, scan
+from unitgraph.operators import adjacency, bfs, build, condense, cycles, diff, dominators, match, paths, reports, resolve, rules, scan
 from unitgraph.plans import fixtures
-from unitgraph.plans.durable import durable, shared_dir
+from unitgraph.plans.durable import bucketed, durable, shared_dir
 from unitgraph.sources import corpus as corpus_files
 from unitgraph.sources import graph_json
 from unitgraph.sources import rules as rule_files
@@ -40,8 +40,8 @@ class Graph:
 
     @property
     def pairs(self) -> DataFrame:
-        """Durable: loops join it again and again."""
-        return self._once("pairs", lambda: durable(build.pairs(self.edges)))
+        """A table dealt by the using unit: loops join it again and again."""
+        return self._once("pairs", lambda: bucketed(build.pairs(self.edges), "graph_id", "from_key"))
 
     def keys(self, *patterns: str) -> DataFrame:
         return match.find_nodes(self.nodes, match.patterns(self.spark, *patterns))
@@ -153,6 +153,12 @@ def reach_count(g: Graph) -> DataFrame:
     return bfs.reach_count(g.pairs, g.keys("region.*", "nation.*").select("graph_id", "key"))
 
 
+@query
+def reach_count_all(g: Graph) -> DataFrame:
+    """Of every unit, by merged bitmaps."""
+    return condense.reach_count_all(g.pairs).select("key", "reach")
+
+
 @query
 def reach_count_without_edge(g: Graph) -> DataFrame:
     gone = g.pairs.join(g.root.withColumnRenamed("root_key", "from_key"), ["graph_id", "from_key"], "left_semi")
@@ -239,10 +245,18 @@ def round_trip(g: Graph) -> DataFrame:
 @query
 def cycle_report(g: Graph) -> DataFrame:
     groups = durable(cycles.cycles(g.pairs))
-    out = cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups))
+    out = cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups), 0)
     return out.groupBy("component", "size").agg(F.count(F.lit(1)).alias("hops"))
 
 
+@query
+def cycle_report_first(g: Graph) -> DataFrame:
+    """The report as a reader first sees it: some groups, and how many more there are."""
+    groups = durable(cycles.cycles(g.pairs))
+    out = cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups), 20)
+    return out.groupBy("component", "size", "group_no", "more").agg(F.count(F.lit(1)).alias("hops"))
+
+
 @query
 def round_trip_chain(g: Graph) -> DataFrame:
     """The way round itself; of several as short as it, SQL can not tell which."""
@@ -252,7 +266,7 @@ def round_trip_chain(g: Graph) -> DataFrame:
 @query
 def cycle_report_hops(g: Graph) -> DataFrame:
     groups = durable(cycles.cycles(g.pairs))
-    return cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups)).drop("graph_id")
+    return cycles.cycle_report(g.edges, g.nodes, groups, cycles.round_trip(g.pairs, groups), 0).drop("graph_id", "more")
 
 
 @query
@@ -400,10 +414,24 @@ def walk_program(g: Graph) -> DataFrame:
     return resolve.walk_program(g.root, g.edges, opened.unionByName(g.keys("region.*").select("graph_id", "key"))).select("from_key", "to_key", "section", "certainty", "seq")
 
 
+#: How an entry of each certainty is written, by its number modulo the second value: text before and after
+#: its name, and the condition as it reads. A directive's name ends where its letters do.
+SPELLINGS = (
+    ("unconditional", 1, [("  ", ",", "")]),
+    ("conditional", 4, [
+        ("  {$IFDEF MSWINDOWS} ", ", {$ENDIF}", "MSWINDOWS"), ("  {$IfDef\tMSWINDOWS} ", ", {$ENDIF//x}", "MSWINDOWS"),
+        ("  (*$IFDEF  MSWINDOWS *) ", ", (*$ENDIF*)", "MSWINDOWS"), ("  {$IF(DEFINED(MSWINDOWS))} ", ", {$ELSE//} No, {$IFEND}", "(DEFINED(MSWINDOWS))")]),
+    ("unevaluated", 2, [("  {$IF Declared(X)} ", ", {$IFEND}", "Declared(X)"), ("  {$IF(Declared(X))} ", ", {$IFEND}", "(Declared(X))")]),
+)
+
+
 def corpus(g: Graph) -> DataFrame:
     """One source file per supplier, written from its edges; line numbers follow from their order."""
     e = fixtures.raw_edges(g.spark, g.sf_dir).where("seq >= 3000000000000 and seq < 4000000000000").withColumn("unit", F.regexp_replace("from_unit", "^SUPP", "Supp"))
-    entry = F.when(F.col("certainty") == "unconditional", F.concat(F.lit("  "), "to_unit", F.lit(","))).when(F.col("certainty") == "conditional", F.concat(F.lit("  {$IFDEF MSWINDOWS} "), "to_unit", F.lit(", {$ENDIF}"))).otherwise(F.concat(F.lit("  {$IF Declared(X)} "), "to_unit", F.lit(", {$IFEND}")))
+    entry = F.lit(None).cast("string")
+    for certainty, of, spellings in SPELLINGS:
+        for k, (before, after, _) in enumerate(spellings):
+            entry = F.when((F.col("certainty") == certainty) & (F.pmod("seq", F.lit(of)) == k), F.concat(F.lit(before), "to_unit", F.lit(after))).otherwise(entry)
     part = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct("seq", "to_unit", entry.alias("text"))))), lambda x: x["text"])
     files = e.groupBy("graph_id", "unit").agg(part("interface").alias("a"), part("implementation").alias("b"))
     text = F.concat(F.array(F.concat(F.lit("unit "), "unit", F.lit(";")), F.lit("interface"), F.lit("uses")), F.col("a"), F.array(F.lit("  System.Init;"), F.lit("implementation"), F.lit("uses")), F.col("b"), F.array(F.lit("  System.Fini;"), F.lit("end.")))
