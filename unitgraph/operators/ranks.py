@@ -11,6 +11,8 @@ from unitgraph.plans.durable import durable
 
 #: Rows that are broadcast, or ranked in one task, once they have been counted.
 SMALL = 100_000
+#: Rows of a list up to which Spark limits windows before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+CUT = 1_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -46,5 +48,11 @@ def total_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], v
 
 
 def first_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], limit: int, out: str = "rank") -> DataFrame:
-    """The first ``limit`` rows of each list with their place; every task cuts its own rows first."""
+    """The first ``limit`` rows of each list with their place, by a total order.
+
+    Up to CUT rows, Spark has every task cut its own rows before lists meet. A longer limit is no longer
+    cut there, so all ranks are taken by ranges; either way no task holds a list.
+    """
+    if limit > CUT:
+        return rank_within(df, lists, order, out).where(F.col(out) <= limit)
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*lists).orderBy(*order))).where(F.col(out) <= limit)
