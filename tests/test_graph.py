@@ -281,6 +281,26 @@ def test_dominators_of_a_long_chain(spark):
     assert size == {f"N{i}": 1 if i in jumped else 10_000 - i for i in range(10_000)}
 
 
+def test_globs_by_their_rarest_letters(spark, monkeypatch):
+    """Against comparing all with all: many patterns, ones without three letters in a row, signs that mean something elsewhere."""
+    from unitgraph.operators import match
+
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("aB.%_!é") for _ in range(n))
+    names_ = [("g", f"K{i}", text(rng.randrange(0, 9))) for i in range(150)] + [("h", "K1", "aBa.aB"), ("h", "K1", "other"), ("h", "K2", None)]
+    wanted = {"".join(rng.choice(["*", "?", text(3), text(1), text(4)]) for _ in range(rng.randrange(1, 4))) for _ in range(1500)} | {"", "*", "??", "none*at*all"}
+    names_df = spark.createDataFrame(names_, "graph_id string, key string, any_name string")
+    patterns_ = spark.createDataFrame([(p,) for p in sorted(wanted)], "pattern string")
+    from unitgraph.functions.names import glob_match
+
+    slow = names_df.join(patterns_, glob_match(F.col("pattern"), F.col("any_name"))).select("graph_id", "key", "pattern").distinct()
+    monkeypatch.setattr(match, "BLOCK", 40)
+    assert rows(match.glob_pairs(names_df, patterns_), "graph_id", "key", "pattern") == rows(slow, "graph_id", "key", "pattern")
+    clear = match.glob_pairs(names_df, match.patterns(spark, "aBa*", "*.aB"))
+    assert "NestedLoop" not in clear._jdf.queryExecution().executedPlan().toString()
+    assert match.glob_pairs(names_df, patterns_.limit(0)).collect() == []
+
+
 def test_no_level_sends_or_deals_the_pairs(spark):
     """The plan of a level: pairs are read where they lie, in buckets if the other side is large."""
     from unitgraph.operators.ranks import small

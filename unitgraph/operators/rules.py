@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 from unitgraph.functions.names import glob_match, place
 from unitgraph.operators.bfs import shortest_path_dag
 from unitgraph.operators.build import where_written
-from unitgraph.operators.match import bounded
+from unitgraph.operators.match import glob_pairs, unit_names
 from unitgraph.plans.durable import durable
 
 
-def unit_names(nodes: DataFrame) -> DataFrame:
-    """(graph_id, key, any_name): a unit's name and its aliases, all of which count for a rule."""
-    return nodes.select("graph_id", "key", F.explode(F.concat(F.array("name"), "aliases")).alias("any_name"))
-
-
 def _hits(names: DataFrame, rules: DataFrame) -> DataFrame:
-    # Rules are few, written by hand; nodes stay where they are.
-    r = F.broadcast(bounded(rules))
-    return names.join(r, glob_match(F.col("pattern"), F.col("any_name"))).select("graph_id", "key", "rule_pos", "pattern").distinct()
+    """(graph_id, key, rule_pos, pattern): the rules that any name of a unit matches."""
+    return glob_pairs(names, rules).join(rules.select("rule_pos", "pattern"), "pattern").select("graph_id", "key", "rule_pos", "pattern")
 
 
 def excused(names: DataFrame, rules: DataFrame) -> DataFrame:
@@ -56,8 +50,7 @@ def check(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame
     detail = broken.join(reached, ["graph_id", "key"]).join(w, ["graph_id", "root_key", "first_hop"], "left").join(label, ["graph_id", "key"]).join(via_name, ["graph_id", "first_hop"])
     detail = detail.select("graph_id", "rule_pos", "pattern", "key", "name", F.when(F.col("first_hop") == F.col("key"), "").otherwise(F.col("via_name")).alias("via"), "where")
     counted = broken.groupBy("graph_id", "rule_pos").agg(F.count(F.lit(1)).alias("broken"))
-    forbids = [(r["rule_pos"], r["pattern"]) for r in bounded(rules).where("not allow").collect()]
-    listed = F.array(*[F.struct(F.lit(i).alias("rule_pos"), F.lit(p).alias("pattern")) for i, p in forbids]).cast("array<struct<rule_pos:int,pattern:string>>")
-    every = roots.select("graph_id").distinct().select("graph_id", F.inline(listed))
+    forbids = rules.where("not allow").agg(F.array_sort(F.collect_list(F.struct("rule_pos", "pattern"))).alias("forbids"), F.lit(0).alias("one"))
+    every = roots.groupBy("graph_id").agg(F.lit(0).alias("one")).join(F.broadcast(forbids), "one").select("graph_id", F.inline("forbids"))
     verdict = every.join(counted, ["graph_id", "rule_pos"], "left").select("graph_id", "rule_pos", "pattern", F.coalesce("broken", F.lit(0).cast("long")).alias("broken"), F.col("broken").isNull().alias("passed"))
     return verdict, detail
