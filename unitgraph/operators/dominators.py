@@ -15,7 +15,7 @@ from unitgraph.functions.names import place
 from unitgraph.operators.bfs import known_units, reach_count, walk
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
-from unitgraph.operators.ranks import hint, rank_within, small, total_within
+from unitgraph.operators.ranks import hint, small, total_within
 from unitgraph.operators.reports import limit_with_more
 from unitgraph.plans.durable import bucketed, counted, observed, written
 
@@ -48,8 +48,7 @@ def _first_tree(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFram
     of the units with several ways, or none, which they lead to.
     """
     heads = known_units(pairs, roots.select("graph_id", F.col("root_key").alias("key"))).select("graph_id", F.col("key").alias("root_key"))
-    heads = written(rank_within(heads, [], [F.col("graph_id"), F.col("root_key")], "tree", "long"))
-    many = heads.count()
+    heads, many = counted(heads.withColumn("tree", F.monotonically_increasing_id()))
     p = pairs.select("graph_id", F.col("from_key").alias("pred"), F.col("to_key").alias("key")).where("pred != key").join(small(heads, many), "graph_id").where("key != root_key").select("tree", "pred", "key")
     way, ways = _only_ways(p)
     led = _sql("""select /*+ HINT(t), HINT(s) */ p.tree, coalesce(t.top, p.pred) as top, p.key, min(p.pred) as via from {p} p left join {way} t on p.tree = t.tree and p.pred = t.key
@@ -63,8 +62,8 @@ def _first_tree(pairs: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFram
       where b.depth = a.depth + 1 group by 1, 2""", n, led=led, found=found)
     hanging = way.join(small(found.select("tree", F.col("key").alias("top")), n), ["tree", "top"], "left_semi").select("tree", "key", F.col("only").alias("parent_key"))
     root = heads.select("tree", F.col("root_key").alias("key"), F.lit(None).cast("string").alias("parent_key"))
-    units = rank_within(near.unionByName(hanging).unionByName(root), [], [F.col("tree"), F.col("key")], "id", "long")
-    units, n = counted(units)
+    # Any numbers will do that differ and, once written, stay; 0 is nobody's.
+    units, n = counted(near.unionByName(hanging).unionByName(root).withColumn("id", F.monotonically_increasing_id() + 1))
     named = _sql("select /*+ HINT(b) */ a.tree, a.key, a.id, b.id as parent from {units} a left join {units} b on a.tree = b.tree and a.parent_key = b.key", n, units=units)
     ends = _sql("""select /*+ HINT(u), HINT(v), HINT(s) */ v.id, u.id as pred from {p} p join {units} u on p.tree = u.tree and p.pred = u.key join {units} v on p.tree = v.tree and p.key = v.key
       left anti join {way} s on p.tree = s.tree and p.key = s.key""", max(n, ways), p=p, units=units, way=way)
