@@ -68,20 +68,20 @@ def _total(h: str) -> Column:
     return F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def js_distance(p: str, q: str, n: int) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of ``n`` bins; null if one is empty.
+def js_distance(p: str, q: str) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms with the same bins; null if one is empty.
 
-    ``p`` and ``q`` name the columns; their totals are columns too, named ``<p>_total`` and ``<q>_total``.
+    ``p`` and ``q`` name the columns; their totals are columns too, named ``<p>_total`` and ``<q>_total``. The
+    bins are folded, not written out: code for all of them in one expression is more than Java compiles.
     """
     sp, sq = F.col(f"{p}_total"), F.col(f"{q}_total")
-    parts = []
-    for i in range(n):
-        a, b = F.get(p, F.lit(i)) / sp, F.get(q, F.lit(i)) / sq
-        m = (a + b) / 2
-        parts.append(F.when(a > 0, a * F.log2(a / m)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / m)).otherwise(0.0))
-    total = parts[0]
-    for x in parts[1:]:
-        total = total + x
+
+    def term(x: Column, y: Column) -> Column:
+        a, b = x / sp, y / sq
+        half = lambda v: F.when(v > 0, v * F.log2(v / ((a + b) / 2))).otherwise(0.0)
+        return half(a) + half(b)
+
+    total = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x)
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), total / 2)))
 
 
@@ -119,7 +119,7 @@ def judge_quality(
     counted = durable(base_counts(rows, "_text").drop("_text"))
     refs = durable(language_references(counted))
     joined = join_counted(counted, refs, ["_lang"], "_documents", most=10_000)
-    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes", len(CLASSES))).withColumn("word_distance", js_distance("common", "ref_common", WORD_BINS))
+    judged = joined.withColumn("class_distance", js_distance("classes", "ref_classes")).withColumn("word_distance", js_distance("common", "ref_common"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = (F.col("ref_words") >= min_reference_words) & (F.col("n_words") >= min_words)
     far = enough & ((F.col("class_distance") > max_class_distance) | ((F.col("n_words") >= min_words_common) & (F.col("word_distance") > max_word_distance)))
