@@ -1,12 +1,14 @@
 """Names, scanning, resolution and documents."""
 
 import json
+import posixpath
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from unitgraph.functions import names
-from unitgraph.operators import resolve, scan
+from unitgraph.operators import includes, resolve, scan
 from unitgraph.sources import corpus, graph_json
 from unitgraph.sources import rules as rule_files
 
@@ -83,6 +85,47 @@ def test_includes_belong_to_their_graph(spark):
     assert [(r["graph_id"], r["message"]) for r in scan.scan_warnings(out).collect()] == [("h", 'include file not found: "x"')]
 
 
+PATHS = ["a/b.inc", "./a//b", "../x", "a/../../x", "/..", "//a/./b", "///a", "", ".", "a/..", "../../a/../b/", "/a/../../c"]
+
+
+def test_paths_are_normal_as_in_python(spark):
+    df = spark.createDataFrame([(p, posixpath.normpath(p)) for p in PATHS], "p string, e string")
+    assert df.select("p", "e", includes.normal_path(F.col("p")).alias("n")).where("n <> e").collect() == []
+
+
+def test_include_names(spark):
+    """All that a scan may read as an include directive, also where one stands in what looks like another."""
+    text = "{$I a} {$i 'B c.inc'}{$INCLUDE\t\\x\\y}(*$I d.inc *) {$I+}{$IFDEF Q}{$I %DATE%} // {$I open\n{$I last} (*$I a*) {$I '} {$I end"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(includes.include_names(F.col("t")).alias("n")).collect()
+    assert set(got[0]["n"]) == {"a", "b c.inc", "/x/y", "d.inc", "open\n{$i last", "last", "'", "end"}
+    assert (got[1]["n"], got[2]["n"]) == ([], None)
+
+
+def test_joined_includes_give_what_held_ones_give(spark):
+    """Random trees of files, names, quotes, folders, cycles and missing files, in two graphs with two targets each."""
+    rnd = random.Random(7)
+    folder = lambda: rnd.choice(["", "lib/", "Lib/Sub/", "inc/", "../up/"])
+    stem = lambda: rnd.choice("abcdefg")
+
+    def body():
+        out = []
+        for _ in range(rnd.randint(0, 4)):
+            name = f"{rnd.choice(['', '', './', '../', 'sub/', 'lib\\\\', '/lib/'])}{stem()}{rnd.choice(['', '.inc', '.INC', '.pas'])}"
+            out.append(rnd.choice([f"{{$I {name}}}", f"{{$INCLUDE '{name}'}}", f"(*$i {name}*)", f"// {{$I {name}\n", "{$IFDEF X}", "{$ELSE}", "{$ENDIF}", "{$DEFINE X}", "{$I+}"]))
+            out.append(f" U{rnd.randint(0, 99)},\n")
+        return "".join(out)
+
+    schema = "graph_id string, path string, content string"
+    inc = spark.createDataFrame([(g, f"{folder()}{stem()}{rnd.choice(['.inc', '', '.pas', '.Inc'])}", rnd.choice([body(), body(), None])) for g in "gh" for _ in range(30)], schema)
+    files = spark.createDataFrame([(g, f"{folder()}F{n}.pas", f"unit F{n}; interface uses {body()}{body()} Z;") for g in "gh" for n in range(40)] + [("g", "none.pas", None)], schema)
+    targets = spark.createDataFrame([(g, d, {}, f) for g in "gh" for d, f in (([], ["lib", "INC/"]), (["X"], ["inc", "..\\up", "lib/sub"]))], "graph_id string, defines array<string>, numerics map<string,double>, folders array<string>")
+    held, joined = [sorted(map(str, scan.scan_corpus(files, targets, inc, most).collect())) for most in (scan.MOST_INCLUDED, 0)]
+    assert len(held) == 2 * 81 and held == joined
+    assert sum("included=['" in r for r in held) > 40
+    assert scan.scan_corpus(files.limit(0), targets, inc, 0).collect() == []
+    assert scan.scan_corpus(files, targets, inc.limit(0), 0).count() == 2 * 81
+
+
 @pytest.mark.parametrize(
     ("source", "expected"),
     [

@@ -1,6 +1,7 @@
 """Uses clauses of source files, with the conditions that guard them.
 
-Files are independent: each is read by itself, row-parallel and without a shuffle.
+Files are independent: each is read by itself, row-parallel; only include files too large to be held
+by every task are joined with those that name them.
 """
 
 from __future__ import annotations
@@ -8,13 +9,14 @@ from __future__ import annotations
 import operator
 import posixpath
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitgraph.operators.includes import reached_includes, search_key
 from unitgraph.operators.ranks import small
 
 LEX = re.compile(
@@ -293,37 +295,50 @@ def _finder(includes: Mapping[str, tuple[str, str]], folders: Sequence[str] = ()
 MOST_INCLUDED = 64_000_000
 
 
-def _included(includes: DataFrame | None) -> dict[str, dict[str, tuple[str, str]]]:
-    """The include files (graph_id, path, content) of each graph, after making sure that they are a small set."""
-    if includes is None:
-        return {}
-    size = includes.agg(F.sum(F.length("content") + F.length("path"))).first()[0] or 0
-    if size > MOST_INCLUDED:
-        raise ValueError(f"{size} characters of include files; at most {MOST_INCLUDED} can be held by every task")
-    out: dict[str, dict[str, tuple[str, str]]] = {}
-    for r in includes.select("graph_id", "path", "content").collect():
-        out.setdefault(r["graph_id"], {})[posixpath.normpath(r["path"].replace("\\", "/").lower())] = (r["path"], r["content"] or "")
+def _by_path(files: Iterable[tuple[str, str]]) -> dict[str, tuple[str, str]]:
+    """Include files by the path they are compared by; of several, the least path and text."""
+    out: dict[str, tuple[str, str]] = {}
+    for path, text in sorted(files):
+        out.setdefault(posixpath.normpath(path.replace("\\", "/").lower()), (path, text))
     return out
 
 
-def scan_corpus(corpus: DataFrame, targets: DataFrame, includes: DataFrame | None = None) -> DataFrame:
+def _held(includes: DataFrame, most: int) -> dict[str, dict[str, tuple[str, str]]] | None:
+    """The include files of each graph, or None if they have more than ``most`` characters."""
+    size = includes.agg(F.sum(F.length(F.coalesce("content", F.lit(""))) + F.length("path"))).first()[0] or 0
+    if size > most:
+        return None
+    files: dict[str, list[tuple[str, str]]] = {}
+    for r in includes.where("path is not null").select("graph_id", "path", "content").collect():
+        files.setdefault(r["graph_id"], []).append((r["path"], r["content"] or ""))
+    return {g: _by_path(f) for g, f in files.items()}
+
+
+def scan_corpus(corpus: DataFrame, targets: DataFrame, includes: DataFrame | None = None, most_included: int = MOST_INCLUDED) -> DataFrame:
     """Each file scanned for each target of its graph: header, entries, warnings, included files.
 
     ``corpus``: (graph_id, path, content); ``targets``: (graph_id, defines, numerics) and, where includes
     are searched beyond the folder of the file that names them, ``folders`` in order. ``includes``:
-    (graph_id, path, content), looked up within their graph only, a small set that every task holds. A
-    directive in one file never reaches another. Null contents are empty files.
+    (graph_id, path, content), looked up within their graph only. Up to ``most_included`` characters of them
+    are held by every task; if there are more, each file is joined with those that it can reach. Both give
+    the same rows. A directive in one file never reaches another. Null contents are empty files.
     """
-    texts = _included(includes)
     folders = F.col("folders") if "folders" in targets.columns else F.array().cast("array<string>")
     wanted = targets.select("graph_id", "defines", "numerics", folders.alias("folders"))
     rows = corpus.join(small(wanted, wanted.count()), "graph_id").select("graph_id", "path", "content", "defines", "numerics", "folders")
+    held = {} if includes is None else _held(includes, most_included)
+    if held is None:
+        rows = rows.withColumn("search", search_key()).join(reached_includes(corpus, includes, wanted), ["search", "path"], "left")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("map<string,string>"))
+    rows = rows.select("graph_id", "path", "content", "defines", "numerics", "folders", "own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                find = _finder(texts.get(r.graph_id, {}), r.folders if r.folders is not None else ())
+                texts = held.get(r.graph_id, {}) if held is not None else _by_path(dict(r.own or {}).items())
+                find = _finder(texts, r.folders if r.folders is not None else ())
                 s = Scanner(set(r.defines), {k.upper(): float(v) for k, v in dict(r.numerics or {}).items()}, find)
                 s.scan(r.path, r.content or "")
                 out.append((r.graph_id, r.path, s.name, s.is_program, s.entries, [{"file": f, "line": n, "message": m} for f, n, m in s.warnings], s.included))

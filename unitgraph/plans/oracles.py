@@ -179,6 +179,11 @@ ORACLES: dict[str, str] = {
     "extract_uses": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, cond, line from lined union all select path, to_unit, section, certainty, cond, line from fixed",
     "extract_uses_without": f"{BASE}{SCANNED} select path, to_unit as unit_name, section, certainty, line from lined where certainty <> 'conditional' union all select path, to_unit, section, certainty, line from fixed union all select path, 'No', section, 'conditional', line from lined where certainty = 'conditional' and seq % 4 = 3",
     "scan_warnings": f"{BASE}{SCANNED} select path, line, 'cannot evaluate {{$IF ' || cond || '}}, taking every branch' as message from lined where certainty = 'unevaluated'",
+    "extract_uses_included": """with f as (select 'parts/Part.P' || p_partkey || '.pas' as path, p_size as s, p_size - p_size % 10 as t from part)
+      select path, 'Size' || s as unit_name, 'interface' as section, 'unconditional' as certainty, '' as cond, 'Inc/Size' || s || '.inc' as file, 1 as line from f
+      union all select path, 'Tens' || t, 'interface', 'conditional', 'TENS', 'tens/T' || t || '.inc', 2 from f union all select path, 'System.Init', 'interface', 'unconditional', '', path, 5 from f""",
+    "included_files": """select 'parts/Part.P' || p_partkey || '.pas' as path, 'Inc/Size' || p_size || '.inc;tens/T' || (p_size - p_size % 10) || '.inc' as included, 1 as warnings,
+      'include cycle detected at "Size' || p_size || '"' as message from part""",
     "graph_json_nodes": f"{BASE} select key, name, nullif(file_name, '') as file_name, kind, parsed, alias as aliases from nodes",
     "graph_json_warnings": f"{BASE} select row_number() over (order by seq, file, line) - 1 as seq, file, line, 'cannot evaluate ' || cond as message from edges where certainty = 'unevaluated'",
     "graph_json_round_trip": f"{BASE} select from_key, to_key, from_unit, to_unit, section, certainty, cond, file, line from edges",

@@ -495,6 +495,27 @@ def scan_warnings(g: Graph) -> DataFrame:
     return scan.scan_warnings(scan.scan_corpus(corpus(g), _targets(g, "MSWINDOWS"))).select("path", "line", "message")
 
 
+INCLUDING_SQL = "select 'x1' as graph_id, 'parts/Part.P' || p_partkey || '.pas' as path, 'unit Part.P' || p_partkey || ';\ninterface\nuses\n{$I Size' || p_size || '}\n  System.Init;\nend.' as content from part"
+INCLUDED_SQL = """select 'x1' as graph_id, 'Inc/Size' || p_size || '.inc' as path, '  Size' || p_size || ',\n(*$INCLUDE ''..\\\\Tens/T' || (p_size - p_size % 10) || '.inc''*)\n{$I Size' || p_size || '}' as content from part group by p_size
+union all select 'x1', 'tens/T' || (p_size - p_size % 10) || '.inc', '{$IFDEF TENS}\n  Tens' || (p_size - p_size % 10) || ',\n{$ENDIF}' from part group by p_size - p_size % 10"""
+
+
+def _included(g: Graph) -> DataFrame:
+    """Files of all parts, which include one of their size and that one of its tens, joined with these."""
+    targets = _targets(g, "TENS").withColumn("folders", F.array(F.lit("none"), F.lit("inc/")))
+    return scan.scan_corpus(fixtures.sql(g.spark, g.sf_dir, INCLUDING_SQL), targets, fixtures.sql(g.spark, g.sf_dir, INCLUDED_SQL), most_included=0)
+
+
+@query
+def extract_uses_included(g: Graph) -> DataFrame:
+    return scan.uses_entries(_included(g)).select("path", "unit_name", "section", "certainty", "cond", "file", "line")
+
+
+@query
+def included_files(g: Graph) -> DataFrame:
+    return _included(g).select("path", F.array_join("included", ";").alias("included"), F.size("warnings").alias("warnings"), F.col("warnings")[0]["message"].alias("message"))
+
+
 def _written(g: Graph) -> dict[str, DataFrame]:
     """The graph after it was written as documents and read again."""
     graphs = g.root.select("graph_id", F.lit("App").alias("root_unit"), *[F.lit("").alias(c) for c in ("dproj", "dpr", "compiler", "compiler_name", "platform", "config")], F.lit(None).cast("string").alias("app_type"), F.lit(None).cast("string").alias("project_version"))
