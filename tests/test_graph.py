@@ -1,6 +1,8 @@
 """Tiny graphs with known answers."""
 
+import itertools
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,6 +243,29 @@ def test_discovery_chains_and_dominators_of_many_graphs(spark, monkeypatch):
     assert {(r["graph_id"], r["key"], r["dom_key"]) for r in dominators.dominators(p, roots).collect()} == doms
 
 
+@pytest.mark.parametrize("k", [5, 1000])
+def test_chains_of_a_lattice(spark, k):
+    """Six layers of four units, each naming all of the next: 4,096 chains, in the order of discovery."""
+    layers = [["R"], *[[f"L{d}U{i}" for i in range(4)] for d in range(6)], ["T"]]
+    text = "|".join(f"{a}>{b}" for one, two in itertools.pairwise(layers) for a in one for b in two)
+    t = spark.createDataFrame([("g", "T"), ("g", "L2U3")], "graph_id string, key string")
+    out = paths.find_paths(pairs_of(spark, text), root(spark, "R"), t, k).collect()
+    # The last unit but one decides first, then the one before it.
+    for to, depth in (("T", 6), ("L2U3", 2)):
+        all_ = [["R", *[f"L{depth - 1 - j}U{i}" for j, i in reversed(list(enumerate(c)))], to] for c in itertools.product(range(4), repeat=depth)]
+        got = sorted((r["chain_no"], r["chain"], int(r["total"])) for r in out if r["to_key"] == to)
+        assert got == [(n + 1, c, 4**depth) for n, c in enumerate(all_[:k])]
+
+
+def test_counts_of_chains_stay_numbers(spark):
+    """Three diamonds have eight chains; sums beyond the greatest number that is told apart stay at it."""
+    text = "|".join(f"D{n}>L{n}|D{n}>R{n}|L{n}>D{n + 1}|R{n}>D{n + 1}" for n in range(3))
+    units, preds = bfs.shortest_path_dag(pairs_of(spark, text), root(spark, "D0"))
+    assert dict(rows(paths.count_chains(units, preds, 6), "key", "total"))["D3"] == 8
+    many = units.where("depth = 0").select("graph_id", "root_key", "key", F.lit(Decimal(paths.MOST_CHAINS)).alias("total")).unionByName(units.where("depth = 0").select("graph_id", "root_key", "key", F.lit(Decimal(7)).alias("total")))
+    assert many.agg(paths._total(F.sum("total")).alias("n")).first()["n"] == paths.MOST_CHAINS
+
+
 def test_groups_trees_and_reach_without_broadcasts(spark, monkeypatch):
     """Groups, dominators and reach of many graphs by searching each by hand, with every side sorted and merged."""
     from unitgraph.operators import condense, ranks

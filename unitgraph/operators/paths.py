@@ -2,44 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import step_label
 from unitgraph.operators.bfs import _union, shortest_path_dag
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
-from unitgraph.operators.ranks import first_within
+from unitgraph.operators.ranks import small, total_within
 from unitgraph.operators.reports import limit_with_more
-from unitgraph.plans.durable import durable
+from unitgraph.plans.durable import counted, durable
+
+
+#: Numbers of chains are exact below this, and this from there on.
+MOST_CHAINS = 10**30
+
+
+def _total(column: Column) -> Column:
+    return F.least(column, F.lit(Decimal(MOST_CHAINS))).cast("decimal(38,0)")
+
+
+def count_chains(units: DataFrame, preds: DataFrame, deepest: int) -> DataFrame:
+    """(graph_id, root_key, key, total): how many shortest chains lead to each unit, down to a depth.
+
+    ``units`` and ``preds`` as ``shortest_path_dag`` gives them. A unit has as many chains as its
+    predecessors together; a level reads those of the one above only.
+    """
+    level, n = counted(units.where("depth = 0").select("graph_id", "root_key", "key", F.lit(1).cast("decimal(38,0)").alias("total")))
+    levels = [level]
+    for d in range(1, deepest + 1):
+        above = small(level.withColumnRenamed("key", "pred_key"), n)
+        met = preds.where(F.col("depth") == d).join(above, ["graph_id", "root_key", "pred_key"])
+        level, n = counted(met.groupBy("graph_id", "root_key", "key").agg(_total(F.sum("total")).alias("total")))
+        levels.append(level)
+    return _union(levels)
 
 
 def find_paths(pairs: DataFrame, roots: DataFrame, targets: DataFrame, max_paths: int = 5) -> DataFrame:
-    """(graph_id, root_key, to_key, chain_no, chain): the first ``max_paths`` shortest chains to each target.
+    """(graph_id, root_key, to_key, chain_no, chain, total): the first ``max_paths`` shortest chains to each target.
 
-    Chains come in the order of their predecessors' discovery. The first k of a unit come from the first
-    k of each predecessor, so no level ever holds more than k chains a unit, however many there are.
-    Only units on the way to a target are carried. A root that is a target has itself as its one chain.
+    Chains come in the order of their predecessors' discovery; ``total`` is how many there are. They are
+    counted, not listed: the i-th chain of a unit goes through the predecessor among whose chains the i-th
+    falls, and on from there with its number among those. So a level holds one row for each chain wanted,
+    however many there are, and chains are put together at the end. A root that is a target has itself as
+    its one chain.
     """
     units, preds = shortest_path_dag(pairs, roots)
-    if max_paths <= 0:
-        return units.select("graph_id", "root_key", F.col("key").alias("to_key"), F.lit(1).alias("chain_no"), F.array("key").alias("chain")).limit(0)
-    wanted = durable(units.join(targets.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi").select("graph_id", "root_key", "key", "depth"))
+    keys = ["graph_id", "root_key", "key"]
+    wanted, _ = counted(units.join(targets.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi").select(*keys, "depth").where(F.lit(max_paths > 0)))
     deepest = wanted.agg(F.max("depth")).first()[0] or 0
-    preds, at = durable(preds.where(F.col("depth") <= deepest)), lambda d: wanted.where(F.col("depth") == d).drop("depth")
-    used, need = {}, at(deepest)
-    for d in range(deepest, 0, -1):
-        used[d] = durable(preds.where(F.col("depth") == d).join(need, ["graph_id", "root_key", "key"], "left_semi"))
-        need = used[d].select("graph_id", "root_key", F.col("pred_key").alias("key")).unionByName(at(d - 1)).distinct()
-    chains = units.where("depth = 0").join(need, ["graph_id", "root_key", "key"], "left_semi").select("graph_id", "root_key", "key", F.lit(1).alias("chain_no"), F.array("key").alias("chain"))
-    levels = [durable(chains)]
-    for d in range(1, deepest + 1):
-        before = levels[-1].select("graph_id", "root_key", F.col("key").alias("pred_key"), F.col("chain_no").alias("pred_no"), "chain")
-        here = used[d].join(before, ["graph_id", "root_key", "pred_key"])
-        top = first_within(here, ["graph_id", "root_key", "key"], [F.col("pred_rank"), F.col("pred_no")], max_paths, "chain_no")
-        levels.append(durable(top.select("graph_id", "root_key", "key", "chain_no", F.concat("chain", F.array("key")).alias("chain"))))
-    out = _union(levels).join(wanted.drop("depth"), ["graph_id", "root_key", "key"], "left_semi")
-    return out.withColumnRenamed("key", "to_key")
+    preds = durable(preds.where(F.col("depth") <= deepest))
+    totals = durable(count_chains(units, preds, deepest))
+    # Where in a unit's chains those through each predecessor begin and end; those past the limit are of no use.
+    each = preds.join(totals.withColumnsRenamed({"key": "pred_key", "total": "ways"}), ["graph_id", "root_key", "pred_key"])
+    begun = total_within(each, keys, [F.col("pred_rank")], "ways", "before").where(F.col("before") < max_paths)
+    steps = durable(begun.select(*keys, "depth", "pred_key", F.col("before").cast("int").alias("before"), F.least("ways", F.lit(max_paths)).cast("int").alias("ways")))
+    first = wanted.join(totals, keys).select("graph_id", "root_key", F.col("key").alias("to_key"), "key", "depth", F.explode(F.sequence(F.lit(1), F.least("total", F.lit(max(max_paths, 1))).cast("int"))).alias("chain_no"), "total")
+    state = ["graph_id", "root_key", "to_key", "chain_no", "key", "at"]
+    starts = durable(first.withColumn("at", F.col("chain_no")))
+    rows, n = counted(starts.where(F.col("depth") == deepest).select(*state))
+    found = []
+    for d in range(deepest, -1, -1):
+        found.append(rows.select(*state[:4], F.lit(d).alias("depth"), "key"))
+        if d:
+            here = steps.where(F.col("depth") == d).withColumn("at", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("ways"), F.lit(max_paths)))))
+            moved = here.join(small(rows, n), [*keys, "at"]).select(*state[:4], F.col("pred_key").alias("key"), (F.col("at") - F.col("before")).alias("at"))
+            rows, n = counted(moved.unionByName(starts.where(F.col("depth") == d - 1).select(*state)))
+    whole = _union(found).groupBy(*state[:4]).agg(F.sort_array(F.collect_list(F.struct("depth", "key"))).alias("units"))
+    return whole.join(starts.select(*state[:4], "total"), state[:4]).select(*state[:4], F.transform("units", lambda u: u["key"]).alias("chain"), "total")
 
 
 def prefix_tree(chains: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

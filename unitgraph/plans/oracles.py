@@ -84,6 +84,7 @@ ORACLES: dict[str, str] = {
     "shortest_path_dag": f"{BASE}{DEPTHS} select r.key, p.from_key as pred_key, r.depth from reach r join pairs p on p.to_key = r.key join reach q on q.key = p.from_key and q.depth = r.depth - 1",
     "find_paths": f"{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))} select key as to_key, chain from chains where {PARTS}",
     "find_paths_first": f"{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))} select key as to_key, least(count(*), 2) as chains, max(depth) + 1 as units from chains where key like 'PART.%' group by key",
+    "chain_counts": f"{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))} select key as to_key, count(*) as total from chains where key like 'PART.%' group by key",
     "why": f"""{BASE}{DEPTHS}{CHAINS.format(start=chr(39) + 'APP' + chr(39))}, hit as (select chain from chains where {PARTS})
       select distinct c.chain as prefix, c.depth, c.key, n.name, case when c.depth > 0 then left(c.chain, length(c.chain) - length(c.key) - 1) end as parent, {STEP.format("w.")} as step, c.{PARTS} as is_target
       from chains c join (select distinct array_to_string(x[1:i], '>') as chain from (select string_split(chain, '>') as x from hit), unnest(range(1, len(x) + 1)) as u(i)) h on h.chain = c.chain join nodes n on n.key = c.key

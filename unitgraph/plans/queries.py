@@ -181,6 +181,12 @@ def find_paths_first(g: Graph) -> DataFrame:
     return paths.find_paths(g.pairs, g.root, g.keys("part.*"), 2).groupBy("to_key").agg(F.count(F.lit(1)).alias("chains"), F.max(F.size("chain")).alias("units"))
 
 
+@query
+def chain_counts(g: Graph) -> DataFrame:
+    """How many shortest chains lead to each part, of which one is listed."""
+    return paths.find_paths(g.pairs, g.root, g.keys("part.*"), 1).select("to_key", F.col("total").cast("long").alias("total"))
+
+
 @query
 def why(g: Graph) -> DataFrame:
     return paths.why(g.nodes, g.edges, g.pairs, g.root, match.patterns(g.spark, PARTS), 1000)[0].select("prefix", "depth", "key", "name", "parent", "step", "is_target")
