@@ -243,6 +243,35 @@ def test_discovery_chains_and_dominators_of_many_graphs(spark, monkeypatch):
     assert {(r["graph_id"], r["key"], r["dom_key"]) for r in dominators.dominators(p, roots).collect()} == doms
 
 
+def test_stored_snapshots_differ_as_their_edges(spark, tmp_path):
+    """Only parts with a difference are read; sums see rows come, go, change and null places swap, not lines move."""
+    from unitgraph.operators import snapshots
+
+    text = [f"A{i}>B{i % 7}" for i in range(60)]
+    before, after = graph(spark, "|".join(text)), graph(spark, "|".join(["A3>New", "More>A1", *text[:3], *text[4:50]]))
+    moved = before.withColumn("line", F.col("line") + 5).repartition(3)
+    for name, df in (("before", before), ("after", after), ("moved", moved), ("none", before.limit(0))):
+        snapshots.write_edges_snapshot(df, f"{tmp_path}/{name}", 16)
+    at = lambda a, b: (spark, f"{tmp_path}/{a}", f"{tmp_path}/{b}")
+    columns = ["from_key", "to_key", "section", "certainty", "cond", "change"]
+    for a, b, x, y in (("before", "after", before, after), ("none", "after", before.limit(0), after), ("before", "none", before, before.limit(0)), ("before", "moved", before, moved)):
+        assert rows(snapshots.diff_edges_stored(*at(a, b)), *columns) == rows(diff.diff_edges(x, y), *columns)
+    assert snapshots.differing_parts(*at("before", "moved")) == [] and 0 < len(snapshots.differing_parts(*at("before", "after"))) < 16
+    one = graph(spark, "|".join(["A0>X", *text[1:]]))
+    snapshots.write_edges_snapshot(one, f"{tmp_path}/one", 16)
+    parts = snapshots.differing_parts(*at("before", "one"))
+    read = snapshots.read_parts(spark, f"{tmp_path}/one", parts, snapshots.EDGES)
+    assert 1 <= len(parts) <= 2 and len(read.inputFiles()) >= 1 and 0 < read.count() < 60
+    assert "PartitionFilters: [isnotnull(part" in read._jdf.queryExecution().toString() or "PartitionFilters: [part" in read._jdf.queryExecution().toString()
+    snapshots.write_edges_snapshot(one, f"{tmp_path}/other", 8)
+    with pytest.raises(ValueError, match="different numbers of parts"):
+        snapshots.differing_parts(*at("one", "other"))
+    sides = [spark.createDataFrame([r], "a string, b string") for r in ((None, "x"), ("x", None))]
+    for n, df in enumerate(sides):
+        snapshots.write_snapshot(df, f"{tmp_path}/null{n}", ["a", "b"], 4)
+    assert snapshots.differing_parts(*at("null0", "null1")) != []
+
+
 @pytest.mark.parametrize("k", [5, 1000])
 def test_chains_of_a_lattice(spark, k):
     """Six layers of four units, each naming all of the next: 4,096 chains, in the order of discovery."""

@@ -13,7 +13,7 @@ def diff_units(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(after.join(before.select(*keys), keys, "left_anti").select(*keys, "name", F.lit("added").alias("change")))
 
 
-def _identity(edges: DataFrame) -> DataFrame:
+def identity(edges: DataFrame) -> DataFrame:
     return edges.withColumn("cond_key", F.upper("cond"))
 
 
@@ -22,7 +22,7 @@ IDENTITY = ["graph_id", "from_key", "to_key", "section", "certainty", "cond_key"
 
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     """Edges whose identity is on one side only. A moved line is no change, a moved clause is two."""
-    b, a = _identity(before), _identity(after)
+    b, a = identity(before), identity(after)
     columns = ["graph_id", "from_key", "to_key", "section", "certainty", "cond"]
     gone = b.join(a.select(*IDENTITY), IDENTITY, "left_anti").select(*columns, F.lit("removed").alias("change"))
     return gone.unionByName(a.join(b.select(*IDENTITY), IDENTITY, "left_anti").select(*columns, F.lit("added").alias("change")))

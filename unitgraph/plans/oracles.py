@@ -189,3 +189,4 @@ ORACLES: dict[str, str] = {
     "graph_json_warnings": f"{BASE} select row_number() over (order by seq, file, line) - 1 as seq, file, line, 'cannot evaluate ' || cond as message from edges where certainty = 'unevaluated'",
     "graph_json_round_trip": f"{BASE} select from_key, to_key, from_unit, to_unit, section, certainty, cond, file, line from edges",
 }
+ORACLES["diff_edges_stored"] = ORACLES["diff_edges"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitgraph.functions import names as N
-from unitgraph.operators import adjacency, bfs, build, condense, cycles, diff, dominators, match, paths, reports, resolve, rules, scan
+from unitgraph.operators import adjacency, bfs, build, condense, cycles, diff, dominators, match, paths, reports, resolve, rules, scan, snapshots
 from unitgraph.plans import fixtures
 from unitgraph.plans.durable import bucketed, durable, shared_dir
 from unitgraph.sources import corpus as corpus_files
@@ -339,6 +339,15 @@ def diff_edges(g: Graph) -> DataFrame:
     return diff.diff_edges(g.edges, Graph(g.spark, g.sf_dir, True).edges).select("from_key", "to_key", "section", "certainty", "change")
 
 
+@query
+def diff_edges_stored(g: Graph) -> DataFrame:
+    """Both snapshots written in parts with their sums; only parts that differ are read again."""
+    before, after = _folder(g, "before"), _folder(g, "after")
+    snapshots.write_edges_snapshot(g.edges, before, 64)
+    snapshots.write_edges_snapshot(Graph(g.spark, g.sf_dir, True).edges, after, 64)
+    return snapshots.diff_edges_stored(g.spark, before, after).select("from_key", "to_key", "section", "certainty", "change")
+
+
 @query
 def diff_summary(g: Graph) -> DataFrame:
     h = Graph(g.spark, g.sf_dir, True)
