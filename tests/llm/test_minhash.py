@@ -85,3 +85,39 @@ def test_places_of_rare_values(spark):
     df = spark.createDataFrame(rows, "_id long, size long, sketch array<long>")
     got = sorted((r["_id"], r["value"], r["place"]) for r in minhash.rare_prefix(df, 64).collect())
     assert got == [(1, 3, 0), (2, 3, 0)]
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_unlinked_pages_of_a_template_make_few_rows(spark, monkeypatch, block):
+    """On long lists only pairs near enough to be links become rows, and none of those is lost."""
+    monkeypatch.setattr(minhash, "SHORT", 4)
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    texts = pages_of_a_template(5, 60)
+    expected, links = brute(texts, 2)
+    seen, estimate = [], minhash.estimate
+    monkeypatch.setattr(minhash, "estimate", lambda pairs, sketched, k: (seen.append(pairs.count()), estimate(pairs, sketched, k))[1])
+    assert components(spark, texts, 2) == expected
+    assert seen[-1] <= links
+
+
+def test_parities_differ_in_no_more_places_than_sets(spark):
+    rng = np.random.default_rng(2)
+    base = [int(v) for v in rng.integers(0, 1 << 63, 500)]
+    sets = [base, base[3:], base[:100], base[100:], [*base, *(int(v) for v in rng.integers(0, 1 << 63, 90))]]
+    full = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "_id long, full array<long>")
+    bits = {r["_id"]: [v & (2**64 - 1) for v in r[1:]] for r in minhash.parities(full).collect()}
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            unlike = sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j]))
+            apart = len(set(s) ^ set(t))
+            assert unlike <= apart and (apart - unlike) % 2 == 0 and unlike > 0.7 * apart - 1
+
+
+def test_lists_of_one_hub_are_one_group_where_that_makes_fewer_pairs(spark):
+    """Values with the same members meet once; lists that share no more than their hub stay apart."""
+    same = [(i, 50, v, c) for v in (1, 2, 3) for i, c in [(10, 10), (11, 10), (12, 12)]]
+    unlike = [(20, 50, 4, 20), (21, 50, 4, 21), (20, 50, 5, 20), (22, 50, 5, 22)]
+    placed = spark.createDataFrame(same + unlike, "_id long, size long, value long, component long")
+    hub = spark.createDataFrame([(1, 10, 3), (2, 10, 3), (3, 10, 3), (4, 20, 2), (5, 20, 2)], "value long, hub long, members long")
+    got = {(r["key"], r["_id"]) for r in minhash.open_groups(placed, hub).collect()}
+    assert got == {(-11, 10), (-11, 11), (-11, 12), (4, 20), (4, 21), (5, 20), (5, 22)}

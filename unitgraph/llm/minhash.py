@@ -21,8 +21,10 @@ LONG_SKETCH = 512
 PERCENT = 80
 #: The longest inverted list whose pairs are formed directly.
 SHORT = 32
-#: Members of a long list that one task compares with another such block.
-BLOCK = 1024
+#: Members of a group of long lists that one task compares with those outside its largest component.
+BLOCK = 256
+#: Words of 64 bits in a set's parities.
+PARITIES = 32
 #: Standard deviations below its mean at which a linked pair's estimate is still taken.
 SPREAD = 6.2
 
@@ -92,6 +94,23 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("_id", "_text").mapInArrow(run, "_id long, full array<long>")
 
 
+def parities(full: DataFrame) -> DataFrame:
+    """(_id, p0, p1, ...): for each of 64 * PARITIES classes of hashes whether the set has an odd number of them.
+
+    Each value that only one of two sets holds turns one bit, so two sets' bits differ in no more places
+    than the sets do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            ends, values = b.column("full").offsets.to_numpy(), b.column("full").values.to_numpy()
+            odd = [np.bincount(values[i:j] & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1 for i, j in zip(ends, ends[1:])]
+            words = np.packbits(np.array(odd, np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), *map(pa.array, words.T)], names=["_id", *(f"p{i}" for i in range(PARITIES))])
+
+    return full.select("_id", "full").mapInArrow(run, ", ".join(["_id long", *(f"p{i} long" for i in range(PARITIES))]))
+
+
 def least_shared(k: int) -> int:
     """Values that the bottom-k sketches of two linked sets share, but for a chance of about 1e-8.
 
@@ -188,6 +207,51 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def parted(rows: DataFrame, key: str) -> DataFrame:
+    """Of keys whose rows are in several components: the largest of them, its rows, and the key's."""
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("c")).groupBy(key)
+    return sizes.agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("members")).where("parts > 1").drop("parts")
+
+
+def open_groups(placed: DataFrame, hub: DataFrame) -> DataFrame:
+    """(_id, size, component, key, largest, members): long lists whose members are in several components.
+
+    ``placed``: (_id, size, value, component), ``hub``: (value, hub, members), both durable. The values of a
+    template are held by much the same documents and have the same hub: lists of one hub are one group, in
+    which a pair meets once and not for each value, if that makes no more pairs than the lists apart.
+    """
+    at_hub = durable(join_counted(placed.select("_id", "size", "value", "component"), hub, ["value"], "members").select("hub", "_id", "size", "component").distinct())
+    apart, together = durable(parted(placed, "value")), durable(parted(at_hub, "hub"))
+    pairs = F.col("members") * (F.col("members") - F.col("most"))
+    costs = apart.select("value", pairs.alias("cost")).join(hub.select("value", "hub"), "value").groupBy("hub").agg(F.sum("cost").alias("cost"))
+    merged = durable(together.join(costs, "hub").where(pairs <= F.col("cost")).select("hub", "largest", "members"))
+    # A value is not negative, nor is an id.
+    alone = durable(apart.join(hub.select("value", "hub"), "value").join(merged.select("hub"), "hub", "left_anti").select("value", "largest", "members"))
+    columns = ["_id", "size", "component", "key", "largest", "members"]
+    of_hubs = join_counted(at_hub, merged, ["hub"], "members").withColumn("key", -1 - F.col("hub")).select(columns)
+    of_values = join_counted(placed.select("_id", "size", "value", "component"), alone, ["value"], "members").withColumnRenamed("value", "key").select(columns)
+    return of_hubs.unionByName(of_values)
+
+
+def pairs_apart(groups: DataFrame, full: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a group's members in different components that their parities let be linked.
+
+    Linked sets differ in at most (a + b) * (100 - PERCENT) / (100 + PERCENT) values, so this loses none.
+    Members outside the largest component are compared with all, in blocks; only pairs near enough become rows.
+    """
+    open_ = groups.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).join(parities(full), "_id")
+    open_ = durable(open_)
+    y = open_.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")).alias("y")
+    x = open_.where("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    a, b = F.col("x.size"), F.col("y.size")
+    fit = 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    unlike = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(1, PARITIES)), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    near = fit & ((100 + PERCENT) * unlike <= (100 - PERCENT) * (a + b))
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x._id") < F.col("y._id"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, apart & once & near).select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
+
+
 def link_long_lists(full: DataFrame, known: DataFrame, k: int = LONG_SKETCH) -> DataFrame:
     """(node, component) of ``known`` and of the documents of ``full``, which met on lists too long for all pairs.
 
@@ -195,11 +259,13 @@ def link_long_lists(full: DataFrame, known: DataFrame, k: int = LONG_SKETCH) ->
     leave few pairs for the full sets. Values are ordered by their number among these documents only,
     which pushes what a group of copies shares to the end. A list still long is first linked to one hub,
     the member that holds least of its own, which makes one component of a group of near copies. Then
-    only members outside the list's largest component are tried against those of other components, in
-    blocks, so a hot value is many tasks' work. Components come out the same as from all pairs.
+    only members outside the largest component of a list, or of all lists of a hub, are tried against those
+    of other components, in blocks, so a hot value is many tasks' work. Components come out the same as from
+    all pairs.
 
     Documents of one template that are not linked have to be told apart pair by pair: this is the one
-    step whose work is not linear in the input, and the estimate does it on sketches.
+    step whose work is not linear in the input. It compares 256 bytes a pair, within the join, and makes
+    rows only of pairs that these bits let be linked.
     """
     sketched = durable(full.select("_id", F.size("full").cast("long").alias("size"), F.slice("full", 1, k).alias("sketch")))
     lists = durable(with_list_size(durable(rare_prefix(sketched, k))))
@@ -210,12 +276,7 @@ def link_long_lists(full: DataFrame, known: DataFrame, k: int = LONG_SKETCH) ->
     met = pairs_within(short, k).unionByName(to_hub).distinct()
     part = components(verify(durable(estimate(met, sketched, k)), full).unionByName(known))
     placed = durable(long_.join(part, long_["_id"] == part["node"], "left").withColumn("component", F.coalesce("component", "_id")).drop("node"))
-    largest = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("members")).where("parts > 1")
-    open_ = join_counted(placed, durable(largest), ["value"], "members").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    y = open_.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")).alias("y")
-    x = open_.where("component != largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
-    apart = (F.col("x.value") == F.col("y.value")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & can_link(k)
-    rest = x.join(y, apart).select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
+    rest = pairs_apart(open_groups(placed, hub), full)
     more = durable(verify(durable(estimate(rest, sketched, k)), full))
     # Components found later join those found before.
     name = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
