@@ -3,11 +3,13 @@
 import itertools
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from unitgraph.operators import adjacency, bfs, build, cycles, diff, dominators, match, paths, reports, rules
+from unitgraph.plans import queries
 from unitgraph.plans.durable import durable
 
 RAW = "graph_id string, seq long, from_unit string, to_unit string, section string, certainty string, cond string, file string, line int"
@@ -286,6 +288,21 @@ def test_chains_of_a_lattice(spark, k):
         assert got == [(n + 1, c, 4**depth) for n, c in enumerate(all_[:k])]
 
 
+def test_all_chains_are_listed(spark):
+    """Without a limit every chain is there, in the same order, and the query ``path`` leaves none out of its tree."""
+    layers = [["Nation.N2"], *[[f"L{d}U{i}" for i in range(4)] for d in range(5)], ["Part.P10", "Part.P20"]]
+    text = "|".join(f"{a}>{b}" for one, two in itertools.pairwise(layers) for a in one for b in two) + "|L0U1>Part.P11|L1U0>Nation.N2|Other>L0U1"
+    p = pairs_of(spark, text)
+    t = spark.createDataFrame([("g", "PART.P10"), ("g", "PART.P11"), ("g", "NATION.N2"), ("g", "OTHER")], "graph_id string, key string")
+    some, every = [sorted(tuple(r) for r in paths.find_paths(p, root(spark, "Nation.N2"), t, k).collect()) for k in (1024, None)]
+    assert len(every) == 1026 and some == every
+    names = ["Nation.N2", "Part.P10", "Part.P11"]
+    nodes = spark.createDataFrame([("g", n.upper(), n, []) for n in names], "graph_id string, key string, name string, aliases array<string>")
+    tree = queries.QUERIES["path"](SimpleNamespace(spark=spark, nodes=nodes, edges=graph(spark, text), pairs=p)).collect()
+    assert len({r["prefix"] for r in tree}) == len(tree) == sum(4**d for d in range(6)) + 1024 + 1
+    assert sum(r["is_target"] for r in tree) == 1025
+
+
 def test_counts_of_chains_stay_numbers(spark):
     """Three diamonds have eight chains; sums beyond the greatest number that is told apart stay at it."""
     text = "|".join(f"D{n}>L{n}|D{n}>R{n}|L{n}>D{n + 1}|R{n}>D{n + 1}" for n in range(3))

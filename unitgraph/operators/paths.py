@@ -11,9 +11,9 @@ from unitgraph.functions.names import step_label
 from unitgraph.operators.bfs import _union, shortest_path_dag
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
-from unitgraph.operators.ranks import small, total_within
+from unitgraph.operators.ranks import rank_within, small, total_within
 from unitgraph.operators.reports import limit_with_more
-from unitgraph.plans.durable import counted, durable
+from unitgraph.plans.durable import counted, durable, written
 
 
 #: Numbers of chains are exact below this, and this from there on.
@@ -40,8 +40,36 @@ def count_chains(units: DataFrame, preds: DataFrame, deepest: int) -> DataFrame:
     return _union(levels)
 
 
-def find_paths(pairs: DataFrame, roots: DataFrame, targets: DataFrame, max_paths: int = 5) -> DataFrame:
-    """(graph_id, root_key, to_key, chain_no, chain, total): the first ``max_paths`` shortest chains to each target.
+def _every_path(pairs: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """``find_paths`` without a limit: from the targets up, what is on no way to them is left out; from the roots
+    down, chains then grow a unit a level, so that no level holds a chain which does not go on to a target."""
+    units, preds = shortest_path_dag(pairs, roots)
+    keys = ["graph_id", "root_key", "key"]
+    wanted, many = counted(units.join(targets.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi").select(*keys, "depth"))
+    deepest = wanted.agg(F.max("depth")).first()[0] or 0
+    preds = written(preds.where(F.col("depth") <= deepest))
+    at = lambda d: wanted.where(F.col("depth") == d).select(*keys)
+    needed, n = counted(at(deepest))
+    steps: list[DataFrame] = []
+    for d in range(deepest, 0, -1):
+        step = written(preds.where(F.col("depth") == d).join(small(needed, n), keys, "left_semi").select(*keys, "pred_key", "pred_rank"))
+        steps.insert(0, step)
+        needed, n = counted(step.select("graph_id", "root_key", F.col("pred_key").alias("key")).unionByName(at(d - 1)).distinct())
+    # ``ranks``: of the units before the last, the last of them first; by these chains are in order.
+    grown, n = counted(needed.select(*keys, F.array("key").alias("chain"), F.array().cast("array<int>").alias("ranks")))
+    found = [grown]
+    for step in steps:
+        met = step.join(small(grown.withColumnRenamed("key", "pred_key"), n), ["graph_id", "root_key", "pred_key"])
+        grown, n = counted(met.select(*keys, F.array_append("chain", F.col("key")).alias("chain"), F.array_prepend("ranks", F.col("pred_rank")).alias("ranks")))
+        found.append(grown)
+    whole = written(_union(found).join(small(wanted.select(*keys), many), keys, "left_semi").withColumnRenamed("key", "to_key"))
+    lists = ["graph_id", "root_key", "to_key"]
+    total = whole.groupBy(*lists).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("total"))
+    return rank_within(whole, lists, [F.col("ranks")], "chain_no").join(total, lists).select(*lists, "chain_no", "chain", "total")
+
+
+def find_paths(pairs: DataFrame, roots: DataFrame, targets: DataFrame, max_paths: int | None = 5) -> DataFrame:
+    """(graph_id, root_key, to_key, chain_no, chain, total): the first ``max_paths`` shortest chains to each target; None: all.
 
     Chains come in the order of their predecessors' discovery; ``total`` is how many there are. They are
     counted, not listed: the i-th chain of a unit goes through the predecessor among whose chains the i-th
@@ -49,6 +77,8 @@ def find_paths(pairs: DataFrame, roots: DataFrame, targets: DataFrame, max_paths
     however many there are, and chains are put together at the end. A root that is a target has itself as
     its one chain.
     """
+    if max_paths is None:
+        return _every_path(pairs, roots, targets)
     units, preds = shortest_path_dag(pairs, roots)
     keys = ["graph_id", "root_key", "key"]
     wanted, _ = counted(units.join(targets.select("graph_id", "key").distinct(), ["graph_id", "key"], "left_semi").select(*keys, "depth").where(F.lit(max_paths > 0)))
@@ -87,7 +117,7 @@ def prefix_tree(chains: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return joined.select("graph_id", "root_key", "prefix", "depth", "key", F.coalesce("name", "key").alias("name"), "parent", label.alias("step"), "is_target")
 
 
-def why(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame, patterns: DataFrame, max_paths: int = 5) -> tuple[DataFrame, DataFrame]:
+def why(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame, patterns: DataFrame, max_paths: int | None = 5) -> tuple[DataFrame, DataFrame]:
     """Chains from the root to every matched unit as a prefix tree, and the matched units out of reach."""
     targets = durable(find_nodes(nodes, patterns).select("graph_id", "key", "name"))
     chains = durable(find_paths(pairs, roots, targets, max_paths))
@@ -95,7 +125,7 @@ def why(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame,
     return prefix_tree(chains, nodes, edges), missed
 
 
-def path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, start: DataFrame, patterns: DataFrame, max_paths: int = 5) -> tuple[DataFrame | None, DataFrame]:
+def path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, start: DataFrame, patterns: DataFrame, max_paths: int | None = 5) -> tuple[DataFrame | None, DataFrame]:
     """``why`` from a chosen start, which must match exactly one unit of a graph.
 
     Returns (tree, units out of reach), or (None, candidates) where the start matches no unit or several.
