@@ -5,6 +5,7 @@ import posixpath
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,15 @@ def test_includes_belong_to_their_graph(spark):
     assert [(r["graph_id"], r["message"]) for r in scan.scan_warnings(out).collect()] == [("h", 'include file not found: "x"')]
 
 
+def test_scanned_files_are_handed_on_in_small_lots():
+    """A batch of 40 files with 300 entries each leaves a worker in lots of few entries, and whole."""
+    files = pd.DataFrame([("g", f"F{n}.pas", f"unit F{n}; interface uses {','.join(f'U{k}' for k in range(300))};", [], {}, [], None) for n in range(40)], columns=["graph_id", "path", "content", "defines", "numerics", "folders", "own"])
+    lots = list(scan.scan_batches(iter([files]), {}, 1000))
+    assert max(sum(map(len, lot["entries"])) for lot in lots) <= 1300
+    assert [(p, len(e)) for lot in lots for p, e in zip(lot["path"], lot["entries"])] == [(f"F{n}.pas", 300) for n in range(40)]
+    assert list(scan.scan_batches(iter([files[:0]]), {})) == []
+
+
 PATHS = ["a/b.inc", "./a//b", "../x", "a/../../x", "/..", "//a/./b", "///a", "", ".", "a/..", "../../a/../b/", "/a/../../c"]
 
 
