@@ -97,6 +97,14 @@ def test_scanned_files_are_handed_on_in_small_lots():
     assert list(scan.scan_batches(iter([files[:0]]), {})) == []
 
 
+def test_warnings_are_handed_on_in_small_lots():
+    """Files with no entry but many warnings do not gather in a worker either."""
+    files = pd.DataFrame([("g", f"F{n}.pas", "unit F; " + "{$ENDIF}" * 300, [], {}, [], None) for n in range(40)], columns=["graph_id", "path", "content", "defines", "numerics", "folders", "own"])
+    lots = list(scan.scan_batches(iter([files[:20], files[20:]]), {}, 1000))
+    assert max(sum(map(len, lot["warnings"])) for lot in lots) <= 1300
+    assert [(p, len(w)) for lot in lots for p, w in zip(lot["path"], lot["warnings"])] == [(f"F{n}.pas", 300) for n in range(40)]
+
+
 PATHS = ["a/b.inc", "./a//b", "../x", "a/../../x", "/..", "//a/./b", "///a", "", ".", "a/..", "../../a/../b/", "/a/../../c"]
 
 
