@@ -245,6 +245,25 @@ def test_discovery_chains_and_dominators_of_many_graphs(spark, monkeypatch):
     assert {(r["graph_id"], r["key"], r["dom_key"]) for r in dominators.dominators(p, roots).collect()} == doms
 
 
+def test_diff_in_one_shuffle(spark):
+    """Edges that are not yet distinct differ as the distinct ones do, after a single shuffle; the summary counts what differs."""
+    row = lambda seq, a, b, cond="", line=1: ("g", seq, a, b, "interface", "conditional" if cond else "unconditional", cond, "f", line)
+    raw = [spark.createDataFrame(r, RAW) for r in ([row(1, "A", "B"), row(2, "a", "b", line=9), row(3, "A", "C", "X"), row(4, "B", "C")], [row(1, "A", "b", line=5), row(3, "A", "C", "x"), row(4, "A", "C", "Y"), row(5, "", "C"), row(6, "D", "B")])]
+    keyed, edges = [build.keyed_edges(r) for r in raw], [build.dedup_edges(r) for r in raw]
+    columns = ["from_key", "to_key", "cond", "change"]
+    expected = [("A", "C", "Y", "added"), ("B", "C", "", "removed"), ("D", "B", "", "added")]
+    assert rows(diff.diff_edges(*keyed), *columns) == rows(diff.diff_edges(*edges), *columns) == expected
+    plan = diff.diff_edges(*keyed).select("from_key", "to_key", "change")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan and "Join" not in plan
+    used = lambda e: build.ends(e).select("graph_id", "key")
+    b, a = keyed
+    assert [tuple(r) for r in diff.diff_summary(used(b), b, used(a), a).collect()] == [("g", 3, 4, 1, 3, 4, 1, False)]
+    same = diff.diff_summary(used(b), b, used(edges[0]), edges[0])
+    assert [tuple(r) for r in same.collect()] == [("g", 3, 3, 0, 3, 3, 0, True)]
+    plan = same._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "min(" not in plan.partition("Join")[2].partition("Union")[0]
+
+
 def test_stored_snapshots_differ_as_their_edges(spark, tmp_path):
     """Only parts with a difference are read; sums see rows come, go, change and null places swap, not lines move."""
     from unitgraph.operators import snapshots

@@ -13,19 +13,27 @@ from unitgraph.functions.names import KINDS, key, ordinal
 EDGE_COLUMNS = ("graph_id", "seq", "from_key", "to_key", "from_unit", "to_unit", "section", "certainty", "cond", "file", "line")
 
 
+def keyed_edges(raw: DataFrame) -> DataFrame:
+    """Raw edges with the keys of their ends; one with an empty end is dropped."""
+    return raw.where((F.col("from_unit") != "") & (F.col("to_unit") != "")).withColumns({"from_key": key(F.col("from_unit")), "to_key": key(F.col("to_unit"))})
+
+
 def dedup_edges(raw: DataFrame) -> DataFrame:
     """Edges by identity: both ends, section, certainty and condition, without case.
 
     The first edge written wins and keeps its file and line; an edge with an empty end is dropped. The
     first is found by an aggregate, which Spark combines before the shuffle, and not by a window.
     """
-    keyed = raw.where((F.col("from_unit") != "") & (F.col("to_unit") != "")).withColumns({"from_key": key(F.col("from_unit")), "to_key": key(F.col("to_unit")), "_cond": F.upper("cond")})
+    keyed = keyed_edges(raw).withColumn("_cond", F.upper("cond"))
     first = keyed.groupBy("graph_id", "from_key", "to_key", "section", "certainty", "_cond").agg(F.min(F.struct("seq", "to_unit", "from_unit", "cond", "file", "line")).alias("f"))
     return first.select("graph_id", "f.seq", "from_key", "to_key", "f.from_unit", "f.to_unit", "section", "certainty", "f.cond", "f.file", "f.line")
 
 
 def pairs(edges: DataFrame) -> DataFrame:
-    """Distinct (from, to) with ``adj_ord``, the order in which a unit's dependencies were first seen."""
+    """Distinct (from, to) with ``adj_ord``, the order in which a unit's dependencies were first seen.
+
+    Edges with keys give the same pairs before they are made distinct and after.
+    """
     first = edges.groupBy("graph_id", "from_key", "to_key").agg(F.min("seq").alias("first_seq"))
     w = Window.partitionBy("graph_id", "from_key").orderBy("first_seq", "to_key")
     return first.withColumn("adj_ord", F.row_number().over(w))
