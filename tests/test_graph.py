@@ -264,6 +264,14 @@ def test_diff_in_one_shuffle(spark):
     assert plan.count("Join") == 1 and "min(" not in plan.partition("Join")[2].partition("Union")[0]
 
 
+def test_summary_of_graphs_on_one_side(spark):
+    """A graph that is only there before or after is counted against nothing; the rest by itself."""
+    a, b = graph(spark, "A>B|B>C").unionByName(graph(spark, "X>Y", "h")), graph(spark, "A>B|B>C").unionByName(graph(spark, "X>Y|X>Z", "i"))
+    used = lambda e: build.ends(e).select("graph_id", "key")
+    out = diff.diff_summary(used(a), a, used(b), b)
+    assert sorted(tuple(r) for r in out.collect()) == [("g", 3, 3, 0, 2, 2, 0, True), ("h", 2, 0, -2, 1, 0, -1, False), ("i", 0, 3, 3, 0, 2, 2, False)]
+
+
 def test_stored_snapshots_differ_as_their_edges(spark, tmp_path):
     """Only parts with a difference are read; sums see rows come, go, change and null places swap, not lines move."""
     from unitgraph.operators import snapshots
