@@ -369,6 +369,35 @@ def test_groups_trees_and_reach_without_broadcasts(spark, monkeypatch):
     assert {tuple(r) for r in dominators.dominators(p, roots).collect()} == doms
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_reach_of_many_sources_in_one_walk(spark, monkeypatch, most):
+    """A hundred sources in two words of bits, some unknown; rows of the walk are units and words, not units and sources."""
+    from unitgraph.operators import ranks
+
+    monkeypatch.setattr(ranks, "SMALL", most)
+    rng = random.Random(11)
+    text = {(f"g{k % 3}", f"N{rng.randrange(40)}", f"N{rng.randrange(40)}") for k in range(180)}
+    p = durable(spark.createDataFrame([(g, a, b, i, i) for i, (g, a, b) in enumerate(sorted(text))], "graph_id string, from_key string, to_key string, first_seq long, adj_ord int"))
+    units = {(g, u) for g, a, b in text for u in (a, b)}
+
+    def reach(g, start, gone=None):
+        seen, todo = set(), [start]
+        while todo:
+            u = todo.pop()
+            if u not in seen:
+                seen.add(u)
+                todo += [b for h, a, b in text if (h, a) == (g, u) and (a, b) != gone]
+        return len(seen)
+
+    asked = sorted({(f"g{k % 3}", f"N{k}") for k in range(42)} | units)
+    sources = spark.createDataFrame([*asked, asked[0]], "graph_id string, key string")
+    assert len(asked) > bfs.WORD
+    expected = sorted((g, u, reach(g, u) if (g, u) in units else 0) for g, u in asked)
+    assert rows(bfs.reach_count(p, sources), "graph_id", "source", "reach") == expected
+    bits = spark.createDataFrame([(g, u, i // 64, (1 << i % 63)) for i, (g, u) in enumerate(asked)], "graph_id string, key string, word long, bits long")
+    assert bfs.walk_bits(p, bits).select("graph_id", "key", "word").distinct().count() <= 2 * len(units)
+
+
 def test_dominators_of_a_long_chain(spark):
     """10,000 units in a row, with a second way round every thousandth: n log n pointers, and no level for each unit."""
     pairs_ = [(i, i + 1) for i in range(9_999)] + [(i, i + 2) for i in range(0, 9_000, 1000)]

@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitgraph.operators import ranks
 from unitgraph.operators.ranks import rank_within, small
-from unitgraph.plans.durable import counted, durable
+from unitgraph.plans.durable import counted, durable, written
 
 MAX_ROUNDS = 100_000
 #: Levels kept apart before they are written as one.
@@ -86,11 +86,69 @@ def is_reachable(pairs: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFra
     return keys.join(found, ["graph_id", "key"], "left").select("graph_id", "key", F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
+#: Scenarios that share a row of a unit in ``walk_bits``.
+WORD = 64
+
+
+def _bit(no: str) -> tuple[Column, Column]:
+    """The word and the bit in it that stand for a number."""
+    return F.floor(F.col(no) / WORD).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast({no} % {WORD} as int))").alias("bits")
+
+
+def walk_bits(pairs: DataFrame, starts: DataFrame, gone: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(graph_id, key, word, bits): by which scenarios a unit is reached, a bit for each; rows of a unit and word share no bit.
+
+    ``walk`` for many scenarios that reach much of the same: one row serves up to 64 of them, and only bits that
+    are new to a unit are sent on. ``starts``: (graph_id, key, word, bits); ``gone``: (graph_id, from_key, to_key,
+    word, gone), pairs closed to the bits ``gone``.
+    """
+    keys = ["graph_id", "key", "word"]
+    level, n = counted(starts.join(known_units(pairs, starts), ["graph_id", "key"], "left_semi").groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
+    levels = [level]
+    if gone is not None:
+        gone, many = counted(gone)
+        gone = small(gone, many)
+    for _ in range(max_rounds):
+        near = small(level.withColumnRenamed("key", "from_key"), n)
+        met = pairs.select("graph_id", "from_key", "to_key").join(near, ["graph_id", "from_key"])
+        if gone is not None:
+            left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("gone", F.lit(0).cast("long"))))
+            met = met.join(gone, ["graph_id", "from_key", "to_key", "word"], "left").withColumn("bits", left).where("bits != 0")
+        met, m = counted(met.groupBy("graph_id", F.col("to_key").alias("key"), "word").agg(F.bit_or("bits").alias("bits")))
+        seen = _union(levels)
+        if m <= ranks.SMALL:
+            seen = seen.join(F.broadcast(met.select(*keys)), keys, "left_semi")
+        none = F.lit(0).cast("long")
+        both = met.withColumn("old", none).unionByName(seen.select(*keys, none.alias("bits"), F.col("bits").alias("old")))
+        fresh = both.groupBy(*keys).agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old")).select(*keys, F.col("bits").bitwiseAND(F.bitwise_not("old")).alias("bits"))
+        level, n = counted(fresh.where("bits != 0"))
+        if not n:
+            return _union(levels)
+        levels = [*levels, level]
+        if len(levels) > FOLD:
+            levels = [written(_union(levels[:-1])), level]
+    raise RuntimeError(f"not finished after {max_rounds} rounds")
+
+
+def reach_of(pairs: DataFrame, starts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(no, reach): how many units each numbered scenario reaches from its ``starts`` (graph_id, no, key); none if unknown.
+
+    ``gone``: (graph_id, no, from_key, to_key), pairs that a scenario may not use.
+    """
+    word, bits = _bit("no")
+    if gone is not None:
+        gone = gone.select("graph_id", "from_key", "to_key", word, bits).groupBy("graph_id", "from_key", "to_key", "word").agg(F.bit_or("bits").alias("gone"))
+    found = walk_bits(pairs, starts.select("graph_id", "key", word, bits), gone)
+    counts = found.groupBy("word").agg(*[F.count_if(F.col("bits").bitwiseAND(F.expr(f"shiftleft(1L, {k})")) != 0).alias(f"b{k}") for k in range(WORD)])
+    each = counts.select("word", F.posexplode(F.array(*[f"b{k}" for k in range(WORD)])).alias("k", "reach"))
+    return each.where("reach > 0").select((F.col("word") * WORD + F.col("k")).alias("no"), "reach")
+
+
 def reach_count(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     """(graph_id, source, reach): how many units each source reaches, itself included; 0 if unknown."""
-    s = sources.select("graph_id", F.col("key").alias("source")).distinct()
-    n = walk(pairs, s.select("graph_id", F.col("source").alias("scenario"), F.col("source").alias("key"))).groupBy("graph_id", F.col("scenario").alias("source")).agg(F.count(F.lit(1)).alias("reach"))
-    return s.join(n, ["graph_id", "source"], "left").withColumn("reach", F.coalesce("reach", F.lit(0).cast("long")))
+    s = written(rank_within(sources.select("graph_id", F.col("key").alias("source")).distinct(), [], [F.col("graph_id"), F.col("source")], "no", "long"))
+    n = reach_of(pairs, s.select("graph_id", "no", F.col("source").alias("key")))
+    return s.join(n, "no", "left").select("graph_id", "source", F.coalesce("reach", F.lit(0).cast("long")).alias("reach"))
 
 
 def reach_count_without_edge(pairs: DataFrame, roots: DataFrame, removed: DataFrame) -> DataFrame:
