@@ -396,6 +396,12 @@ def test_reach_of_many_sources_in_one_walk(spark, monkeypatch, most):
     assert rows(bfs.reach_count(p, sources), "graph_id", "source", "reach") == expected
     bits = spark.createDataFrame([(g, u, i // 64, (1 << i % 63)) for i, (g, u) in enumerate(asked)], "graph_id string, key string, word long, bits long")
     assert bfs.walk_bits(p, bits).select("graph_id", "key", "word").distinct().count() <= 2 * len(units)
+    wanted = p.where("from_key in ('N1', 'N2', 'N3')").select("graph_id", "from_key", "to_key")
+    roots = spark.createDataFrame([(f"g{g}", f"N{k}") for g in range(3) for k in (0, 1, 99)], "graph_id string, root_key string")
+    columns = ["graph_id", "root_key", "from_key", "to_key", "exclusive"]
+    walked = rows(dominators._edge_cost_by_walks(wanted, p, roots), *columns)
+    assert walked == sorted((g, r, a, b, reach(g, r) - reach(g, r, (a, b)) if (g, r) in units else 0) for g, a, b in map(tuple, wanted.collect()) for r in ("N0", "N1", "N99"))
+    assert walked == rows(dominators._edge_cost(wanted, p, roots), *columns)
 
 
 def test_dominators_of_a_long_chain(spark):

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitgraph.functions.names import place
-from unitgraph.operators.bfs import known_units, reach_count, walk
+from unitgraph.operators.bfs import known_units, reach_count, reach_of, walk
 from unitgraph.operators.build import where_written
 from unitgraph.operators.match import find_nodes
-from unitgraph.operators.ranks import hint, small, total_within
+from unitgraph.operators.ranks import hint, rank_within, small, total_within
 from unitgraph.operators.reports import limit_with_more
 from unitgraph.plans.durable import bucketed, counted, observed, written
 
@@ -209,16 +209,34 @@ def _edge_cost(wanted: DataFrame, pairs: DataFrame, roots: DataFrame, tree: Data
     return every.join(only, ["graph_id", "root_key", "from_key", "to_key"], "left").select("graph_id", "root_key", "from_key", "to_key", F.coalesce("size", F.lit(0).cast("long")).alias("exclusive"))
 
 
+#: Dependencies and roots, multiplied, up to which walks without each are shorter than making the tree.
+MOST_WALKS = 256
+
+
+def _edge_cost_by_walks(wanted: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``_edge_cost`` of few pairs: what each root reaches, less what it reaches without each, all in one walk."""
+    cases = roots.withColumns({"from_key": F.lit(None).cast("string"), "to_key": F.lit(None).cast("string")}).unionByName(wanted.join(roots, "graph_id").select("graph_id", "root_key", "from_key", "to_key"))
+    names = ["graph_id", "root_key", "from_key", "to_key"]
+    cases = written(rank_within(cases, [], [F.col(c) for c in names], "no", "long"))
+    gone = cases.where("from_key is not null")
+    n = written(reach_of(pairs, cases.select("graph_id", "no", F.col("root_key").alias("key")), gone.select("graph_id", "no", "from_key", "to_key")))
+    whole = cases.where("from_key is null").join(n, "no").select("graph_id", "root_key", F.col("reach").alias("whole"))
+    left = gone.join(n, "no", "left").join(whole, ["graph_id", "root_key"], "left")
+    return left.select(*names, F.coalesce(F.col("whole") - F.col("reach"), F.lit(0).cast("long")).alias("exclusive"))
+
+
 def cost_unit(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, roots: DataFrame, patterns: DataFrame, limit: int = 50) -> DataFrame:
     """For each direct dependency of the matched units: what goes without it, all it reaches, where it is.
 
     A unit that uses nothing is one row with a null ``to_key``.
     """
     units = written(find_nodes(nodes, patterns).select("graph_id", F.col("key").alias("from_key"), "name"))
-    mine = pairs.join(units.select("graph_id", "from_key"), ["graph_id", "from_key"], "left_semi").select("graph_id", "from_key", "to_key")
+    mine, m = counted(pairs.join(units.select("graph_id", "from_key"), ["graph_id", "from_key"], "left_semi").select("graph_id", "from_key", "to_key"))
     total = reach_count(pairs, mine.select("graph_id", F.col("to_key").alias("key"))).withColumnsRenamed({"source": "to_key", "reach": "total"})
-    cost = _edge_cost(mine, pairs, roots)
-    rows = cost.join(total, ["graph_id", "to_key"]).join(where_written(edges), ["graph_id", "from_key", "to_key"])
+    heads, many = counted(roots.select("graph_id", "root_key").distinct())
+    cost = _edge_cost_by_walks(mine, pairs, heads) if m * max(many, 1) <= MOST_WALKS else _edge_cost(mine, pairs, roots)
+    here = where_written(edges.join(small(mine, m), ["graph_id", "from_key", "to_key"], "left_semi"))
+    rows = cost.join(total, ["graph_id", "to_key"]).join(here, ["graph_id", "from_key", "to_key"])
     rows = units.join(rows.drop("root_key"), ["graph_id", "from_key"], "left").withColumn("where", place(F.col("file"), F.col("line")))
     top = limit_with_more(rows, ["graph_id", "from_key"], [F.desc("exclusive"), F.desc("total"), F.col("to_key")], limit)
     return top.select("graph_id", "from_key", "to_key", "exclusive", "total", "where", "rank", "more")
