@@ -235,6 +235,26 @@ def test_graph_of_many_documents(spark, tmp_path):
     assert sorted(map(name, got["graphs"].collect())) == ["g", "h"] and got["search_paths"].count() == 1 and got["defines"].count() == 2
 
 
+def test_documents_are_dealt_one_by_one(spark, tmp_path):
+    """Twenty documents go to twenty tasks, not to as many as there are shuffle partitions; packed files are read like plain ones."""
+    graphs = spark.createDataFrame([("g", "A", *[""] * 6, None, None)], "graph_id string, root_unit string, dproj string, dpr string, compiler string, compiler_name string, platform string, config string, app_type string, project_version string")
+    nodes = spark.range(100).selectExpr("'g' as graph_id", "'N' || id as key", "'n' || id as name", "'' as file_name", "if(id < 7, 'unresolved', 'project') as kind", "true as parsed", "cast(array() as array<string>) as aliases")
+    edges = spark.createDataFrame([], "graph_id string, seq long, from_unit string, to_unit string, section string, certainty string, cond string, file string, line int")
+    warnings = spark.range(60).selectExpr("'g' as graph_id", "id as seq", "'f' as file", "cast(id as int) as line", "'w' || id as message")
+    paths = spark.createDataFrame([], "graph_id string, path_pos int, folder string, origin string")
+    docs = graph_json.graph_documents(graphs, nodes, edges, warnings, paths, spark.createDataFrame([], "graph_id string, define string"), 5)
+    assert "graph_id#" in (plan := docs._jdf.queryExecution().optimizedPlan().toString()) and "RepartitionByExpression [graph_id#" in plan
+    assert {line.rstrip().rpartition("], ")[2] for line in plan.splitlines() if "RepartitionByExpression [graph_id#" in line} == {"21"}
+    summary = {"units": 100, "edges": 0, "unresolved": 7, "warnings": 60}
+    texts = {r["slice"]: json.loads(r["value"]) for r in docs.collect()}
+    assert sorted(texts) == list(range(20)) and all(t["summary"] == summary and len(t["nodes"]) == 5 for t in texts.values())
+    graph_json.write_graph_json(docs, str(tmp_path / "o"), "gzip")
+    got = graph_json.read_graph_json(spark, str(tmp_path / "o"))
+    assert [r["message"] for r in got["warnings"].orderBy("seq").collect()] == [f"w{i}" for i in range(60)]
+    assert sorted(r["name"] for r in got["nodes"].collect()) == sorted(f"n{i}" for i in range(100)) and got["edges"].count() == 0
+    assert "LogicalRDD" not in got["warnings"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_corpus(spark, tmp_path):
     (tmp_path / "Unit1.PAS").write_text("unit Unit1;")
     r = corpus.read_corpus(spark, str(tmp_path)).first()

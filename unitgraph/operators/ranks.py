@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,20 +25,21 @@ def hint(rows: int) -> str:
     return "broadcast" if rows <= SMALL else "merge"
 
 
-def rank_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], out: str = "rank", kind: str = "int") -> DataFrame:
+def rank_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], out: str = "rank", kind: str = "int", keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``df`` with each row's place, from 1, in its list by ``order``, which must be total.
 
     Rows are dealt by ranges of list and order, so a list that holds a third of all rows is spread over
-    many tasks; each range is ranked by itself, after the rows its list has in the ranges before.
+    many tasks; each range is ranked by itself, after the rows its list has in the ranges before. ``keep`` stores
+    the dealt rows.
     """
-    placed = total_within(df.withColumn("_one", F.lit(1).cast("long")), lists, order, "_one", "_before")
+    placed = total_within(df.withColumn("_one", F.lit(1).cast("long")), lists, order, "_one", "_before", keep)
     return placed.select(*df.columns, (F.col("_before") + 1).cast(kind).alias(out))
 
 
-def total_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+def total_within(df: DataFrame, lists: Sequence[str], order: Sequence[Column], value: str, out: str, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of its list that come before each by ``order``; dealt as in ``rank_within``."""
     lists = list(lists)
-    dealt = durable(df.repartitionByRange(*lists, *order).withColumn("_range", F.spark_partition_id()))
+    dealt = keep(df.repartitionByRange(*lists, *order).withColumn("_range", F.spark_partition_id()))
     zero = F.lit(0).cast("long")
     ahead = Window.partitionBy(*lists).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # A list has a row here for each range it is in.
