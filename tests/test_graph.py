@@ -339,6 +339,18 @@ def test_counts_of_chains_stay_numbers(spark):
     assert many.agg(paths._total(F.sum("total")).alias("n")).first()["n"] == paths.MOST_CHAINS
 
 
+def test_reach_of_units_that_reach_little(spark, tmp_path, monkeypatch):
+    """Three hundred units in rows of three, and one that uses a hundred: sets take room for what is in them, not 4 KB each."""
+    from unitgraph.operators import condense
+
+    kept = []
+    monkeypatch.setattr(condense, "written", lambda df, f=condense.written: kept.append(f(df)) or kept[-1])
+    text = "|".join([f"A{i}>B{i}|B{i}>C{i}" for i in range(100)] + [f"TOP>C{i}" for i in range(100)])
+    out = condense.reach_count_all(pairs_of(spark, text), spark.createDataFrame([], "graph_id string, component string, size long, key string"))
+    assert dict(rows(out, "key", "reach")) == {"TOP": 101} | {f"{u}{i}": n for i in range(100) for u, n in (("A", 3), ("B", 2), ("C", 1))}
+    assert all(df.schema["bits"].dataType.simpleString() == "bigint" for df in kept if "bits" in df.columns)
+
+
 def test_groups_trees_and_reach_without_broadcasts(spark, monkeypatch):
     """Groups, dominators and reach of many graphs by searching each by hand, with every side sorted and merged."""
     from unitgraph.operators import condense, ranks
